@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope import constants as C
+from framescope.functions.binding import where_equal
 from framescope.functions.labels import opinion_label
 from framescope.functions.numeric import ratio
 from framescope.functions.text import is_blank, raw_words, split_sentences
@@ -30,22 +31,18 @@ def sentence_class(sentence: Column) -> Column:
 def classify_sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``classified``: an array of (sentence_idx, sentence, sentence_class)."""
     rows = F.transform(
-        F.col("_plain"),
+        split_sentences(text),
         lambda s, i: F.struct(
             i.cast("bigint").alias("sentence_idx"),
             s.alias("sentence"),
             sentence_class(s).alias("sentence_class"),
         ),
     )
-    return (
-        df.withColumn("_plain", split_sentences(text))
-        .withColumn("classified", rows)
-        .drop("_plain")
-    )
+    return df.withColumn("classified", rows)
 
 
 def _of_class(name: str) -> Column:
-    return F.filter("classified", lambda s: s["sentence_class"] == F.lit(name))
+    return where_equal("classified", "sentence_class", name)
 
 
 def opinion_ratios(classified: DataFrame, text: str = "text") -> DataFrame:
@@ -83,4 +80,5 @@ def opinion_examples(
             ]
         )
     )
-    return classified.select(key, F.inline(picked))
+    rows = classified.select(key, F.inline_outer(picked))
+    return rows.filter("sentence_class IS NOT NULL")

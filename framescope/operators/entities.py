@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescope import constants as C
+from framescope.functions.binding import let
 from framescope.functions.labels import frame_label
 from framescope.functions.text import WORD, is_blank, raw_words, split_sentences_abbrev
 
@@ -59,19 +60,23 @@ def entity_mentions(
     max_words: int = 3,
 ) -> DataFrame:
     """One row per mention, with the frame words of its sentence counted along."""
-    sentences = df.select(key, F.posexplode(split_sentences_abbrev(text)).alias("i", "sentence"))
+    # The outer generators keep Spark from testing the generated array in a filter of its own, which
+    # would evaluate it twice.
+    sentences = df.select(
+        key, F.posexplode_outer(split_sentences_abbrev(text)).alias("i", "sentence")
+    ).filter("sentence IS NOT NULL")
     words = F.regexp_extract_all("sentence", F.lit(f"([{WORD}]+)"), F.lit(1))
     candidates = (
-        sentences.withColumn("words", words)
-        .withColumn("positive_hits", _frame_hits(F.col("sentence"), C.POSITIVE_FRAME_WORDS))
+        sentences.withColumn("positive_hits", _frame_hits(F.col("sentence"), C.POSITIVE_FRAME_WORDS))
         .withColumn("negative_hits", _frame_hits(F.col("sentence"), C.NEGATIVE_FRAME_WORDS))
         .select(
             key,
             F.col("i").cast("bigint").alias("sent_idx"),
             "positive_hits",
             "negative_hits",
-            F.inline(_ngram_candidates(F.col("words"), max_words)),
+            F.inline_outer(let(words, lambda w: _ngram_candidates(w, max_words))),
         )
+        .filter("surface IS NOT NULL")
     )
     kept = gazetteer.filter(F.col("entity_type").isin(list(C.ENTITY_TYPES)))
     return candidates.join(kept, "surface").select(

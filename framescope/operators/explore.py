@@ -144,7 +144,8 @@ def term_totals(
     """(class, term, n); partial aggregation runs before the shuffle."""
     return (
         word_ngrams(df.select(label, text), text, low, high)
-        .select(label, F.explode("ngrams").alias("term"))
+        .select(label, F.explode_outer("ngrams").alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy(label, "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )

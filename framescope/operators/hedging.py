@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope import constants as C
+from framescope.functions.binding import let, where_equal
 from framescope.functions.labels import hedge_label
 from framescope.functions.numeric import ratio
 from framescope.functions.text import is_blank, mark_phrase, mark_words, split_sentences_abbrev
@@ -48,39 +49,48 @@ def hedge_scan(
     A phrase counts once per sentence however often it occurs there; rates are over distinct
     flagged sentences.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    present = F.filter(
-        _phrase_literals(phrases), lambda p: F.col("_marked").contains(p["mark"])
-    )
-    sentences = F.transform(
-        "_sentences",
-        lambda s, i: F.struct(
-            i.cast("bigint").alias("idx"), s.alias("sentence"), mark_words(s).alias("marked")
-        ),
-    )
-    matches = F.flatten(
-        F.transform(
+    literals = _phrase_literals(phrases)
+
+    def match_sentences(sentences: Column, present: Column) -> Column:
+        marked = F.transform(
             sentences,
-            lambda s: F.transform(
-                F.filter("_present", lambda p: s["marked"].contains(p["mark"])),
-                lambda p: F.struct(
-                    s["idx"].alias("sentence_idx"),
-                    p["phrase"].alias("phrase"),
-                    p["kind"].alias("kind"),
-                    s["sentence"].alias("sentence"),
-                ),
+            lambda s, i: F.struct(
+                i.cast("bigint").alias("idx"), s.alias("sentence"), mark_words(s).alias("marked")
             ),
         )
+        return F.flatten(
+            F.transform(
+                marked,
+                lambda s: F.transform(
+                    F.filter(present, lambda p: s["marked"].contains(p["mark"])),
+                    lambda p: F.struct(
+                        s["idx"].alias("sentence_idx"),
+                        p["phrase"].alias("phrase"),
+                        p["kind"].alias("kind"),
+                        s["sentence"].alias("sentence"),
+                    ),
+                ),
+            )
+        )
+
+    present = let(
+        mark_words(F.coalesce(F.col(text), F.lit(""))),
+        lambda marked: F.filter(literals, lambda p: marked.contains(p["mark"])),
+    )
+    scanned = let(
+        split_sentences_abbrev(text),
+        lambda sentences: F.struct(
+            F.size(sentences).cast("bigint").alias("n"),
+            let(present, lambda found: match_sentences(sentences, found)).alias("matches"),
+        ),
     )
     out = (
-        df.withColumn("_marked", mark_words(body))
-        .withColumn("_sentences", split_sentences_abbrev(text))
-        .withColumn("_present", present)
-        .withColumn("hedge_matches", F.when(F.size("_present") > 0, matches).otherwise(F.array()))
-        .withColumn("hedge_sentences", F.size("_sentences").cast("bigint"))
+        df.withColumn("_hedge", scanned)
+        .withColumn("hedge_matches", F.col("_hedge.matches"))
+        .withColumn("hedge_sentences", F.col("_hedge.n"))
     )
     for kind in ("epistemic", "inflation"):
-        of_kind = F.filter("hedge_matches", lambda m, kind=kind: m["kind"] == F.lit(kind))
+        of_kind = where_equal("hedge_matches", "kind", kind)
         flagged = F.array_distinct(F.transform(of_kind, lambda m: m["sentence_idx"]))
         out = out.withColumn(f"{kind}_count", F.size(of_kind).cast("bigint")).withColumn(
             f"{kind}_rate", ratio(F.size(flagged), F.col("hedge_sentences"))
@@ -93,44 +103,46 @@ def hedge_scan(
     return (
         out.withColumn("hedge_score", score)
         .withColumn("hedge_label", hedge_label(F.col("hedge_score"), is_blank(text)))
-        .drop("_marked", "_sentences", "_present")
+        .drop("_hedge")
     )
 
 
 def hedge_matches(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Long form: one row per (sentence, phrase)."""
-    return scanned.filter(F.size("hedge_matches") > 0).select(key, F.inline("hedge_matches"))
+    rows = scanned.select(key, F.inline_outer("hedge_matches"))
+    return rows.filter("sentence_idx IS NOT NULL")
 
 
 def flagged_sentences(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per flagged sentence with its phrases by kind and its type."""
-    indexes = F.array_distinct(F.transform("hedge_matches", lambda m: m["sentence_idx"]))
 
-    def phrases_of(idx: Column, kind: str) -> Column:
-        chosen = F.filter(
-            "hedge_matches", lambda m: (m["sentence_idx"] == idx) & (m["kind"] == F.lit(kind))
-        )
-        return F.transform(chosen, lambda m: m["phrase"])
-
-    rows = F.transform(
-        indexes,
-        lambda i: F.struct(
-            i.alias("sentence_idx"),
-            F.filter("hedge_matches", lambda m: m["sentence_idx"] == i)[0]["sentence"].alias(
-                "sentence"
+    def flagged(matches: Column) -> Column:
+        def phrases_of(idx: Column, kind: str) -> Column:
+            chosen = F.filter(
+                matches, lambda m: (m["sentence_idx"] == idx) & (m["kind"] == F.lit(kind))
+            )
+            return F.transform(chosen, lambda m: m["phrase"])
+
+        return F.transform(
+            F.array_distinct(
+                F.transform(matches, lambda m: F.struct(m["sentence_idx"], m["sentence"]))
             ),
-            phrases_of(i, "epistemic").alias("epistemic_phrases"),
-            phrases_of(i, "inflation").alias("inflation_phrases"),
-        ),
-    )
+            lambda s: F.struct(
+                s["sentence_idx"].alias("sentence_idx"),
+                s["sentence"].alias("sentence"),
+                phrases_of(s["sentence_idx"], "epistemic").alias("epistemic_phrases"),
+                phrases_of(s["sentence_idx"], "inflation").alias("inflation_phrases"),
+            ),
+        )
+
     kind = (
         F.when((F.size("epistemic_phrases") > 0) & (F.size("inflation_phrases") > 0), "both")
         .when(F.size("epistemic_phrases") > 0, "epistemic")
         .otherwise("inflation")
     )
     return (
-        scanned.filter(F.size("hedge_matches") > 0)
-        .select(key, F.inline(rows))
+        scanned.select(key, F.inline_outer(let(F.col("hedge_matches"), flagged)))
+        .filter("sentence_idx IS NOT NULL")
         .withColumn("flag_type", kind)
     )
 

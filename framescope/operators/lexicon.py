@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope import constants as C
+from framescope.functions.binding import let, where_equal
 from framescope.functions.labels import lexicon_label
 from framescope.functions.lookup import literal_lookup
 from framescope.functions.numeric import ratio
@@ -55,9 +56,7 @@ def category_counts(
         *[
             F.struct(
                 F.lit(name).alias("category"),
-                F.size(
-                    F.filter("loaded_words", lambda m, name=name: m["category"] == F.lit(name))
-                )
+                F.size(where_equal("loaded_words", "category", name))
                 .cast("bigint")
                 .alias("match_count"),
             )
@@ -65,19 +64,21 @@ def category_counts(
         ]
     )
     hits = F.filter(counts, lambda c: c["match_count"] > 0)
-    return scanned.filter("loaded_word_count > 0").select(key, F.inline(hits))
+    return scanned.select(key, F.inline_outer(hits)).filter("category IS NOT NULL")
 
 
 def top_loaded_words(scanned: DataFrame, key: str = "doc_id", k: int = 6) -> DataFrame:
     """Distinct matched words per document, most frequent first, ties by word."""
-    words = F.transform("loaded_words", lambda m: m["word"])
-    counted = F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct(
-            (-F.size(F.filter("loaded_words", lambda m: m["word"] == w))).alias("order"),
-            w.alias("word"),
-        ),
-    )
+
+    def counted_words(words: Column) -> Column:
+        return F.transform(
+            F.array_distinct(words),
+            lambda w: F.struct(
+                (-F.size(F.filter(words, lambda m: m == w))).alias("order"), w.alias("word")
+            ),
+        )
+
+    counted = let(F.transform("loaded_words", lambda m: m["word"]), counted_words)
     ranked = F.transform(F.slice(F.array_sort(counted), 1, k), lambda s: s["word"])
     return scanned.select(key, F.array_join(ranked, ", ").alias("top_loaded_words"))
 
@@ -85,8 +86,8 @@ def top_loaded_words(scanned: DataFrame, key: str = "doc_id", k: int = 6) -> Dat
 def term_frequency(scanned: DataFrame) -> DataFrame:
     """Corpus-wide (word, category) report; partial aggregation leaves a lexicon-sized shuffle."""
     return (
-        scanned.filter("loaded_word_count > 0")
-        .select(F.inline("loaded_words"))
+        scanned.select(F.inline_outer("loaded_words"))
+        .filter("word IS NOT NULL")
         .groupBy("word", "category")
         .agg(F.count(F.lit(1)).alias("mentions"))
         .orderBy("word", "category")

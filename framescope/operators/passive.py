@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescope import constants as C
+from framescope.functions.binding import let
 from framescope.functions.labels import passive_label
 from framescope.functions.numeric import ratio, round_to
 from framescope.functions.text import WORD, WS, is_blank, split_sentences_abbrev
@@ -42,33 +43,39 @@ def responsibility_gap(sentence: Column) -> Column:
 def passive_scan(df: DataFrame, text: str = "text", pattern: str | None = None) -> DataFrame:
     """Add ``passive_sentences`` (array of structs) and ``passive_total``, the sentence count."""
     rule = pattern or passive_pattern()
-    flagged = F.filter(
-        F.transform(
-            F.col("_sentences"),
+
+    def flag(sentences: Column) -> Column:
+        tested = F.transform(
+            sentences,
             lambda s, i: F.struct(
                 i.cast("bigint").alias("sentence_idx"),
                 s.alias("sentence"),
                 F.regexp_extract(s, rule, 1).alias("aux_verb"),
             ),
-        ),
-        lambda p: p["aux_verb"] != "",
-    )
-    detailed = F.transform(
-        flagged,
-        lambda p: F.struct(
-            p["sentence_idx"].alias("sentence_idx"),
-            p["sentence"].alias("sentence"),
-            F.lit("auxpass").alias("pattern"),
-            p["aux_verb"].alias("aux_verb"),
-            F.regexp_extract(p["sentence"], rule, 2).alias("main_verb"),
-            responsibility_gap(p["sentence"]).alias("is_gap"),
+        )
+        return F.transform(
+            F.filter(tested, lambda p: p["aux_verb"] != ""),
+            lambda p: F.struct(
+                p["sentence_idx"].alias("sentence_idx"),
+                p["sentence"].alias("sentence"),
+                F.lit("auxpass").alias("pattern"),
+                p["aux_verb"].alias("aux_verb"),
+                F.regexp_extract(p["sentence"], rule, 2).alias("main_verb"),
+                responsibility_gap(p["sentence"]).alias("is_gap"),
+            ),
+        )
+
+    scanned = let(
+        split_sentences_abbrev(text),
+        lambda sentences: F.struct(
+            F.size(sentences).cast("bigint").alias("n"), flag(sentences).alias("flagged")
         ),
     )
     return (
-        df.withColumn("_sentences", split_sentences_abbrev(text))
-        .withColumn("passive_total", F.size("_sentences").cast("bigint"))
-        .withColumn("passive_sentences", detailed)
-        .drop("_sentences")
+        df.withColumn("_passive", scanned)
+        .withColumn("passive_total", F.col("_passive.n"))
+        .withColumn("passive_sentences", F.col("_passive.flagged"))
+        .drop("_passive")
     )
 
 
@@ -122,9 +129,8 @@ def passive_score(scanned: DataFrame, text: str = "text") -> DataFrame:
 
 def passive_sentences(scanned: DataFrame, key: str = "doc_id") -> DataFrame:
     """Long form: one row per passive sentence."""
-    return scanned.filter(F.size("passive_sentences") > 0).select(
-        key, F.inline("passive_sentences")
-    )
+    rows = scanned.select(key, F.inline_outer("passive_sentences"))
+    return rows.filter("sentence_idx IS NOT NULL")
 
 
 PARSED = T.ArrayType(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from framescope import constants as C
 from framescope.functions import labels
+from framescope.functions.binding import let
 from framescope.functions.lookup import TooManyEntries, literal_lookup
 from framescope.functions.numeric import round_to
 from framescope.functions.text import WS, count_char
@@ -42,46 +43,66 @@ def _is_upper(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def emotion_intensity(
-    df: DataFrame, text: str = "text", words: WordTable = C.SENTIMENT_WORDS
-) -> DataFrame:
-    """Add compound in [-1, 1], its absolute value, the intensity label and the sentiment."""
+def _valence_sum(words: WordTable, raw: Column) -> Column:
+    """Sum of the adjusted valences of a word array."""
     valence = literal_lookup({w: v for w, (v, _) in words.items()}, "double")
     known = list(words)
+    decays = F.array(*[F.lit(d) for d in C.BOOST_DECAY])
 
-    def scored(index: Column) -> Column:
-        base = valence(F.get(F.col("_lower"), index))
-        capital = F.col("_mixed") & _is_upper(F.get(F.col("_words"), index))
+    def adjusted(index: Column, raw: Column, lower: Column, mixed: Column, but: Column) -> Column:
+        base = valence(F.get(lower, index))
+        capital = mixed & _is_upper(F.get(raw, index))
         start = base + F.when(capital, F.signum(base) * C.CAPS_STEP).otherwise(0.0)
 
         def look_back(value: Column, distance: Column) -> Column:
             place = index - distance
-            before = F.when(place >= 0, F.get(F.col("_lower"), place)).otherwise(F.lit(""))
-            raw = F.when(place >= 0, F.get(F.col("_words"), place)).otherwise(F.lit(""))
-            caps = F.when(F.col("_mixed") & _is_upper(raw), F.lit(C.CAPS_STEP)).otherwise(0.0)
+            before = F.when(place >= 0, F.get(lower, place)).otherwise(F.lit(""))
+            written = F.when(place >= 0, F.get(raw, place)).otherwise(F.lit(""))
+            caps = F.when(mixed & _is_upper(written), F.lit(C.CAPS_STEP)).otherwise(0.0)
             step = (
                 F.when(before.isin(C.BOOSTERS), caps + C.BOOST_STEP)
                 .when(before.isin(C.DAMPENERS), caps - C.BOOST_STEP)
                 .otherwise(F.lit(0.0))
             )
-            decay = F.get(F.array(*[F.lit(d) for d in C.BOOST_DECAY]), distance - 1)
             factor = F.when(before.isin(C.NEGATORS), C.NEGATION_FACTOR).otherwise(F.lit(1.0))
-            return (value + F.signum(value) * step * decay) * factor
+            return (value + F.signum(value) * step * F.get(decays, distance - 1)) * factor
 
         value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, look_back)
         contrast = (
-            F.when(F.col("_but") == 0, F.lit(1.0))
-            .when(index < F.col("_but") - 1, F.lit(C.BUT_BEFORE))
+            F.when(but == 0, F.lit(1.0))
+            .when(index < but - 1, F.lit(C.BUT_BEFORE))
             .otherwise(F.lit(C.BUT_AFTER))
         )
         return value * contrast
 
-    hits = F.filter(
-        F.transform("_lower", lambda w, i: F.when(w.isin(known), i)), lambda i: i.isNotNull()
-    )
-    total = F.aggregate(
-        F.transform("_positions", scored), F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0))
+    def total(state: Column) -> Column:
+        raw, lower = state["raw"], state["lower"]
+        hits = F.filter(
+            F.transform(lower, lambda w, i: F.when(w.isin(known), i)), lambda i: i.isNotNull()
+        )
+        uppers = F.size(F.filter(raw, _is_upper))
+        flags = F.struct(
+            ((uppers > 0) & (uppers < F.size(raw))).alias("mixed"),
+            F.array_position(lower, C.CONTRAST).alias("but"),
+        )
+        return let(
+            flags,
+            lambda f: F.aggregate(
+                hits,
+                F.lit(0.0),
+                lambda acc, i: acc + adjusted(i, raw, lower, f["mixed"], f["but"]),
+            ),
+        )
+
+    return let(
+        raw, lambda r: let(F.struct(r.alias("raw"), F.transform(r, F.lower).alias("lower")), total)
     )
+
+
+def emotion_intensity(
+    df: DataFrame, text: str = "text", words: WordTable = C.SENTIMENT_WORDS
+) -> DataFrame:
+    """Add compound in [-1, 1], its absolute value, the intensity label and the sentiment."""
     body = F.coalesce(F.col(text), F.lit(""))
     questions = count_char(body, "?")
     emphasis = F.least(count_char(body, "!"), F.lit(C.EXCLAMATION_MAX)) * C.EXCLAMATION_STEP + (
@@ -89,25 +110,19 @@ def emotion_intensity(
         .when(questions <= 3, questions * C.QUESTION_STEP)
         .otherwise(F.lit(C.QUESTION_MAX))
     )
-    uppers = F.size(F.filter("_words", _is_upper))
-    summed = F.col("_sum") + F.signum("_sum") * emphasis
-    compound = F.when(F.col("_sum") == 0, F.lit(0.0)).otherwise(
-        F.col("_total") / F.sqrt(F.col("_total") * F.col("_total") + C.COMPOUND_ALPHA)
-    )
-    return (
-        df.withColumn("_words", emotion_words(F.col(text)))
-        .withColumn("_lower", F.transform("_words", F.lower))
-        .withColumn("_mixed", (uppers > 0) & (uppers < F.size("_words")))
-        .withColumn("_but", F.array_position("_lower", C.CONTRAST))
-        .withColumn("_positions", hits)
+
+    def compound(total: Column) -> Column:
         # A sum of cancelling valences is zero up to rounding.
-        .withColumn("_sum", F.when(F.abs(total) < 1e-9, F.lit(0.0)).otherwise(total))
-        .withColumn("_total", summed)
-        .withColumn("compound", compound)
+        shifted = total + F.signum(total) * emphasis
+        return F.when(F.abs(total) < 1e-9, F.lit(0.0)).otherwise(
+            shifted / F.sqrt(shifted * shifted + C.COMPOUND_ALPHA)
+        )
+
+    return (
+        df.withColumn("compound", let(_valence_sum(words, emotion_words(F.col(text))), compound))
         .withColumn("emotion_intensity", round_to(F.abs("compound")))
         .withColumn("emotion_label", labels.emotion_label(F.col("emotion_intensity")))
         .withColumn("sentiment", labels.sentiment(F.col("compound")))
-        .drop("_words", "_lower", "_mixed", "_but", "_positions", "_sum", "_total")
     )
 
 
@@ -128,33 +143,38 @@ def subjectivity(
     valence = literal_lookup({w: v for w, (v, _) in words.items()}, "double")
     known = list(words)
 
-    def scored(word: Column, index: Column) -> Column:
-        before = F.when(index > 0, F.get(F.col("_lower"), index - 1)).otherwise(F.lit(""))
-        factor = (
-            F.when(before.isin(list(boosters)), F.lit(boost))
-            .when(before.isin(list(dampeners)), F.lit(dampen))
-            .otherwise(F.lit(1.0))
-        )
-        value = F.struct(
-            F.least(subj(word) * factor, F.lit(1.0)).alias("s"), valence(word).alias("v")
-        )
-        return F.when(word.isin(known), value)
+    def hits(lower: Column) -> Column:
+        def scored(word: Column, index: Column) -> Column:
+            before = F.when(index > 0, F.get(lower, index - 1)).otherwise(F.lit(""))
+            factor = (
+                F.when(before.isin(list(boosters)), F.lit(boost))
+                .when(before.isin(list(dampeners)), F.lit(dampen))
+                .otherwise(F.lit(1.0))
+            )
+            value = F.struct(
+                F.least(subj(word) * factor, F.lit(1.0)).alias("s"), valence(word).alias("v")
+            )
+            return F.when(word.isin(known), value)
+
+        return F.filter(F.transform(lower, scored), lambda v: v.isNotNull())
+
+    def means(found: Column) -> Column:
+        count = F.greatest(F.size(found), F.lit(1))
 
-    hits = F.filter(F.transform("_lower", scored), lambda v: v.isNotNull())
-    count = F.greatest(F.size("_hits"), F.lit(1))
+        def mean(field: str) -> Column:
+            return F.aggregate(found, F.lit(0.0), lambda acc, h: acc + h[field]) / count
 
-    def mean(field: str) -> Column:
-        summed = F.aggregate("_hits", F.lit(0.0), lambda acc, h: acc + h[field])
-        return summed / count
+        return F.struct(mean("s").alias("s"), mean("v").alias("v"))
 
+    lower = F.transform(emotion_words(F.col(text)), F.lower)
+    polarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_means.v") / 4.0))
     return (
-        df.withColumn("_lower", F.transform(emotion_words(F.col(text)), F.lower))
-        .withColumn("_hits", hits)
-        .withColumn("subjectivity", mean("s"))
-        .withColumn("polarity", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean("v") / 4.0)))
+        df.withColumn("_means", let(let(lower, hits), means))
+        .withColumn("subjectivity", F.col("_means.s"))
+        .withColumn("polarity", polarity)
         .withColumn("subjectivity_score", round_to(F.col("subjectivity")))
         .withColumn("subjectivity_label", labels.subjectivity_label(F.col("subjectivity_score")))
-        .drop("_lower", "_hits")
+        .drop("_means")
     )
 
 

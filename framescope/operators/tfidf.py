@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framescope.functions.binding import let
 from framescope.functions.lookup import literal_lookup
 from framescope.functions.text import ngrams_of, vector_tokens
 
@@ -22,11 +23,7 @@ def word_ngrams(
     df: DataFrame, text: str = "text", low: int = 1, high: int = 3, output: str = "ngrams"
 ) -> DataFrame:
     """Add the n-gram array of the analyser."""
-    return (
-        df.withColumn("_tokens", vector_tokens(text))
-        .withColumn(output, ngrams_of(F.col("_tokens"), low, high))
-        .drop("_tokens")
-    )
+    return df.withColumn(output, let(vector_tokens(text), lambda t: ngrams_of(t, low, high)))
 
 
 def term_counts(
@@ -41,7 +38,8 @@ def term_counts(
     placed = df.select(key, text).repartition(F.col(key))
     return (
         word_ngrams(placed, text, low, high)
-        .select(key, F.explode("ngrams").alias("term"))
+        .select(key, F.explode_outer("ngrams").alias("term"))
+        .filter("term IS NOT NULL")
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -138,40 +136,42 @@ class TfidfModel:
         """
         index = literal_lookup({t: i for i, t in enumerate(self.terms)}, "int")
         idf = F.from_json(F.lit(str(list(self.idf))), "array<double>")
-        found = F.filter(F.transform("_grams", index), lambda i: i.isNotNull())
-        starts = F.filter(
-            F.transform(
-                "_found", lambda v, k: F.struct(v.alias("v"), k.cast("int").alias("k"))
-            ),
-            lambda e: (e["k"] == 0)
-            | (F.get(F.col("_found"), F.greatest(e["k"] - 1, F.lit(0))) != e["v"]),
-        )
-
-        def run(e: Column, j: Column) -> Column:
-            after = F.coalesce(F.get(F.col("_starts"), j + 1)["k"], F.size("_found"))
-            tf = (after - e["k"]).cast("double")
-            return F.struct(
-                e["v"].alias("index"), ((F.log(tf) + 1.0) * F.get(idf, e["v"])).alias("raw")
-            )
 
-        norm = F.sqrt(F.aggregate("_runs", F.lit(0.0), lambda a, r: a + r["raw"] * r["raw"]))
-        return (
-            word_ngrams(df, text, self.low, self.high, "_grams")
-            .withColumn("_found", F.array_sort(found))
-            .withColumn("_starts", starts)
-            .withColumn("_runs", F.transform("_starts", run))
-            .withColumn("_norm", norm)
-            .withColumn(
-                output,
+        def runs(found: Column) -> Column:
+            """(position, index) where a new index starts in the sorted array, then its length."""
+            starts = F.filter(
                 F.transform(
-                    "_runs",
+                    found, lambda v, k: F.struct(v.alias("v"), k.cast("int").alias("k"))
+                ),
+                lambda e: (e["k"] == 0)
+                | (F.get(found, F.greatest(e["k"] - 1, F.lit(0))) != e["v"]),
+            )
+            return let(starts, lambda begun: F.transform(begun, run_weight(begun, found)))
+
+        def run_weight(begun: Column, found: Column):
+            def weight(e: Column, j: Column) -> Column:
+                after = F.coalesce(F.get(begun, j + 1)["k"], F.size(found))
+                tf = (after - e["k"]).cast("double")
+                raw = (F.log(tf) + 1.0) * F.get(idf, e["v"])
+                return F.struct(e["v"].alias("index"), raw.alias("raw"))
+
+            return weight
+
+        def unit(rows: Column) -> Column:
+            norm = F.sqrt(F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["raw"] * r["raw"]))
+            return let(
+                norm,
+                lambda length: F.transform(
+                    rows,
                     lambda r: F.struct(
-                        r["index"].alias("index"), (r["raw"] / F.col("_norm")).alias("weight")
+                        r["index"].alias("index"), (r["raw"] / length).alias("weight")
                     ),
                 ),
             )
-            .drop("_grams", "_found", "_starts", "_runs", "_norm")
-        )
+
+        grams = let(vector_tokens(text), lambda t: ngrams_of(t, self.low, self.high))
+        found = F.array_sort(F.filter(F.transform(grams, index), lambda i: i.isNotNull()))
+        return df.withColumn(output, let(let(found, runs), unit))
 
     def transform(self, df: DataFrame, text: str = "text", output: str = "tfidf") -> DataFrame:
         """Add a sparse ML vector.
