@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framescope import constants as C
 from framescope.functions import labels
 from framescope.functions.numeric import round_to
-from framescope.functions.text import is_blank, preview
+from framescope.functions.text import is_blank, preview, word_count
 from framescope.operators.attribution import classify_sentences, opinion_ratios
 from framescope.operators.hedging import hedge_scan
 from framescope.operators.lexicon import lexicon_scan
@@ -130,7 +130,8 @@ def article_report(
         F.transform("loaded_words", lambda m: m["word"]).alias("loaded_words"),
         distinct_words.alias("distinct_loaded_words"),
         "opinion_ratio", "opinion_label", "quote_ratio", "attribution_ratio",
-        F.expr("substring(section_text, 1, 500)").alias("body_preview"),
+        F.substring("section_text", 1, 500).alias("body_preview"),
+        word_count("section_text").cast("bigint").alias("word_count"),
     )
     slim = extra.select(
         key,
@@ -195,18 +196,35 @@ def engine_profile(report: DataFrame, key: str = "doc_id") -> DataFrame:
 def compare_articles(
     report: DataFrame, pairs: DataFrame, key: str = "doc_id"
 ) -> DataFrame:
-    """Put the two articles of every ``(key_a, key_b)`` pair side by side, engine by engine."""
+    """Put the two articles of every ``(key_a, key_b)`` pair side by side, engine by engine.
+
+    Each pair becomes two rows, so the report is read and joined once, not once per side.
+    """
+    key_a, key_b = f"{key}_a", f"{key}_b"
     columns = ["composite_score", *ENGINES]
+    sides = pairs.select(
+        key_a,
+        key_b,
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(side).alias("side"), F.col(f"{key}_{side}").alias(key))
+                    for side in ("a", "b")
+                ]
+            )
+        ),
+    )
+    joined = sides.join(report.select(key, "verdict", *columns), key)
 
-    def side(suffix: str) -> DataFrame:
-        return report.select(
-            F.col(key).alias(f"{key}_{suffix}"),
-            F.col("verdict").alias(f"verdict_{suffix}"),
-            *[F.col(c).alias(f"{c}_{suffix}") for c in columns],
-        )
+    def of(side: str, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column))).alias(f"{column}_{side}")
 
-    joined = pairs.join(side("a"), f"{key}_a").join(side("b"), f"{key}_b")
-    differences = [
-        (F.col(f"{c}_a") - F.col(f"{c}_b")).alias(f"{c}_difference") for c in columns
-    ]
-    return joined.select("*", *differences)
+    wide = joined.groupBy(key_a, key_b).agg(
+        *[of(side, c) for c in ("verdict", *columns) for side in ("a", "b")]
+    )
+    complete = wide.filter(
+        F.col("composite_score_a").isNotNull() & F.col("composite_score_b").isNotNull()
+    )
+    return complete.select(
+        "*", *[(F.col(f"{c}_a") - F.col(f"{c}_b")).alias(f"{c}_difference") for c in columns]
+    )

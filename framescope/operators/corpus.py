@@ -16,7 +16,7 @@ def clean_dataset(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Drop null or blank texts, keep labels 0 and 1 as integers."""
     label = F.expr("try_cast(label as double)")
     return df.filter(F.col("text").isNotNull() & ~is_blank("text") & label.isin(0.0, 1.0)).select(
-        *keep, "text", F.col("label").cast("int").alias("label")
+        *keep, "text", label.cast("int").alias("label")
     )
 
 

@@ -111,11 +111,18 @@ def feature_distribution(
 
 
 def feature_quantiles(
-    df: DataFrame, columns: Sequence[str], label: str = "label"
+    df: DataFrame, columns: Sequence[str], label: str = "label", digits: int = 4
 ) -> DataFrame:
-    """Quartiles per class and feature."""
+    """Quartiles per class and feature.
+
+    Values are rounded first: the state of an exact percentile holds one counter per distinct value,
+    and features lie in a fixed range, so rounding bounds it.
+    """
     cells = F.array(
-        *[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value")) for c in columns]
+        *[
+            F.struct(F.lit(c).alias("feature"), round_to(F.col(c), digits).alias("value"))
+            for c in columns
+        ]
     )
     return (
         df.select(label, F.inline(cells))

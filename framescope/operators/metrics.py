@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.operators.ranking import running_sums
+from framescope.session import materialize
 
 
 def _count_if(test: Column) -> Column:
@@ -84,11 +85,15 @@ def classification_report(scored: DataFrame) -> DataFrame:
 
 
 def score_counts(scored: DataFrame, score: str = "probability") -> DataFrame:
-    """Positives and negatives per distinct score: ties collapse before any ranking."""
-    return scored.groupBy(F.col(score).alias("score")).agg(
+    """Positives and negatives per distinct score: ties collapse before any ranking.
+
+    Written once, because ranking reads it three times (edges, totals, rows).
+    """
+    counts = scored.groupBy(F.col(score).alias("score")).agg(
         _count_if(F.col("label") == 1).alias("positives"),
         _count_if(F.col("label") != 1).alias("negatives"),
     )
+    return materialize(counts, "score-counts")
 
 
 def roc_auc(scored: DataFrame, score: str = "probability") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from framescope.functions.binding import let
 from framescope.functions.lookup import literal_lookup
 from framescope.functions.text import ngrams_of, vector_tokens
+from framescope.session import text_partitions
 
 
 def word_ngrams(
@@ -26,22 +27,47 @@ def word_ngrams(
     return df.withColumn(output, let(vector_tokens(text), lambda t: ngrams_of(t, low, high)))
 
 
+def run_lengths(ordered: Column) -> Column:
+    """(value, n) for every distinct value of a sorted array, in one linear pass."""
+
+    def starts_of(found: Column) -> Column:
+        places = F.transform(
+            found, lambda v, k: F.struct(v.alias("value"), k.cast("int").alias("k"))
+        )
+        return F.filter(
+            places,
+            lambda e: (e["k"] == 0)
+            | (F.get(found, F.greatest(e["k"] - 1, F.lit(0))) != e["value"]),
+        )
+
+    def lengths(found: Column) -> Column:
+        def counted(starts: Column) -> Column:
+            return F.transform(
+                starts,
+                lambda e, j: F.struct(
+                    e["value"].alias("value"),
+                    (F.coalesce(F.get(starts, j + 1)["k"], F.size(found)) - e["k"]).alias("n"),
+                ),
+            )
+
+        return let(starts_of(found), counted)
+
+    return let(ordered, lengths)
+
+
 def term_counts(
     df: DataFrame, text: str = "text", key: str = "doc_id", low: int = 1, high: int = 3
 ) -> DataFrame:
     """(key, term, tf).
 
-    Documents are hashed on their key before the n-grams are exploded. The count per (key, term) and
-    everything later grouped by key then needs no shuffle of the n-grams, which are several times
-    larger than the texts.
+    The terms of a document are sorted and counted inside its row, so counting needs no shuffle and
+    the rows that leave it are already distinct per document.
     """
-    placed = df.select(key, text).repartition(F.col(key))
+    ordered = F.sort_array(let(vector_tokens(text), lambda t: ngrams_of(t, low, high)))
     return (
-        word_ngrams(placed, text, low, high)
-        .select(key, F.explode_outer("ngrams").alias("term"))
-        .filter("term IS NOT NULL")
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+        df.select(key, F.inline_outer(run_lengths(ordered)))
+        .filter("value IS NOT NULL")
+        .select(key, F.col("value").alias("term"), F.col("n").cast("bigint").alias("tf"))
     )
 
 
@@ -74,10 +100,12 @@ def tfidf(
 ) -> DataFrame:
     """Long form (key, term, tf, weight).
 
-    The vocabulary is broadcast: its size is bounded by ``max_features``. The row norm is a window
-    over the key, on the partitioning the counts already have.
+    The vocabulary is broadcast: its size is bounded by ``max_features``. Documents are hashed on
+    their key before the terms are exploded, so the row norm, a window over the key, does not
+    shuffle the terms, which are several times larger than the texts.
     """
-    counts = term_counts(df, text, key, low, high)
+    placed = df.select(key, text).repartition(text_partitions(df.sparkSession), key)
+    counts = term_counts(placed, text, key, low, high)
     vocab = vocabulary(counts, df.count(), min_df, max_features)
     raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
         "raw", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
@@ -137,25 +165,14 @@ class TfidfModel:
         index = literal_lookup({t: i for i, t in enumerate(self.terms)}, "int")
         idf = F.from_json(F.lit(str(list(self.idf))), "array<double>")
 
-        def runs(found: Column) -> Column:
-            """(position, index) where a new index starts in the sorted array, then its length."""
-            starts = F.filter(
-                F.transform(
-                    found, lambda v, k: F.struct(v.alias("v"), k.cast("int").alias("k"))
+        def weights(counted: Column) -> Column:
+            return F.transform(
+                counted,
+                lambda r: F.struct(
+                    r["value"].alias("index"),
+                    ((F.log(r["n"].cast("double")) + 1.0) * F.get(idf, r["value"])).alias("raw"),
                 ),
-                lambda e: (e["k"] == 0)
-                | (F.get(found, F.greatest(e["k"] - 1, F.lit(0))) != e["v"]),
             )
-            return let(starts, lambda begun: F.transform(begun, run_weight(begun, found)))
-
-        def run_weight(begun: Column, found: Column):
-            def weight(e: Column, j: Column) -> Column:
-                after = F.coalesce(F.get(begun, j + 1)["k"], F.size(found))
-                tf = (after - e["k"]).cast("double")
-                raw = (F.log(tf) + 1.0) * F.get(idf, e["v"])
-                return F.struct(e["v"].alias("index"), raw.alias("raw"))
-
-            return weight
 
         def unit(rows: Column) -> Column:
             norm = F.sqrt(F.aggregate(rows, F.lit(0.0), lambda a, r: a + r["raw"] * r["raw"]))
@@ -170,8 +187,8 @@ class TfidfModel:
             )
 
         grams = let(vector_tokens(text), lambda t: ngrams_of(t, self.low, self.high))
-        found = F.array_sort(F.filter(F.transform(grams, index), lambda i: i.isNotNull()))
-        return df.withColumn(output, let(let(found, runs), unit))
+        found = F.sort_array(F.filter(F.transform(grams, index), lambda i: i.isNotNull()))
+        return df.withColumn(output, let(weights(run_lengths(found)), unit))
 
     def transform(self, df: DataFrame, text: str = "text", output: str = "tfidf") -> DataFrame:
         """Add a sparse ML vector.

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["text_queries", "engine_queries"]
+MODULES = [
+    "text_queries",
+    "engine_queries",
+    "history_queries",
+    "corpus_queries",
+    "training_queries",
+    "streaming_queries",
+]
 
 
 def load_all() -> None:

@@ -71,7 +71,7 @@ def unique_loaded_words(spark, sf_dir):
     )
 
 
-_TOP_WORDS = (
+TOP_WORDS = (
     "topw AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, word) AS rn "
     "FROM lexhits GROUP BY doc_id, word),\n"
     "toplist AS (SELECT doc_id, string_agg(word, ', ' ORDER BY rn) AS top_loaded_words FROM topw WHERE rn <= 6 GROUP BY doc_id)"
@@ -80,7 +80,7 @@ _TOP_WORDS = (
 
 @query(
     "top_loaded_words",
-    B.with_ctes(*_LEX, _TOP_WORDS)
+    B.with_ctes(*_LEX, TOP_WORDS)
     + " SELECT doc_id, coalesce(top_loaded_words, '') AS top_loaded_words FROM planted LEFT JOIN toplist USING (doc_id)",
 )
 def top_loaded_words(spark, sf_dir):
@@ -429,7 +429,7 @@ def top_entities(spark, sf_dir):
     return N.top_entities(_mentions(spark, sf_dir))
 
 
-_FRAMED = (
+FRAMED = (
     "framed AS (SELECT doc_id, "
     + ", ".join(
         f"coalesce(string_agg(entity, '|' ORDER BY first_at) FILTER (frame_label = '{label} Framing'), '') AS {alias}"
@@ -444,7 +444,7 @@ _FRAMED = (
 
 @query(
     "framed_entity_lists",
-    B.with_ctes(*B.ALL_MENTIONS, B.FRAMING, _FRAMED)
+    B.with_ctes(*B.ALL_MENTIONS, B.FRAMING, FRAMED)
     + " SELECT doc_id, negatively_framed, positively_framed, negatively_framed_entities FROM framed",
 )
 def framed_entity_lists(spark, sf_dir):
@@ -468,7 +468,7 @@ NER = (
 
 @query(
     "ner_summary",
-    B.with_ctes(*B.ALL_MENTIONS, B.FRAMING, _FRAMED, NER) + " SELECT * FROM ner",
+    B.with_ctes(*B.ALL_MENTIONS, B.FRAMING, FRAMED, NER) + " SELECT * FROM ner",
 )
 def ner_summary(spark, sf_dir):
     docs = _docs(spark, sf_dir)
@@ -543,7 +543,7 @@ REPORT_COLUMNS = (
     "emotion_intensity, subjectivity_score, passive_score, least(lexicon_rate * 10e0, 1e0) AS lexicon_score, lexicon_rate, hedge_score, "
     f"{B.hedge_label('raw_hedge', 'blank', 'N/A')} AS hedge_label, loaded_word_count, unique_loaded_words, words AS loaded_words, "
     f"opinion_ratio, CASE WHEN blank THEN 'N/A' ELSE {B.bucket('opinion_ratio', C.OPINION_CUTS, C.OPINION_LABELS)} END AS opinion_label, "
-    "quote_ratio, attribution_ratio, body_preview, headline_score, beginning_score, middle_score, end_score, 'v2.0' AS analysis_version"
+    "quote_ratio, attribution_ratio, body_preview, word_count, headline_score, beginning_score, middle_score, end_score, 'v2.0' AS analysis_version"
 )
 
 

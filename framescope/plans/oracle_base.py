@@ -402,6 +402,7 @@ REPORT = (
     )
     + ", max(lexicon_score) FILTER (section = 'Full Body') AS lexicon_rate"
     + ", max(substr(text, 1, 500)) FILTER (section = 'Full Body') AS body_preview"
+    + f", max({word_count('text')}::BIGINT) FILTER (section = 'Full Body') AS word_count"
     + "".join(
         f", max(composite_score) FILTER (section = '{label}') AS {alias}"
         for label, alias in (
