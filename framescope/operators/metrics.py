@@ -98,7 +98,11 @@ def score_counts(scored: DataFrame, score: str = "probability") -> DataFrame:
 
 def roc_auc(scored: DataFrame, score: str = "probability") -> DataFrame:
     """Exact area under the ROC curve (Mann-Whitney, ties count half)."""
-    ranked = running_sums(score_counts(scored, score), "score", ["negatives"])
+    return auc_of_counts(score_counts(scored, score))
+
+
+def auc_of_counts(counts: DataFrame) -> DataFrame:
+    ranked = running_sums(counts, "score", ["negatives"])
     positives, negatives = F.col("positives"), F.col("negatives")
     won = F.sum(2 * positives * F.col("negatives_before") + positives * negatives)
     pairs = F.sum("positives") * F.sum("negatives")
@@ -173,15 +177,40 @@ def top_coefficients(weights: DataFrame, k: int = 20) -> DataFrame:
     )
 
 
-def summary_metrics(scored: DataFrame, score: str = "probability") -> dict[str, float]:
-    """Accuracy, weighted precision, recall, F1, macro F1 and AUC of one prediction table."""
-    rows = {r["row"]: r for r in classification_report(scored).collect()}
-    auc = roc_auc(scored, score).first()["roc_auc"]
+def summary_metrics(
+    scored: DataFrame, score: str = "probability", threshold: float = 0.5
+) -> dict[str, float]:
+    """Accuracy, weighted precision, recall, F1, macro F1 and AUC in one pass over the scores.
+
+    Only the counts per distinct score are kept; the confusion matrix and the ranking both come from
+    that table.
+    """
+    counts = score_counts(scored, score)
+    above = F.col("score") >= threshold
+    cells = counts.agg(
+        *[
+            F.coalesce(F.sum(F.when(test, F.col(side))), F.lit(0)).alias(name)
+            for name, test, side in (
+                ("tp", above, "positives"), ("fp", above, "negatives"),
+                ("fn", ~above, "positives"), ("tn", ~above, "negatives"),
+            )
+        ]
+    ).first()
+    total = max(sum(cells), 1)
+    per_class = []
+    for hit, wrong, missed in (
+        (cells["tn"], cells["fn"], cells["fp"]), (cells["tp"], cells["fp"], cells["fn"]),
+    ):
+        precision, recall = hit / max(hit + wrong, 1), hit / max(hit + missed, 1)
+        f1 = 2 * hit / max(2 * hit + wrong + missed, 1)
+        per_class.append((precision, recall, f1, hit + missed))
+    present = [c for c in per_class if c[3] > 0]
+    weighted = [sum(c[i] * c[3] for c in per_class) / total for i in range(3)]
     return {
-        "accuracy": rows["accuracy"]["precision"],
-        "precision": rows["weighted"]["precision"],
-        "recall": rows["weighted"]["recall"],
-        "f1": rows["weighted"]["f1"],
-        "f1_macro": rows["macro"]["f1"],
-        "roc_auc": auc,
+        "accuracy": (cells["tp"] + cells["tn"]) / total,
+        "precision": weighted[0],
+        "recall": weighted[1],
+        "f1": weighted[2],
+        "f1_macro": sum(c[2] for c in present) / max(len(present), 1),
+        "roc_auc": auc_of_counts(counts).first()["roc_auc"],
     }
