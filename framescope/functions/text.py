@@ -18,7 +18,6 @@ from framescope.constants import ABBREVIATIONS
 WORD = r"\p{L}\p{N}_"
 WS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 BREAK = "\x01"
-DOT = "\x02"
 
 
 def _text(value: Column | str) -> Column:
@@ -32,7 +31,7 @@ def non_empty(parts: Column) -> Column:
 
 def strip(value: Column | str) -> Column:
     """Remove leading and trailing Unicode whitespace (SQL ``trim`` only removes spaces)."""
-    return F.regexp_replace(_text(value), f"^[{WS}]+|[{WS}]+$", "")
+    return F.regexp_replace(_text(value), f"^[{WS}]+|(?<![{WS}])[{WS}]+$", "")
 
 
 def is_blank(value: Column | str) -> Column:
@@ -54,37 +53,33 @@ def word_count(value: Column | str) -> Column:
     return F.size(non_empty(F.split(_text(value), f"[{WS}]+")))
 
 
-def _break_after_terminators(value: Column) -> Column:
-    marked = F.regexp_replace(value, f"([.!?])[{WS}]+", f"$1{BREAK}")
-    return F.split(marked, BREAK)
-
-
 def _stripped(parts: Column) -> Column:
     return non_empty(F.transform(parts, strip))
 
 
 def split_sentences(value: Column | str) -> Column:
-    """Sentences end at ``.``, ``!`` or ``?`` followed by whitespace."""
-    return _stripped(_break_after_terminators(_text(value)))
+    """Sentences end at ``.``, ``!`` or ``?`` followed by whitespace.
+
+    The separator takes all whitespace, so only the text as a whole has to be stripped.
+    """
+    return non_empty(F.split(strip(value), rf"(?<=[.!?])[{WS}]+"))
 
 
 def split_sentences_abbrev(value: Column | str) -> Column:
     """As :func:`split_sentences`, but the dots of common abbreviations do not end a sentence."""
-    protected = _text(value)
-    plain = "|".join(a for a in ABBREVIATIONS if "." not in a)
-    protected = F.regexp_replace(protected, rf"(?<![{WORD}])({plain})\.", f"$1{DOT}")
-    for dotted in (a for a in ABBREVIATIONS if "." in a):
-        head, tail = dotted.split(".")
-        protected = F.regexp_replace(
-            protected, rf"(?<![{WORD}]){head}\.{tail}\.", f"{head}{DOT}{tail}{DOT}"
-        )
-    parts = _break_after_terminators(protected)
-    return non_empty(F.transform(parts, lambda s: strip(F.translate(s, DOT, "."))))
+    known = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
+    after = rf"(?<=[.!?])(?<!(?<![{WORD}])(?:{known})\.)"
+    return non_empty(F.split(strip(value), rf"{after}[{WS}]+"))
 
 
 def split_fragments(value: Column | str) -> Column:
-    """Break at every run of terminators, also inside numbers."""
-    return _stripped(F.split(_text(value), "[.!?]+"))
+    """Break at every run of terminators, also inside numbers.
+
+    Whitespace around terminators belongs to the separator; the look-behind keeps long runs of
+    whitespace linear.
+    """
+    separator = rf"(?:(?<![{WS}])[{WS}]+)?[.!?][.!?{WS}]*"
+    return non_empty(F.split(strip(value), separator))
 
 
 def split_paragraphs(value: Column | str) -> Column:

@@ -1,8 +1,9 @@
 """Hedging: epistemic hedges and certainty inflators per sentence.
 
 The definition is a sentence x phrase containment join. Both sides of it live in one row, so it is
-evaluated inside the row: the whole text is searched once for every phrase, and only phrases that
-occur at all are then looked up sentence by sentence.
+evaluated inside the row: the whole text is searched once for every phrase, only phrases that occur
+at all are then looked up sentence by sentence, and only sentences that contain one are split into
+words to check the word bounds.
 """
 
 from __future__ import annotations
@@ -51,31 +52,35 @@ def hedge_scan(
     """
     literals = _phrase_literals(phrases)
 
-    def match_sentences(sentences: Column, present: Column) -> Column:
-        marked = F.transform(
-            sentences,
-            lambda s, i: F.struct(
-                i.cast("bigint").alias("idx"), s.alias("sentence"), mark_words(s).alias("marked")
-            ),
-        )
-        return F.flatten(
-            F.transform(
-                marked,
-                lambda s: F.transform(
-                    F.filter(present, lambda p: s["marked"].contains(p["mark"])),
-                    lambda p: F.struct(
-                        s["idx"].alias("sentence_idx"),
-                        p["phrase"].alias("phrase"),
-                        p["kind"].alias("kind"),
-                        s["sentence"].alias("sentence"),
-                    ),
+    def matches_of(sentence: Column, idx: Column, present: Column) -> Column:
+        """Plain containment first; word bounds are only checked where it holds."""
+        lowered = F.lower(sentence)
+        nothing = F.filter(present, lambda p: F.lit(False))
+        return F.transform(
+            let(
+                F.filter(present, lambda p: lowered.contains(p["phrase"])),
+                lambda likely: F.when(F.size(likely) == 0, nothing).otherwise(
+                    let(
+                        mark_words(sentence),
+                        lambda marked: F.filter(likely, lambda p: marked.contains(p["mark"])),
+                    )
                 ),
-            )
+            ),
+            lambda p: F.struct(
+                idx.cast("bigint").alias("sentence_idx"),
+                p["phrase"].alias("phrase"),
+                p["kind"].alias("kind"),
+                sentence.alias("sentence"),
+            ),
         )
 
+    def match_sentences(sentences: Column, present: Column) -> Column:
+        read = F.when(F.size(present) > 0, sentences).otherwise(F.slice(sentences, 1, 0))
+        return F.flatten(F.transform(read, lambda s, i: matches_of(s, i, present)))
+
     present = let(
-        mark_words(F.coalesce(F.col(text), F.lit(""))),
-        lambda marked: F.filter(literals, lambda p: marked.contains(p["mark"])),
+        F.lower(F.coalesce(F.col(text), F.lit(""))),
+        lambda lowered: F.filter(literals, lambda p: lowered.contains(p["phrase"])),
     )
     scanned = let(
         split_sentences_abbrev(text),

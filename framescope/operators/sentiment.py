@@ -32,10 +32,12 @@ def read_word_table(table: DataFrame, limit: int = 50_000) -> dict[str, tuple[fl
 
 def emotion_words(text: Column) -> Column:
     """Case-preserving words without surrounding punctuation, at least two characters long."""
-    words = F.transform(
-        F.split(F.coalesce(text, F.lit("")), f"[{WS}]+"),
-        lambda w: F.regexp_replace(w, r"^\p{Punct}+|\p{Punct}+$", ""),
+    # Punctuation next to whitespace is part of the separator, so words need no cleaning of their own.
+    # The look-behind keeps long runs of punctuation linear.
+    trimmed = F.regexp_replace(
+        F.coalesce(text, F.lit("")), r"^\p{Punct}+|(?<!\p{Punct})\p{Punct}+$", ""
     )
+    words = F.split(trimmed, rf"(?:(?<!\p{{Punct}})\p{{Punct}}+)?[{WS}]+\p{{Punct}}*")
     return F.filter(words, lambda w: F.length(w) > 1)
 
 
@@ -100,9 +102,16 @@ def _valence_sum(words: WordTable, raw: Column) -> Column:
 
 
 def emotion_intensity(
-    df: DataFrame, text: str = "text", words: WordTable = C.SENTIMENT_WORDS
+    df: DataFrame,
+    text: str = "text",
+    words: WordTable = C.SENTIMENT_WORDS,
+    split: Column | None = None,
 ) -> DataFrame:
-    """Add compound in [-1, 1], its absolute value, the intensity label and the sentiment."""
+    """Add compound in [-1, 1], its absolute value, the intensity label and the sentiment.
+
+    ``split`` is the word array of the text, when it is already at hand.
+    """
+    tokens = emotion_words(F.col(text)) if split is None else split
     body = F.coalesce(F.col(text), F.lit(""))
     questions = count_char(body, "?")
     emphasis = F.least(count_char(body, "!"), F.lit(C.EXCLAMATION_MAX)) * C.EXCLAMATION_STEP + (
@@ -119,7 +128,7 @@ def emotion_intensity(
         )
 
     return (
-        df.withColumn("compound", let(_valence_sum(words, emotion_words(F.col(text))), compound))
+        df.withColumn("compound", let(_valence_sum(words, tokens), compound))
         .withColumn("emotion_intensity", round_to(F.abs("compound")))
         .withColumn("emotion_label", labels.emotion_label(F.col("emotion_intensity")))
         .withColumn("sentiment", labels.sentiment(F.col("compound")))
@@ -134,6 +143,7 @@ def subjectivity(
     dampeners: Sequence[str] = C.DAMPENERS,
     boost: float = 1.3,
     dampen: float = 0.7,
+    split: Column | None = None,
 ) -> DataFrame:
     """Add the mean subjectivity of listed words (0 when none) and mean polarity.
 
@@ -166,7 +176,7 @@ def subjectivity(
 
         return F.struct(mean("s").alias("s"), mean("v").alias("v"))
 
-    lower = F.transform(emotion_words(F.col(text)), F.lower)
+    lower = F.transform(emotion_words(F.col(text)) if split is None else split, F.lower)
     polarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_means.v") / 4.0))
     return (
         df.withColumn("_means", let(let(lower, hits), means))
@@ -181,5 +191,9 @@ def subjectivity(
 def auxiliary_scores(
     df: DataFrame, text: str = "text", words: WordTable = C.SENTIMENT_WORDS
 ) -> DataFrame:
-    """Both scores in one pass over the rows."""
-    return subjectivity(emotion_intensity(df, text, words), text, words)
+    """Both scores in one pass over the rows; the text is split into words once."""
+    split = F.col("_emotion_words")
+    scored = emotion_intensity(
+        df.withColumn("_emotion_words", emotion_words(F.col(text))), text, words, split
+    )
+    return subjectivity(scored, text, words, split=split).drop("_emotion_words")

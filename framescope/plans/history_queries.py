@@ -14,7 +14,8 @@ from framescope.operators.composite import engine_scores
 from framescope.plans import oracle_base as B
 from framescope.plans.engine_queries import FRAMED, NER, REPORT_COLUMNS, REPORT_CTES, planted_report
 from framescope.plans.planted import gazetteer, pick, planted_documents
-from framescope.plans.registry import ORACLE, query
+from framescope.plans.registry import query
+from framescope.plans.text_queries import FALLBACK_SQL
 from framescope.session import materialize, scratch_path
 from framescope.sources import history as SH
 from framescope.sources import ratings as SR
@@ -449,7 +450,7 @@ def domain_stats(spark, sf_dir):
     f"{B.strip('''split_part(text, '.', 1)''')} AS headline, {B.word_count('text')}::BIGINT AS word_count, 'text_input' AS engine, "
     "md5(text) AS body_md5, NULL AS domain FROM documents "
     "UNION ALL SELECT 'page-' || page_id, headline, word_count, engine, md5(body_text), domain FROM (SELECT f.*, h.domain FROM ("
-    + ORACLE["extract_fallback"]
+    + FALLBACK_SQL
     + f") f JOIN (SELECT page_id, {_HOST} AS domain FROM pages) h USING (page_id))",
 )
 def articles(spark, sf_dir):

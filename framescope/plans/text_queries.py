@@ -203,7 +203,10 @@ def _fallback(spark, sf_dir, order) -> DataFrame:
     )
 
 
-@query("extract_fallback", _fallback_sql("lines", "paragraphs"))
+FALLBACK_SQL = _fallback_sql("lines", "paragraphs")
+
+
+@query("extract_fallback", FALLBACK_SQL)
 def extract_fallback(spark, sf_dir):
     return _fallback(spark, sf_dir, ("lines", "paragraphs"))
 
