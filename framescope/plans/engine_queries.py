@@ -366,7 +366,7 @@ def features(spark, sf_dir):
 )
 def linguistic_feature_map(spark, sf_dir):
     featured = LinguisticFeatures(inputCol="text").transform(_docs(spark, sf_dir))
-    return feature_map(featured).select("doc_id", F.explode("linguistic").alias("feature", "value"))
+    return feature_map(featured).select("doc_id", F.explode_outer("linguistic").alias("feature", "value"))
 
 
 # --- entities --------------------------------------------------------------------------
