@@ -76,3 +76,11 @@ def test_no_cartesian_products(spark):
 
     text = plan(full_report(spark, SMALL))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_top_terms_are_cut_before_the_shuffle(spark):
+    from framescope.operators.explore import top_ngrams
+    from framescope.plans.planted import labelled_documents
+
+    text = plan(top_ngrams(labelled_documents(spark, SMALL), 2))
+    assert text.count("WindowGroupLimit") == 2
