@@ -337,7 +337,7 @@ def load_history(spark, sf_dir):
 
 
 _PAGE = (
-    f" SELECT id, url, domain, headline, composite_score, verdict, ml_label, {_STAMP} AS created_at FROM hist "
+    f" SELECT id, url, domain, substr(headline, 1, 2000) AS headline, composite_score, verdict, ml_label, {_STAMP} AS created_at FROM hist "
     "{where} ORDER BY hist.created_at DESC NULLS LAST, id LIMIT 50 OFFSET 50"
 )
 
