@@ -82,3 +82,20 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     joined = joined.join(cold, "_cold_key", "left")
     picked = F.coalesce(F.col("_hot"), F.col("_cold"))
     return joined.select(*left.columns, *[picked[v].alias(v) for v in values])
+
+
+def whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables that hold whole tasks of a range sorted by task; a task has two tiles at most."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        task = batch.column("task").to_numpy()
+        last = int(np.searchsorted(task == task[-1], True)) if (task[0] != task[-1]) else 0
+        if held and held[-1].column("task")[-1].as_py() != task[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        if last:
+            yield pa.Table.from_batches([*held, batch.slice(0, last)])
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import attach, small_join
+from framescope.llm.common import attach, small_join, whole_tasks
 from framescope.llm.components import components
 from framescope.session import materialize
 
@@ -219,23 +219,6 @@ def _class_links(classes: DataFrame, sizes: DataFrame, threshold: float) -> Data
     )
 
 
-def whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Tables that hold whole tasks of a range sorted by task; a task has two tiles at most."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        task = batch.column("task").to_numpy()
-        last = int(np.searchsorted(task == task[-1], True)) if (task[0] != task[-1]) else 0
-        if held and held[-1].column("task")[-1].as_py() != task[0]:
-            yield pa.Table.from_batches(held)
-            held = []
-        if last:
-            yield pa.Table.from_batches([*held, batch.slice(0, last)])
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def compare_task(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     """Links of all tasks of a table, as counts of members and as links to the smallest."""
     task = table.column("task").to_numpy()

@@ -5,9 +5,11 @@ arrivals form a Poisson process with that rate, each falling on one register; a
 element that arrives first, and a text is done once every pending arrival is later than all registers
 (Ertl, 2020). Two texts agree in a register with the probability Jaccard similarity of their weights.
 
-Bands of registers give buckets. In every bucket each text is first compared with one centre only;
-then, where a bucket still holds several components, each text outside its largest component is
-compared with all texts of other components. Every comparison is exact, on the whole texts.
+Bands of registers give buckets. In every bucket each text is first compared with one centre, the text
+that meets most others. Where a bucket then still holds several components, the texts outside its
+largest one are compared with all its texts of other components. For this, the texts of all buckets
+with the same largest component come together, in tiles of bounded size, and a tile's similarities
+follow from products of matrices; no list of pairs is made. Every comparison is exact, on whole texts.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import attach, slices, whole_text
+from framescope.llm.common import attach, slices, whole_tasks, whole_text
 from framescope.llm.components import components
 from framescope.session import materialize
 
@@ -30,6 +32,8 @@ SIMILARITY = 0.8
 #: A pair at similarity 0.8 is in no common bucket with a probability of 5e-5.
 BANDS, REGISTERS_PER_BAND = 26, 5
 MAX_WORDS = 500_000
+#: Texts of a tile, and columns of a block of the matrices that compare tiles.
+TILE, COLUMNS = 512, 4096
 _WORD = re.compile(r"\w+")
 
 
@@ -184,19 +188,21 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     )
     placed = members.select("text_md5", F.explode("buckets").alias("bucket"))
     shared = materialize(
-        placed.join(
-            placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("text_md5").alias("centre")).filter("n > 1").drop("n"),
-            "bucket",
-        ),
-        "buckets",
+        placed.join(placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket"), "buckets"
     )
+    met = shared.groupBy("text_md5").agg(F.sum("n").alias("met"))
+    centres = shared.join(met, "text_md5").groupBy("bucket").agg(F.max(F.struct("met", "text_md5"))["text_md5"].alias("centre"))
     stars = materialize(
-        shared.filter("text_md5 <> centre").select(F.col("text_md5").alias("u"), F.col("centre").alias("v")).distinct(), "pairs"
+        shared.join(centres, "bucket")
+        .filter("text_md5 <> centre")
+        .select(F.col("text_md5").alias("u"), F.col("centre").alias("v"))
+        .distinct(),
+        "pairs",
     )
     texts = _texts_of(rows, shared.select("text_md5").distinct())
     links = materialize(_linked(stars, texts, similarity, words), "links")
-    more = _pairs_between(shared, components(links), stars)
-    links = links.union(_linked(more, texts, similarity, words))
+    between = materialize(_links_between(shared, components(links), texts, similarity, words), "links")
+    links = links.union(between)
 
     grouped = members.drop("buckets").join(components(links).withColumnRenamed("id", "text_md5"), "text_md5", "left")
     grouped = materialize(grouped.withColumn("component", F.coalesce("component", "text_md5")), "grouped")
@@ -243,20 +249,98 @@ def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -
     return pairs.join(u, "u").join(v, "v").select("u", "v", "u_text", "v_text").mapInArrow(verify, "u string, v string")
 
 
-def _pairs_between(shared: DataFrame, found: DataFrame, seen: DataFrame) -> DataFrame:
-    """Pairs of a bucket whose components differ: all but those inside its largest component."""
-    placed = shared.drop("centre").join(found.withColumnRenamed("id", "text_md5"), "text_md5", "left")
+def _links_between(shared: DataFrame, found: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """Links (u, v) between texts of one bucket that are in different components so far."""
+    placed = shared.select("bucket", "text_md5").join(found.withColumnRenamed("id", "text_md5"), "text_md5", "left")
     placed = placed.withColumn("component", F.coalesce("component", "text_md5"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b")
-    placed = materialize(placed.join(mixed.select("bucket"), "bucket"), "mixed")
-    sizes = placed.groupBy("bucket", "component").count()
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("count", "component"))["component"].alias("largest"))
-    placed = placed.join(largest, "bucket")
-    outside = placed.filter("component <> largest").select("bucket", F.col("text_md5").alias("a"), F.col("component").alias("a_of"))
-    pairs = outside.join(placed, "bucket").filter("component <> a_of and (component = largest or a < text_md5)")
-    pairs = pairs.select(F.greatest("a", "text_md5").alias("u"), F.least("a", "text_md5").alias("v")).distinct()
-    known = seen.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    return materialize(pairs.join(known, ["u", "v"], "left_anti"), "more-pairs")
+    sizes = materialize(placed.groupBy("bucket", "component").count(), "bucket-components")
+    mixed = sizes.groupBy("bucket").agg(
+        F.count("*").alias("components"), F.max(F.struct("count", "component"))["component"].alias("largest")
+    )
+    # Once for each largest component, however many buckets its texts share.
+    groups = placed.join(mixed.filter("components > 1"), "bucket").select("largest", "text_md5", "component").distinct()
+    groups = materialize(groups, "mixed")
+    tiles = groups.groupBy("largest").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    tiled = groups.join(tiles, "largest").withColumn("own", F.pmod(F.xxhash64("text_md5"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    task = F.xxhash64("largest", F.least("own", "other"), F.greatest("own", "other"))
+    full = tiled.select("largest", "text_md5", "component", "own", "other", task.alias("task")).join(texts, "text_md5")
+    ordered = full.repartition("task").sortWithinPartitions("task", "text_md5")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_tasks(batches):
+            task = table.column("task").to_numpy()
+            bounds = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+            u, v = [], []
+            for start, end in zip(bounds, np.append(bounds[1:], len(task)), strict=True):
+                part = table.slice(start, end - start)
+                names = part.column("text_md5").to_pylist()
+                for i, j in tile_links(part, similarity, words):
+                    u.append(names[i])
+                    v.append(names[j])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.string()), pa.array(v, pa.string())], ["u", "v"])
+
+    return ordered.mapInArrow(compare, "u string, v string")
+
+
+def tile_links(part: pa.Table, similarity: float, words: int) -> list[tuple[int, int]]:
+    """Enough links between the texts of one task to connect what is similar, at most one less than texts.
+
+    Looks at the pairs with different components of which one is outside the largest; in a task of
+    two tiles, at those across them.
+    """
+    component = np.array(part.column("component").to_pylist(), object)
+    own, other = part.column("own").to_numpy(), part.column("other").to_numpy()
+    outside = component != np.array(part.column("largest").to_pylist(), object)
+    n = len(component)
+    if not outside.any() or n < 2:
+        return []
+    owner, element, weight = shingles(part.column("text").to_pylist(), words)
+    total = np.bincount(owner, weight, n)
+    plain = np.bincount(owner, weight != 1, n) == 0
+    _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+    asked = np.zeros(len(count), bool)
+    asked[column[outside[owner]]] = True
+    number = np.cumsum(asked & (count > 1)) - 1
+    used = np.flatnonzero((asked & (count > 1))[column])
+    rows, columns, share = owner[used], number[column[used]], (weight[used] / total[owner[used]]).astype(np.float32)
+    order = np.argsort(columns, kind="stable")
+    rows, columns, share = rows[order], columns[order], share[order]
+    left = np.flatnonzero(outside)
+    # Of the weight of each text, the share in shingles of the other; columns are taken in blocks.
+    mine, theirs = np.zeros((len(left), n), np.float32), np.zeros((len(left), n), np.float32)
+    for block in range(0, int(columns[-1]) + 1 if len(columns) else 0, COLUMNS):
+        a, b = np.searchsorted(columns, [block, block + COLUMNS])
+        p = np.zeros((n, COLUMNS), np.float32)
+        p[rows[a:b], columns[a:b] - block] = share[a:b]
+        has = (p > 0).astype(np.float32)
+        mine += p[left] @ has.T
+        theirs += has[left] @ p.T
+    # Both bound the similarity; without repeated shingles they give it.
+    common = mine * total[left][:, None]
+    exact = plain[left][:, None] & plain[None]
+    least = np.where(exact, common / (total[left][:, None] + total[None] - common), np.minimum(mine, theirs))
+    wanted = (least >= similarity - 1e-4) & (component[left][:, None] != component[None])
+    wanted &= ~outside[None] | (left[:, None] < np.arange(n)[None])
+    if (own != other).any():
+        wanted &= own[left][:, None] != own[None]
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    ends = np.searchsorted(owner, np.arange(n + 1))
+    sets = [(element[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+    links = []
+    for i, j in zip(left[np.nonzero(wanted)[0]].tolist(), np.nonzero(wanted)[1].tolist(), strict=True):
+        a, b = find(i), find(j)
+        if a != b and probability_jaccard(sets[i], sets[j]) >= similarity:
+            root[max(a, b)] = min(a, b)
+            links.append((i, j))
+    return links
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
