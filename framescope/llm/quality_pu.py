@@ -176,15 +176,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, fit_rows:
     several labels counts as its lowest. None if there is no positive or nothing else to learn from.
     """
     label = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = docs.filter(may_learn).select("doc_id", "text").join(label, "doc_id", "left")
-    kind = F.coalesce(F.col("quality").cast("int"), F.lit(-1))
-    # Sizes need no text; sampled by identifier before any text is read into Python.
-    sizes = {r["kind"]: r["count"] for r in known.groupBy(kind.alias("kind")).count().collect()}
+    kind = F.coalesce(F.col("quality").cast("int"), F.lit(-1)).alias("kind")
+    known = docs.filter(may_learn).select("doc_id").join(label, "doc_id", "left").select("doc_id", kind)
+    # Sizes and the sample of identifiers need no text; a sample has about fit_rows rows of a kind.
+    sizes = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
     keep = F.lit(False)
     for value, rows in sizes.items():
         rate = int(min(1.0, fit_rows / rows) * 1_000_000)
-        keep = keep | ((kind == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate))
-    sample = known.filter(keep).select(kind.alias("kind"), whole_text().alias("text"))
+        keep = keep | ((F.col("kind") == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate))
+    chosen = known.filter(keep & F.col("doc_id").isNotNull()).distinct()
+    sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("kind", "text")
     table = _feature_rows(sample, ["kind"], "kind int, x array<float>").toPandas()
     if not len(table):
         return None
