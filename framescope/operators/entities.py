@@ -57,9 +57,16 @@ def entity_mentions(
     gazetteer: DataFrame,
     text: str = "text",
     key: str = "doc_id",
-    max_words: int = 3,
+    max_words: int | None = None,
 ) -> DataFrame:
-    """One row per mention, with the frame words of its sentence counted along."""
+    """One row per mention, with the frame words of its sentence counted along.
+
+    Runs of words are matched up to the length of the longest surface of the gazetteer, which is one
+    small aggregate over it unless ``max_words`` is given.
+    """
+    if max_words is None:
+        longest = F.max(F.size(F.split(F.trim("surface"), r"\s+")))
+        max_words = gazetteer.select(longest).first()[0] or 1
     # The outer generators keep Spark from testing the generated array in a filter of its own, which
     # would evaluate it twice.
     sentences = df.select(

@@ -121,16 +121,26 @@ def history_lookup(analyses: DataFrame, analysis_id: str) -> DataFrame:
     )
 
 
+def _exact(name: str):
+    return F.col(name).cast("decimal(18,6)")
+
+
+def _exact_mean(name: str):
+    """Mean of the values there are; null if there is none."""
+    return F.try_divide(F.sum(_exact(name)).cast("double"), F.count(name))
+
+
 def source_ranking(log: DataFrame) -> DataFrame:
-    """Mean composite per source, highest first; hot sources are combined before the shuffle."""
-    exact = F.col("composite_score").cast("decimal(18,6)")
+    """Mean composite per source, highest first; hot sources are combined before the shuffle.
+
+    Null scores are left out of a mean, null sources out of the ranking; a source without any score
+    comes last.
+    """
     return (
-        log.groupBy("source_label")
-        .agg(
-            F.count(F.lit(1)).alias("analyses"),
-            (F.sum(exact).cast("double") / F.count(F.lit(1))).alias("mean_composite"),
-        )
-        .orderBy(F.desc("mean_composite"), "source_label")
+        log.filter(F.col("source_label").isNotNull())
+        .groupBy("source_label")
+        .agg(F.count(F.lit(1)).alias("analyses"), _exact_mean("composite_score").alias("mean_composite"))
+        .orderBy(F.desc_nulls_last("mean_composite"), "source_label")
     )
 
 
@@ -152,22 +162,25 @@ def summary_stats(log: DataFrame) -> DataFrame:
     """One row, also for an empty log.
 
     The most biased source is the top of an aggregate with one row per source, so its inputs are
-    combined before they meet.
+    combined before they meet. Means are over the scores there are, 0 if there is none.
     """
 
     def mean(name: str):
         total = F.sum(F.col(f"{name}_sum")).cast("double")
-        return round_to(F.coalesce(total / F.sum("n"), F.lit(0.0)))
+        return round_to(F.coalesce(F.try_divide(total, F.sum(f"{name}_n")), F.lit(0.0)))
 
     names = ["composite_score", "ml_probability", "opinion_ratio"]
     stamp = F.expr("try_to_timestamp(timestamp)")
     per_source = log.groupBy("source_label").agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col(n).cast("decimal(18,6)")).alias(f"{n}_sum") for n in names],
+        *[F.sum(_exact(n)).alias(f"{n}_sum") for n in names],
+        *[F.count(n).alias(f"{n}_n") for n in names],
         F.min(stamp).alias("first"),
         F.max(stamp).alias("last"),
     )
-    mean_score = F.col("composite_score_sum").cast("double") / F.col("n")
+    mean_score = F.try_divide(F.col("composite_score_sum").cast("double"), F.col("composite_score_n"))
+    unranked = mean_score.isNull() | F.col("source_label").isNull()
+    rankable = F.when(~unranked, F.col("source_label"))
     shown = {
         edge: F.coalesce(F.date_format(f(edge), "yyyy-MM-dd HH:mm:ss"), F.lit("N/A"))
         for edge, f in (("first", F.min), ("last", F.max))
@@ -178,7 +191,7 @@ def summary_stats(log: DataFrame) -> DataFrame:
         mean("ml_probability").alias("avg_ml_prob"),
         mean("opinion_ratio").alias("avg_opinion_ratio"),
         F.coalesce(
-            F.min_by("source_label", F.struct(-mean_score, F.col("source_label"))), F.lit("N/A")
+            F.min_by(rankable, F.struct(unranked, -mean_score, F.col("source_label"))), F.lit("N/A")
         ).alias("most_biased_source"),
         shown["first"].alias("first_analysis"),
         shown["last"].alias("last_analysis"),
@@ -191,10 +204,9 @@ def domain_stats(analyses: DataFrame, ratings: DataFrame) -> DataFrame:
     Aggregated before the join, so a domain with very many articles is one row when it meets the
     ratings.
     """
-    exact = F.col("composite_score").cast("decimal(18,6)")
     stats = analyses.groupBy("domain").agg(
         F.count(F.lit(1)).alias("total_articles"),
-        round_to(F.sum(exact).cast("double") / F.count(F.lit(1))).alias("avg_bias_score"),
+        round_to(_exact_mean("composite_score")).alias("avg_bias_score"),
         F.max("created_at").alias("last_updated"),
     )
     return stats.join(

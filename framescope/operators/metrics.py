@@ -87,9 +87,10 @@ def classification_report(scored: DataFrame) -> DataFrame:
 def score_counts(scored: DataFrame, score: str = "probability") -> DataFrame:
     """Positives and negatives per distinct score: ties collapse before any ranking.
 
-    Written once, because ranking reads it three times (edges, totals, rows).
+    Rows without a score (null or NaN) are in no ranking and are left out here. Written once, because ranking reads it three times (edges, totals, rows).
     """
-    counts = scored.groupBy(F.col(score).alias("score")).agg(
+    ranked = scored.filter(F.col(score).isNotNull() & ~F.isnan(score))
+    counts = ranked.groupBy(F.col(score).alias("score")).agg(
         _count_if(F.col("label") == 1).alias("positives"),
         _count_if(F.col("label") != 1).alias("negatives"),
     )

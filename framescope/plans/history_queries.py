@@ -382,13 +382,13 @@ def history_lookup(spark, sf_dir):
     )
 
 
-_MEAN = "(sum(composite_score::DECIMAL(18,6))::DOUBLE / count(*))"
+_MEAN = "(sum(composite_score::DECIMAL(18,6))::DOUBLE / nullif(count(composite_score), 0))"
 
 
 @query(
     "source_ranking",
     B.with_ctes(*HISTORY_CTES)
-    + f" SELECT source_label, count(*)::BIGINT AS analyses, {_MEAN} AS mean_composite FROM log GROUP BY source_label",
+    + f" SELECT source_label, count(*)::BIGINT AS analyses, {_MEAN} AS mean_composite FROM log WHERE source_label IS NOT NULL GROUP BY source_label",
 )
 def source_ranking(spark, sf_dir):
     return HI.source_ranking(raw_log(spark, sf_dir))
@@ -417,15 +417,15 @@ def date_range(spark, sf_dir):
 
 
 def _sql_mean(column: str) -> str:
-    return B.round_to(f"sum({column}::DECIMAL(18,6))::DOUBLE / count(*)")
+    return B.round_to(f"sum({column}::DECIMAL(18,6))::DOUBLE / nullif(count({column}), 0)")
 
 
 @query(
     "summary_stats",
     B.with_ctes(*HISTORY_CTES)
-    + f", ranked AS (SELECT source_label, {_MEAN} AS m FROM log GROUP BY source_label) "
+    + f", ranked AS (SELECT source_label, {_MEAN} AS m FROM log WHERE source_label IS NOT NULL GROUP BY source_label) "
     f"SELECT count(*)::BIGINT AS total_analyses, {_sql_mean('composite_score')} AS avg_composite, {_sql_mean('ml_probability')} AS avg_ml_prob, "
-    f"{_sql_mean('opinion_ratio')} AS avg_opinion_ratio, (SELECT source_label FROM ranked ORDER BY m DESC, source_label LIMIT 1) AS most_biased_source, "
+    f"{_sql_mean('opinion_ratio')} AS avg_opinion_ratio, (SELECT source_label FROM ranked ORDER BY m DESC NULLS LAST, source_label LIMIT 1) AS most_biased_source, "
     f"{_EDGES.format(a='first_analysis', b='last_analysis')} FROM log",
 )
 def summary_stats(spark, sf_dir):

@@ -339,7 +339,7 @@ _array_query("split_fragments", B.fragments("text"), X.split_fragments)
 @query(
     "word_ngrams",
     B.with_ctes(B.PLANTED, B.grams("planted", "g", "doc_id"))
-    + " SELECT term, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM g GROUP BY term HAVING count(*) >= 3",
+    + " SELECT term, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS docs FROM g GROUP BY term",
 )
 def ngrams(spark, sf_dir):
     from framescope.operators.tfidf import term_counts
@@ -348,7 +348,6 @@ def ngrams(spark, sf_dir):
         term_counts(planted_documents(spark, sf_dir))
         .groupBy("term")
         .agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("docs"))
-        .filter("n >= 3")
     )
 
 

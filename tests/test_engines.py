@@ -233,3 +233,10 @@ def test_composite_bounds_and_blank(texts):
     seven = rows[6]
     expected = 0.6 * 0.4 + 0.05 * 1.0
     assert math.isclose(seven["composite_score"], round(expected, 4))
+
+
+def test_long_gazetteer_surfaces_are_matched(spark, texts):
+    gazetteer = spark.createDataFrame([("World Health Assembly Board", "ORG")], "surface string, entity_type string")
+    docs = texts("The World Health Assembly Board met today.", "World Health Assembly only.")
+    found = entities.entity_mentions(docs, gazetteer).collect()
+    assert [(r["doc_id"], r["entity"]) for r in found] == [(0, "World Health Assembly Board")]
