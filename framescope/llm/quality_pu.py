@@ -96,7 +96,8 @@ def fit_nn_pu(
     """Minimise the non-negative risk with the sigmoid loss, by Adam on mini-batches."""
     rng = np.random.default_rng(seed)
     both = np.vstack([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-2
+    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.05  # rare kinds must not loom large
+    decay = 1e-4 * (1 + 5000 / len(both))  # more of it on few rows
     xp, xu = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     w = {
         "hidden": rng.normal(0, 1 / np.sqrt(xp.shape[1]), (xp.shape[1], width)),
@@ -128,9 +129,9 @@ def fit_nn_pu(
                 d[n:] = -slope[n:] / len(u)
             back = np.outer(d, w["out"]) * (1 - act**2)
             grad = {
-                "hidden": x.T @ back + 1e-4 * w["hidden"],
+                "hidden": x.T @ back + decay * w["hidden"],
                 "hidden_bias": back.sum(axis=0),
-                "out": act.T @ d + 1e-4 * w["out"],
+                "out": act.T @ d + decay * w["out"],
                 "bias": np.array([d.sum()]),
             }
             step += 1
