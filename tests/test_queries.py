@@ -14,6 +14,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 from check_oracle import rows_of  # noqa: E402
 
+from framescope.plans import registry  # noqa: E402
+
 ORACLE = entry.oracle_sql()
 
 
@@ -41,7 +43,8 @@ def test_entry(spark):
 
 
 def test_queries_without_sql_are_the_trained_ones():
-    trained = set(entry.queries()) - set(ORACLE)
+    entry.queries()  # registers them
+    trained = set(registry.QUERIES) - set(registry.ORACLE)
     assert trained == {
         "train_logistic", "train_enhanced", "train_boosted", "predict_bias", "save_load_model",
         "cross_validate", "model_comparison", "regularization_sweep", "learning_curve",
