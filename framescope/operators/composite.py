@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,24 +95,31 @@ SECTION_COLUMNS = [
 
 
 def score_sections(
-    articles: DataFrame, model: LinearTextModel | None, key: str = "doc_id"
+    articles: DataFrame,
+    model: LinearTextModel | None,
+    key: str = "doc_id",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Scores of the five sections of every article, one row per section."""
-    sections = explode_sections(articles, key)
+    sections = explode_sections(articles, key, carry)
     return score_text(sections, "section_text", model).select(
-        key, "section", "section_text", *SECTION_COLUMNS
+        key, *carry, "section", "section_text", *SECTION_COLUMNS
     )
 
 
 def article_report(
-    articles: DataFrame, model: LinearTextModel | None, key: str = "doc_id"
+    articles: DataFrame,
+    model: LinearTextModel | None,
+    key: str = "doc_id",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per article: body scores, section scores, lists and attribution statistics.
 
-    The only shuffle regroups five short score rows per article; texts do not travel.
+    The only shuffle regroups five short score rows per article; texts do not travel. Columns to
+    ``carry`` along, such as address and time, come with the row of the body.
     """
     body = F.col("section") == C.SECTIONS[0]
-    sections = score_sections(articles, model, key)
+    sections = score_sections(articles, model, key, carry)
     # Attribution is only read for the body; other sections are scanned as null, which is free.
     extra = opinion_ratios(
         classify_sentences(
@@ -132,6 +139,7 @@ def article_report(
         "opinion_ratio", "opinion_label", "quote_ratio", "attribution_ratio",
         F.substring("section_text", 1, 500).alias("body_preview"),
         word_count("section_text").cast("bigint").alias("word_count"),
+        *carry,
     )
     slim = extra.select(
         key,

@@ -52,46 +52,75 @@ def _ngram_candidates(words: Column, max_words: int) -> Column:
     return F.filter(F.flatten(grams), lambda g: g["pos"] + g["n"] <= F.size(words))
 
 
-def entity_mentions(
-    df: DataFrame,
-    gazetteer: DataFrame,
-    text: str = "text",
-    key: str = "doc_id",
-    max_words: int | None = None,
+def _matched(
+    df: DataFrame, gazetteer: DataFrame, text: str, key: str, max_words: int | None, marked: bool
 ) -> DataFrame:
-    """One row per mention, with the frame words of its sentence counted along.
+    """Mentions of all documents; with ``marked`` one more row per document, without an entity.
 
-    Runs of words are matched up to the length of the longest surface of the gazetteer, which is one
-    small aggregate over it unless ``max_words`` is given.
+    Marks have a surface of their own for every document, so that they spread over the tasks of a
+    shuffled join.
     """
     if max_words is None:
         longest = F.max(F.size(F.split(F.trim("surface"), r"\s+")))
         max_words = gazetteer.select(longest).first()[0] or 1
+    blank = [is_blank(text).alias("blank")] if marked else []
     # The outer generators keep Spark from testing the generated array in a filter of its own, which
     # would evaluate it twice.
     sentences = df.select(
-        key, F.posexplode_outer(split_sentences_abbrev(text)).alias("i", "sentence")
-    ).filter("sentence IS NOT NULL")
+        key, *blank, F.posexplode_outer(split_sentences_abbrev(text)).alias("i", "sentence")
+    )
+    if not marked:
+        sentences = sentences.filter("sentence IS NOT NULL")
     words = F.regexp_extract_all("sentence", F.lit(f"([{WORD}]+)"), F.lit(1))
+    found = let(words, lambda w: _ngram_candidates(w, max_words))
+    if marked:
+        mark = F.struct(
+            F.lit(-1).cast("bigint").alias("pos"),
+            F.lit(0).alias("n"),
+            F.concat(F.lit("\0"), F.col(key).cast("string")).alias("surface"),
+        )
+        first = F.coalesce(F.col("i"), F.lit(0)) == 0
+        nothing = F.filter(F.array(mark), lambda _: F.lit(False))
+        found = F.concat(F.coalesce(found, nothing), F.when(first, F.array(mark)).otherwise(nothing))
     candidates = (
         sentences.withColumn("positive_hits", _frame_hits(F.col("sentence"), C.POSITIVE_FRAME_WORDS))
         .withColumn("negative_hits", _frame_hits(F.col("sentence"), C.NEGATIVE_FRAME_WORDS))
         .select(
             key,
+            *(["blank"] if marked else []),
             F.col("i").cast("bigint").alias("sent_idx"),
             "positive_hits",
             "negative_hits",
-            F.inline_outer(let(words, lambda w: _ngram_candidates(w, max_words))),
+            F.inline_outer(found),
         )
         .filter("surface IS NOT NULL")
     )
     kept = gazetteer.filter(F.col("entity_type").isin(list(C.ENTITY_TYPES)))
-    return candidates.join(kept, "surface").select(
+    matched = candidates.join(kept, "surface", "left" if marked else "inner")
+    if marked:
+        matched = matched.filter("entity_type IS NOT NULL OR pos = -1")
+        matched = matched.withColumn("surface", F.when(F.col("pos") >= 0, F.col("surface")))
+    return matched.select(
         key, "sent_idx", "pos", F.trim("surface").alias("entity"), "entity_type",
-        "positive_hits", "negative_hits",
+        "positive_hits", "negative_hits", *(["blank"] if marked else []),
     )
 
 
+def entity_mentions(
+    df: DataFrame,
+    gazetteer: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    max_words: int | None = None,
+) -> DataFrame:
+    """One row per mention, with the frame words of its sentence counted along.
+
+    Runs of words are matched up to the length of the longest surface of the gazetteer, which is one
+    small aggregate over it unless ``max_words`` is given.
+    """
+    return _matched(df, gazetteer, text, key, max_words, marked=False)
+
+
 def mentions_with_model(
     df: DataFrame,
     recognise: Callable[[str], list[dict]],
@@ -120,19 +149,32 @@ def _place() -> Column:
     return F.struct("sent_idx", "pos")
 
 
-def entity_counts(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Mentions per entity; the type is the last one seen. Names of one character are dropped."""
+def entity_profile(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Counts, types, first place and framing of every entity of a document, in one grouping.
+
+    The types of an entity are bounded by the number of types there are.
+    """
     return (
-        mentions.filter(F.length("entity") >= 2)
-        .groupBy(key, "entity")
+        mentions.groupBy(key, "entity")
         .agg(
             F.count(F.lit(1)).alias("mention_count"),
             F.max_by("entity_type", _place()).alias("entity_type"),
+            F.collect_set("entity_type").alias("types"),
             F.min(_place()).alias("first_place"),
+            F.sum("positive_hits").alias("positive"),
+            F.sum("negative_hits").alias("negative"),
         )
+        .withColumn("net", F.col("positive") - F.col("negative"))
+        .withColumn("frame_label", frame_label(F.col("net")))
     )
 
 
+def entity_counts(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Mentions per entity; the type is the last one seen. Names of one character are dropped."""
+    named = entity_profile(mentions, key).filter(F.length("entity") >= 2)
+    return named.select(key, "entity", "mention_count", "entity_type", "first_place")
+
+
 def entities_by_type(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Distinct names per document and type, in first-seen order."""
     first = (
@@ -150,27 +192,19 @@ def entities_by_type(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def entity_framing(mentions: DataFrame, key: str = "doc_id") -> DataFrame:
     """Positive, negative and net frame words in the sentences that mention an entity."""
-    return (
-        mentions.groupBy(key, "entity")
-        .agg(
-            F.sum("positive_hits").alias("positive"),
-            F.sum("negative_hits").alias("negative"),
-            F.min(_place()).alias("first_place"),
-        )
-        .withColumn("net", F.col("positive") - F.col("negative"))
-        .withColumn("frame_label", frame_label(F.col("net")))
+    return entity_profile(mentions, key).select(
+        key, "entity", "positive", "negative", "first_place", "net", "frame_label"
     )
 
 
 def top_entities(mentions: DataFrame, key: str = "doc_id", k: int = 5) -> DataFrame:
     """Most mentioned entities of each document, ties by first mention."""
     names = F.create_map(*[F.lit(x) for pair in C.ENTITY_TYPES.items() for x in pair])
-    framing = entity_framing(mentions, key).select(key, "entity", "frame_label")
     rank = F.row_number().over(
         Window.partitionBy(key).orderBy(F.desc("mention_count"), "first_place", "entity")
     )
-    ranked = entity_counts(mentions, key).withColumn("position", rank).filter(F.col("position") <= k)
-    return ranked.join(framing, [key, "entity"]).select(
+    named = entity_profile(mentions, key).filter(F.length("entity") >= 2)
+    return named.withColumn("position", rank).filter(F.col("position") <= k).select(
         key,
         F.col("position").cast("bigint").alias("position"),
         "entity",
@@ -181,50 +215,73 @@ def top_entities(mentions: DataFrame, key: str = "doc_id", k: int = 5) -> DataFr
     )
 
 
-def framed_entity_lists(mentions: DataFrame, key: str = "doc_id", k: int = 5) -> DataFrame:
-    """Negative and positive names in first-seen order, plus the cut list for the history."""
-    framing = entity_framing(mentions, key)
+def _framed(label: str) -> Column:
+    """Names with a frame label in first-seen order, as an aggregate over a profile."""
+    chosen = F.collect_list(
+        F.when(F.col("frame_label") == label, F.struct("first_place", "entity"))
+    )
+    return F.transform(F.sort_array(chosen), lambda e: e["entity"])
 
-    def names(label: str) -> Column:
-        chosen = F.collect_list(
-            F.when(F.col("frame_label") == label, F.struct("first_place", "entity"))
-        )
-        return F.transform(F.sort_array(chosen), lambda e: e["entity"])
 
+def _cut_list(k: int) -> Column:
+    return F.array_join(F.slice("negatively_framed", 1, k), " | ")
+
+
+def framed_entity_lists(mentions: DataFrame, key: str = "doc_id", k: int = 5) -> DataFrame:
+    """Negative and positive names in first-seen order, plus the cut list for the history."""
     return (
-        framing.groupBy(key)
+        entity_profile(mentions, key)
+        .groupBy(key)
         .agg(
-            names("Negative Framing").alias("negatively_framed"),
-            names("Positive Framing").alias("positively_framed"),
-        )
-        .withColumn(
-            "negatively_framed_entities",
-            F.array_join(F.slice("negatively_framed", 1, k), " | "),
+            _framed("Negative Framing").alias("negatively_framed"),
+            _framed("Positive Framing").alias("positively_framed"),
         )
+        .withColumn("negatively_framed_entities", _cut_list(k))
     )
 
 
 def ner_summary(
     df: DataFrame, mentions: DataFrame, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """One summary row per document, also for documents without any entity."""
-    totals = (
-        entity_counts(mentions, key)
-        .groupBy(key)
-        .agg(F.count(F.lit(1)).alias("total_unique"))
-    )
-    types = (
-        mentions.filter(F.length("entity") >= 2)
-        .groupBy(key)
-        .agg(F.count_distinct("entity_type").alias("type_count"))
+    """One summary row per document, also for documents without any entity.
+
+    Takes mentions from anywhere; ``gazetteer_summary`` reads the texts only once.
+    """
+    marks = df.select(key, is_blank(text).alias("blank"))
+    return _summaries(mentions.unionByName(marks, allowMissingColumns=True), key)
+
+
+def gazetteer_summary(
+    df: DataFrame,
+    gazetteer: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    max_words: int | None = None,
+) -> DataFrame:
+    """``ner_summary`` of the gazetteer's mentions, in one scan of the texts and without a self-join."""
+    return _summaries(_matched(df, gazetteer, text, key, max_words, marked=True), key)
+
+
+def _summaries(marked: DataFrame, key: str) -> DataFrame:
+    """Summary rows from mentions and one row without an entity, but with ``blank``, per document."""
+    blank = marked.groupBy(key, "entity").agg(
+        F.max("blank").alias("blank"),
+        F.collect_set("entity_type").alias("types"),
+        F.min(_place()).alias("first_place"),
+        (F.sum("positive_hits") - F.sum("negative_hits")).alias("net"),
     )
-    joined = (
-        df.select(key, is_blank(text).alias("blank"))
-        .join(totals, key, "left")
-        .join(types, key, "left")
-        .join(framed_entity_lists(mentions, key), key, "left")
+    named = F.coalesce(F.length("entity"), F.lit(0)) >= 2
+    is_entity = F.col("entity").isNotNull()
+    profile = blank.withColumn("frame_label", F.when(is_entity, frame_label(F.col("net"))))
+    rows = profile.groupBy(key).agg(
+        F.max("blank").alias("blank"),
+        F.count(F.when(named, 1)).alias("total"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(named, F.col("types")))))).alias(
+            "type_count"
+        ),
+        _framed("Negative Framing").alias("negatively_framed"),
+        _framed("Positive Framing").alias("positively_framed"),
     )
-    total = F.coalesce("total_unique", F.lit(0))
 
     def around(column: str, word: str) -> Column:
         names = F.array_join(F.slice(column, 1, 3), ", ")
@@ -234,7 +291,7 @@ def ner_summary(
     found = F.concat_ws(
         " ",
         F.concat(
-            total.cast("string"),
+            F.col("total").cast("string"),
             F.lit(" named entities detected across "),
             F.col("type_count").cast("string"),
             F.lit(" categories."),
@@ -244,12 +301,12 @@ def ner_summary(
     )
     summary = (
         F.when(F.col("blank"), F.lit("No text provided."))
-        .when(total == 0, F.lit("No named entities detected."))
+        .when(F.col("total") == 0, F.lit("No named entities detected."))
         .otherwise(found)
     )
-    return joined.select(
+    return rows.select(
         key,
-        total.cast("bigint").alias("total_unique"),
-        F.coalesce("negatively_framed_entities", F.lit("")).alias("negatively_framed_entities"),
+        F.col("total").cast("bigint").alias("total_unique"),
+        _cut_list(5).alias("negatively_framed_entities"),
         summary.alias("summary"),
     )

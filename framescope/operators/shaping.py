@@ -166,8 +166,10 @@ def split_thirds(df: DataFrame, paragraphs: str = "body_paras") -> DataFrame:
     )
 
 
-def explode_sections(articles: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Five rows per article: (key, section, section text)."""
+def explode_sections(
+    articles: DataFrame, key: str = "doc_id", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Five rows per article: (key, carried columns, section, section text)."""
     columns = ["body_text", "headline", "beginning", "middle", "end"]
     sections = F.array(
         *[
@@ -175,4 +177,4 @@ def explode_sections(articles: DataFrame, key: str = "doc_id") -> DataFrame:
             for label, c in zip(C.SECTIONS, columns, strict=True)
         ]
     )
-    return split_thirds(articles).select(key, F.inline(sections))
+    return split_thirds(articles).select(key, *carry, F.inline(sections))

@@ -471,8 +471,7 @@ NER = (
     B.with_ctes(*B.ALL_MENTIONS, B.FRAMING, FRAMED, NER) + " SELECT * FROM ner",
 )
 def ner_summary(spark, sf_dir):
-    docs = _docs(spark, sf_dir)
-    return N.ner_summary(docs, N.entity_mentions(docs, gazetteer(spark)))
+    return N.gazetteer_summary(_docs(spark, sf_dir), gazetteer(spark))
 
 
 # --- composite score and report -----------------------------------------------------------

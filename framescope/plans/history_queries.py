@@ -10,10 +10,11 @@ from framescope.functions import urls as U
 from framescope.operators import entities as N
 from framescope.operators import history as HI
 from framescope.operators import ratings as D
-from framescope.operators.composite import engine_scores
+from framescope.operators.composite import article_report, engine_scores
+from framescope.operators.shaping import shape_text_articles
 from framescope.plans import oracle_base as B
-from framescope.plans.engine_queries import FRAMED, NER, REPORT_COLUMNS, REPORT_CTES, planted_report
-from framescope.plans.planted import gazetteer, pick, planted_documents
+from framescope.plans.engine_queries import FRAMED, NER, REPORT_COLUMNS, REPORT_CTES
+from framescope.plans.planted import gazetteer, pick, planted_documents, planted_model
 from framescope.plans.registry import query
 from framescope.plans.text_queries import FALLBACK_SQL
 from framescope.session import materialize, scratch_path
@@ -226,28 +227,30 @@ _STORED: dict[tuple[str, str], tuple[str, str]] = {}
 
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of the planted articles with the columns a stored analysis needs."""
-    documents = planted_documents(spark, sf_dir)
     key = F.col("doc_id")
     domain = F.when(key % 10 != 0, pick(DOMAINS, key))
     created = F.when(
         key % 19 != 0,
         F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + key * 60),
     )
-    origin = documents.select(
-        "doc_id",
-        domain.alias("domain"),
-        F.concat(F.lit("https://www."), domain, F.lit("/a/"), key.cast("string")).alias("url"),
-        F.md5(key.cast("string").cast("binary")).alias("id"),
-        F.when(key % 2 == 0, F.col("source")).otherwise(F.lit("")).alias("source_label"),
-        created.alias("created_at"),
-        F.lit("text_input").alias("scrape_engine"),
+    origin = {
+        "domain": domain,
+        "url": F.concat(F.lit("https://www."), domain, F.lit("/a/"), key.cast("string")),
+        "id": F.md5(key.cast("string").cast("binary")),
+        "source_label": F.when(key % 2 == 0, F.col("source")).otherwise(F.lit("")),
+        "created_at": created,
+        "scrape_engine": F.lit("text_input"),
+    }
+    documents = planted_documents(spark, sf_dir).select(
+        "doc_id", "text", *[value.alias(name) for name, value in origin.items()]
     )
-    mentions = N.entity_mentions(documents.select("doc_id", "text"), gazetteer(spark))
-    ner = N.ner_summary(documents.select("doc_id", "text"), mentions).select(
+    ner = N.gazetteer_summary(documents.select("doc_id", "text"), gazetteer(spark)).select(
         "doc_id", F.col("total_unique").alias("ner_entity_count"), "negatively_framed_entities"
     )
-    report = planted_report(spark, sf_dir).withColumn("top_loaded_words", _top_words())
-    return engine_scores(report).join(origin, "doc_id").join(ner, "doc_id", "left")
+    report = article_report(
+        shape_text_articles(documents), planted_model(spark, sf_dir), carry=list(origin)
+    ).withColumn("top_loaded_words", _top_words())
+    return engine_scores(report).join(ner, "doc_id", "left")
 
 
 def _top_words():
