@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framescope.functions.labels import leaning_to_label
@@ -50,16 +50,13 @@ def merge_corpora(frames: Sequence[DataFrame]) -> DataFrame:
 def dedup_text(merged: DataFrame, key: str = "row_id") -> DataFrame:
     """Case-insensitive distinct texts; the row first in (priority, key) order survives.
 
-    Two aggregations instead of a window, so a text with very many copies is reduced before the
-    shuffle. Only digests and keys travel; the survivors are then picked by their unique key.
+    One aggregation over digests that keeps the first row itself: the sources are read once, copies
+    are reduced before the shuffle, and one row survives even where keys repeat.
     """
     digest = F.sha2(F.lower("text"), 256)
-    winners = (
-        merged.groupBy(digest.alias("digest"))
-        .agg(F.min(F.struct("priority", key)).alias("first"))
-        .select("first.*")
-    )
-    return merged.join(winners, ["priority", key], "left_semi")
+    row = F.struct(*[F.col(c) for c in merged.columns])
+    first = F.min_by(row, F.struct("priority", key)).alias("first")
+    return merged.groupBy(digest.alias("digest")).agg(first).select("first.*")
 
 
 def build_corpus(frames: Sequence[DataFrame], key: str = "row_id", low: int = 5) -> DataFrame:
@@ -110,9 +107,9 @@ def stratified_folds(
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("class_count"))
-    totals = counts.agg(F.sum("class_count").alias("n"), F.count(F.lit(1)).alias("k")).first()
-    weight = F.lit(float(totals["n"] or 0)) / (F.lit(float(totals["k"])) * F.col("class_count"))
-    return counts.withColumn("weight", weight)
+    classes = Window.partitionBy(F.lit(1))  # one row per class
+    rows, k = F.sum("class_count").over(classes), F.count(F.lit(1)).over(classes)
+    return counts.withColumn("weight", rows.cast("double") / (k.cast("double") * F.col("class_count")))
 
 
 def with_class_weights(df: DataFrame, label: str = "label") -> DataFrame:

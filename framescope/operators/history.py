@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,6 +103,29 @@ def history_page(
     )
 
 
+def history_page_after(
+    analyses: DataFrame,
+    created_at: datetime | None,
+    analysis_id: str,
+    per_page: int = 20,
+    domain: str | None = None,
+    verdict: str | None = None,
+) -> DataFrame:
+    """The page after the row with this time and identifier, at any depth for the cost of one page.
+
+    Date folders after that row are not read, and no more than ``per_page`` rows are gathered.
+    """
+    if created_at is None:  # undated rows come last, by identifier
+        rest = F.col("created_date").isNull() & F.col("created_at").isNull() & (F.col("id") > analysis_id)
+    else:
+        stamp = F.lit(created_at)
+        later = F.col("created_at").isNull() | (F.col("created_at") < stamp)
+        rest = (F.col("created_date").isNull() | (F.col("created_date") <= F.to_date(stamp))) & (
+            later | ((F.col("created_at") == stamp) & (F.col("id") > analysis_id))
+        )
+    return history_page(analyses.filter(rest), 1, per_page, domain, verdict)
+
+
 def history_total(
     analyses: DataFrame, domain: str | None = None, verdict: str | None = None
 ) -> DataFrame:

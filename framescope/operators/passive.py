@@ -40,8 +40,16 @@ def responsibility_gap(sentence: Column) -> Column:
     return indicated & ~lowered.contains(" by ")
 
 
-def passive_scan(df: DataFrame, text: str = "text", pattern: str | None = None) -> DataFrame:
-    """Add ``passive_sentences`` (array of structs) and ``passive_total``, the sentence count."""
+def passive_scan(
+    df: DataFrame,
+    text: str = "text",
+    pattern: str | None = None,
+    excluded: Sequence[str] = C.NOT_PARTICIPLES,
+) -> DataFrame:
+    """Add ``passive_sentences`` (array of structs) and ``passive_total``, the sentence count.
+
+    A sentence is passive by its first match whose verb is not ``excluded``.
+    """
     rule = pattern or passive_pattern()
 
     def flag(sentences: Column) -> Column:
@@ -53,17 +61,37 @@ def passive_scan(df: DataFrame, text: str = "text", pattern: str | None = None)
                 F.regexp_extract(s, rule, 1).alias("aux_verb"),
             ),
         )
-        return F.transform(
+        # Few sentences match at all; only those are searched for all their matches.
+        matched = F.transform(
             F.filter(tested, lambda p: p["aux_verb"] != ""),
             lambda p: F.struct(
                 p["sentence_idx"].alias("sentence_idx"),
                 p["sentence"].alias("sentence"),
                 F.lit("auxpass").alias("pattern"),
-                p["aux_verb"].alias("aux_verb"),
-                F.regexp_extract(p["sentence"], rule, 2).alias("main_verb"),
+                F.get(
+                    F.filter(
+                        F.arrays_zip(
+                            F.regexp_extract_all(p["sentence"], F.lit(rule), F.lit(1)).alias("aux"),
+                            F.regexp_extract_all(p["sentence"], F.lit(rule), F.lit(2)).alias("verb"),
+                        ),
+                        lambda m: ~F.lower(m["verb"]).isin(list(excluded)),
+                    ),
+                    F.lit(0),
+                ).alias("verbs"),
                 responsibility_gap(p["sentence"]).alias("is_gap"),
             ),
         )
+        return F.transform(
+            F.filter(matched, lambda p: p["verbs"].isNotNull()),
+            lambda p: F.struct(
+                p["sentence_idx"].alias("sentence_idx"),
+                p["sentence"].alias("sentence"),
+                p["pattern"].alias("pattern"),
+                p["verbs"]["aux"].alias("aux_verb"),
+                p["verbs"]["verb"].alias("main_verb"),
+                p["is_gap"].alias("is_gap"),
+            ),
+        )
 
     scanned = let(
         split_sentences_abbrev(text),

@@ -8,6 +8,7 @@ words back, so they are evaluated on the word array of the row; no window, no sh
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,15 @@ def _is_upper(word: Column) -> Column:
     return (F.upper(word) == word) & (F.lower(word) != word)
 
 
-def _valence_sum(words: WordTable, raw: Column) -> Column:
+class Modifiers(NamedTuple):
+    """Words that change the valence of what follows, unless they have a valence themselves."""
+
+    boosters: Sequence[str] = C.BOOSTERS
+    dampeners: Sequence[str] = C.DAMPENERS
+    negators: Sequence[str] = C.NEGATORS
+
+
+def _valence_sum(words: WordTable, raw: Column, modifiers: Modifiers) -> Column:
     """Sum of the adjusted valences of a word array."""
     valence = literal_lookup({w: v for w, (v, _) in words.items()}, "double")
     known = list(words)
@@ -62,12 +71,14 @@ def _valence_sum(words: WordTable, raw: Column) -> Column:
             written = F.when(place >= 0, F.get(raw, place)).otherwise(F.lit(""))
             caps = F.when(mixed & _is_upper(written), F.lit(C.CAPS_STEP)).otherwise(0.0)
             step = (
-                F.when(before.isin(C.BOOSTERS), caps + C.BOOST_STEP)
-                .when(before.isin(C.DAMPENERS), caps - C.BOOST_STEP)
+                F.when(before.isin(list(modifiers.boosters)), caps + C.BOOST_STEP)
+                .when(before.isin(list(modifiers.dampeners)), caps - C.BOOST_STEP)
                 .otherwise(F.lit(0.0))
             )
-            factor = F.when(before.isin(C.NEGATORS), C.NEGATION_FACTOR).otherwise(F.lit(1.0))
-            return (value + F.signum(value) * step * F.get(decays, distance - 1)) * factor
+            negates = before.isin(list(modifiers.negators)) | before.rlike(C.NEGATED_ENDING)
+            factor = F.when(negates, C.NEGATION_FACTOR).otherwise(F.lit(1.0))
+            changed = (value + F.signum(value) * step * F.get(decays, distance - 1)) * factor
+            return F.when(before.isin(known), value).otherwise(changed)
 
         value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, look_back)
         contrast = (
@@ -106,9 +117,11 @@ def emotion_intensity(
     text: str = "text",
     words: WordTable = C.SENTIMENT_WORDS,
     split: Column | None = None,
+    modifiers: Modifiers = Modifiers(),
 ) -> DataFrame:
     """Add compound in [-1, 1], its absolute value, the intensity label and the sentiment.
 
+    A preceding word modifies only if it is not in ``words``; words in n't negate like the negators.
     ``split`` is the word array of the text, when it is already at hand.
     """
     tokens = emotion_words(F.col(text)) if split is None else split
@@ -128,7 +141,7 @@ def emotion_intensity(
         )
 
     return (
-        df.withColumn("compound", let(_valence_sum(words, tokens), compound))
+        df.withColumn("compound", let(_valence_sum(words, tokens, modifiers), compound))
         .withColumn("emotion_intensity", round_to(F.abs("compound")))
         .withColumn("emotion_label", labels.emotion_label(F.col("emotion_intensity")))
         .withColumn("sentiment", labels.sentiment(F.col("compound")))
@@ -189,11 +202,16 @@ def subjectivity(
 
 
 def auxiliary_scores(
-    df: DataFrame, text: str = "text", words: WordTable = C.SENTIMENT_WORDS
+    df: DataFrame,
+    text: str = "text",
+    words: WordTable = C.SENTIMENT_WORDS,
+    modifiers: Modifiers = Modifiers(),
 ) -> DataFrame:
     """Both scores in one pass over the rows; the text is split into words once."""
     split = F.col("_emotion_words")
     scored = emotion_intensity(
-        df.withColumn("_emotion_words", emotion_words(F.col(text))), text, words, split
+        df.withColumn("_emotion_words", emotion_words(F.col(text))), text, words, split, modifiers
     )
-    return subjectivity(scored, text, words, split=split).drop("_emotion_words")
+    return subjectivity(
+        scored, text, words, modifiers.boosters, modifiers.dampeners, split=split
+    ).drop("_emotion_words")

@@ -6,18 +6,18 @@ row scaled to unit length. Spark's own ``IDF`` and ``CountVectorizer`` use other
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescope.functions.binding import let
 from framescope.functions.lookup import literal_lookup
 from framescope.functions.text import ngrams_of, vector_tokens
-from framescope.session import text_partitions
 
 
 def word_ngrams(
@@ -100,18 +100,15 @@ def tfidf(
 ) -> DataFrame:
     """Long form (key, term, tf, weight).
 
-    The vocabulary is broadcast: its size is bounded by ``max_features``. Documents are hashed on
-    their key before the terms are exploded, so the row norm, a window over the key, does not
-    shuffle the terms, which are several times larger than the texts.
+    The vocabulary, bounded by ``max_features``, is fitted first; each text is then weighed inside its
+    row, so neither texts nor weights are shuffled.
     """
-    placed = df.select(key, text).repartition(text_partitions(df.sparkSession), key)
-    counts = term_counts(placed, text, key, low, high)
-    vocab = vocabulary(counts, df.count(), min_df, max_features)
-    raw = counts.join(F.broadcast(vocab.select("term", "idf")), "term").withColumn(
-        "raw", (F.log(F.col("tf").cast("double")) + 1.0) * F.col("idf")
+    model = TfidfModel.fit(df, text, key, low, high, min_df, max_features)
+    terms = F.from_json(F.lit(json.dumps(model.terms)), "array<string>")
+    rows = model.weigh(df.select(key, text), text).select(key, F.inline_outer("_weights"))
+    return rows.filter("index IS NOT NULL").select(
+        key, F.get(terms, "index").alias("term"), F.col("n").cast("bigint").alias("tf"), "weight"
     )
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("raw") / norm).alias("weight"))
 
 
 def linear_score(
@@ -157,7 +154,7 @@ class TfidfModel:
         return len(self.terms)
 
     def weigh(self, df: DataFrame, text: str, output: str = "_weights") -> DataFrame:
-        """Add an array of (index, weight) of unit length, sorted by index, without a shuffle.
+        """Add an array of (index, weight, n) of unit length, sorted by index, without a shuffle.
 
         Term indexes are sorted and counted by run length, so the cost is linear-logarithmic in the
         length of a text, however often a term repeats.
@@ -170,6 +167,7 @@ class TfidfModel:
                 counted,
                 lambda r: F.struct(
                     r["value"].alias("index"),
+                    r["n"].alias("n"),
                     ((F.log(r["n"].cast("double")) + 1.0) * F.get(idf, r["value"])).alias("raw"),
                 ),
             )
@@ -181,7 +179,9 @@ class TfidfModel:
                 lambda length: F.transform(
                     rows,
                     lambda r: F.struct(
-                        r["index"].alias("index"), (r["raw"] / length).alias("weight")
+                        r["index"].alias("index"),
+                        (r["raw"] / length).alias("weight"),
+                        r["n"].alias("n"),
                     ),
                 ),
             )

@@ -433,14 +433,10 @@ def probability_histogram(spark, sf_dir):
     "error_analysis",
     B.with_ctes(*B.ALL_PREDICTIONS)
     + " SELECT doc_id, label, probability, prediction, CASE WHEN prediction = 1 THEN 'false positive' ELSE 'false negative' END AS error_type, "
-    "substr(text, 1, 200) AS excerpt FROM predictions JOIN planted USING (doc_id) WHERE label <> prediction",
+    "text FROM predictions JOIN planted USING (doc_id) WHERE label <> prediction",
 )
 def error_analysis(spark, sf_dir):
-    errors = M.error_analysis(predictions(spark, sf_dir))
-    texts = planted_documents(spark, sf_dir).select(
-        "doc_id", F.substring("text", 1, 200).alias("excerpt")
-    )
-    return errors.join(texts, "doc_id")
+    return M.error_analysis(predictions(spark, sf_dir, keep=("text",)))
 
 
 _TERM_TOTALS = (
@@ -490,9 +486,12 @@ def class_distribution(spark, sf_dir):
 
 
 _RAW_WORDS = B.raw_words("text")
+_MEAN_LENGTH = B.ratio(
+    f"coalesce(list_sum(list_transform({_RAW_WORDS}, lambda q: length(q))), 0)", B.word_count("text")
+)
 _LENGTHS = (
     f"len0 AS (SELECT label, length(text)::BIGINT AS chars, {B.word_count('text')}::BIGINT AS words, len({B.fragments('text')})::BIGINT AS sentences, "
-    f"{B.ratio(f'coalesce(list_sum(list_transform({_RAW_WORDS}, lambda q: length(q))), 0)', B.word_count('text'))} AS avg_word_length FROM labelled)"
+    f"{_MEAN_LENGTH} AS avg_word_length FROM labelled)"
 )
 
 
@@ -512,20 +511,22 @@ _FEAT = (
     B.PLANTED, B.DOCS_AS_S, B.WORD_TABLE, B.EMOTION_WORDS, B.EMOTION, B.SUBJECTIVITY, FEATURES,
     "lf AS (SELECT toxic::BIGINT AS label, "
     + ", ".join(f"{B.round_to(n, 6)} AS {n}" for n in C.FEATURE_NAMES)
-    + " FROM feat JOIN labels USING (doc_id))",
+    + f", length(text)::BIGINT AS chars, {B.word_count('text')}::BIGINT AS words, {B.round_to(_MEAN_LENGTH, 6)} AS avg_word_length"
+    + " FROM feat JOIN labels USING (doc_id) JOIN planted USING (doc_id))",
 )
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(label, ten features rounded to six digits)."""
-    featured = linguistic_features(_labelled(spark, sf_dir))
-    return featured.select("label", *[round_to(F.col(n), 6).alias(n) for n in C.FEATURE_NAMES])
+    """(label, ten features rounded to six digits, lengths)."""
+    featured = XP.with_lengths(linguistic_features(_labelled(spark, sf_dir)))
+    names = [*C.FEATURE_NAMES, "avg_word_length"]
+    return featured.select(
+        "label", "chars", "words", *[round_to(F.col(n), 6).alias(n) for n in names]
+    )
 
 
-_CORR_COLUMNS = [
-    "sent_length_variance", "punctuation_density", "unique_word_ratio", "stop_word_ratio",
-    "emotion_intensity", "subjectivity",
-]
+_LENGTH_COLUMNS = ["chars", "words", "avg_word_length"]
+_CORR_COLUMNS = [*C.FEATURE_NAMES, *_LENGTH_COLUMNS]
 _PAIRS = [
     (a, b) for i, a in enumerate(_CORR_COLUMNS) for b in _CORR_COLUMNS[i + 1 :]
 ]

@@ -350,6 +350,15 @@ def history_page(spark, sf_dir):
     return _stamp_text(HI.history_page(analyses(spark, sf_dir), page=2, per_page=50))
 
 
+@query("history_page_after", B.with_ctes(*HISTORY_CTES) + _PAGE.format(where=""))
+def history_page_after(spark, sf_dir):
+    """The second page, by the last row of the first."""
+    stored_rows = analyses(spark, sf_dir)
+    last = HI.history_page(stored_rows, page=1, per_page=50).collect()[-1]  # one page
+    page = HI.history_page_after(stored_rows, last["created_at"], last["id"], per_page=50)
+    return _stamp_text(page)
+
+
 _VERDICT = "Slightly Opinionated"
 
 

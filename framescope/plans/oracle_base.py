@@ -49,7 +49,8 @@ PLANTED = f"""planted AS (
     || {every(5, f"' Corrupt ' || {pick(NAMES, 'doc_id')} || ' failed in ' || {pick(PLACES, 'doc_id')} || '.'")}
     || {every(6, "' Funds were lost'")} || {every(12, "' by clerks'")} || {every(6, "'.'")}
     || {every(7, "' " + '"We won," she told reporters.' + "'")}
-    || {every(11, "' The plan was VERY bold but not slightly shameful!!'")} AS text)
+    || {every(11, "' The plan was VERY bold but not slightly shameful!!'")}
+    || {every(9, quoted(" It isn't heroic. It failed, true heroic. The sky is red and funds were red or were lost."))} AS text)
   FROM documents)"""
 
 
@@ -187,8 +188,10 @@ def _step(distance: int) -> str:
         f"WHEN w{d} IN {sql_in(C.DAMPENERS)} THEN {caps} - {C.BOOST_STEP}e0 ELSE 0e0 END"
     )
     return (
-        f"val{d} AS (SELECT *, (v{d - 1} + sign(v{d - 1}) * {step} * {C.BOOST_DECAY[d - 1]}e0) * "
-        f"CASE WHEN w{d} IN {sql_in(C.NEGATORS)} THEN {C.NEGATION_FACTOR}e0 ELSE 1e0 END AS v{d} "
+        f"val{d} AS (SELECT *, CASE WHEN w{d} IN (SELECT w FROM words) THEN v{d - 1} ELSE "
+        f"(v{d - 1} + sign(v{d - 1}) * {step} * {C.BOOST_DECAY[d - 1]}e0) * "
+        f"CASE WHEN w{d} IN {sql_in(C.NEGATORS)} OR coalesce(regexp_matches(w{d}, {quoted(C.NEGATED_ENDING)}), false) "
+        f"THEN {C.NEGATION_FACTOR}e0 ELSE 1e0 END END AS v{d} "
         f"FROM val{d - 1}),\n"
     )
 
@@ -232,9 +235,11 @@ _GAP = (
 _PASSIVE = quoted(passive_pattern())
 
 PASSIVE = (
-    f"pasrows AS (SELECT *, regexp_extract(sentence, {_PASSIVE}, 1) AS aux_verb, "
-    f"regexp_extract(sentence, {_PASSIVE}, 2) AS main_verb, ({_GAP}) AS is_gap "
-    f"FROM sentrows WHERE regexp_matches(sentence, {_PASSIVE})),\n"
+    f"pasfound AS (SELECT *, regexp_extract_all(sentence, {_PASSIVE}, 1) AS auxs, "
+    f"regexp_extract_all(sentence, {_PASSIVE}, 2) AS verbs FROM sentrows WHERE regexp_matches(sentence, {_PASSIVE})),\n"
+    f"pasfirst AS (SELECT *, list_position(list_transform(verbs, lambda q: lower(q) NOT IN {sql_in(C.NOT_PARTICIPLES)}), true) AS first_ok FROM pasfound),\n"
+    f"pasrows AS (SELECT * EXCLUDE (auxs, verbs, first_ok), auxs[first_ok] AS aux_verb, verbs[first_ok] AS main_verb, ({_GAP}) AS is_gap "
+    "FROM pasfirst WHERE first_ok > 0),\n"
     "pasagg AS (SELECT doc_id, section, count(*) AS p, count(*) FILTER (is_gap) AS g FROM pasrows GROUP BY ALL),\n"
     "pas0 AS (SELECT doc_id, section, len(l)::BIGINT AS passive_total, coalesce(p, 0)::BIGINT AS passive_count, "
     f"coalesce(g, 0)::BIGINT AS gap_count, {round_to(ratio('coalesce(p, 0)', 'len(l)'))} AS passive_rate "

@@ -7,6 +7,8 @@ word lists are appended to every document, by a rule over its id. The same rule
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +64,7 @@ def plant(documents: DataFrame) -> DataFrame:
         every(6, F.lit(".")),
         every(7, F.lit(' "We won," she told reporters.')),
         every(11, F.lit(" The plan was VERY bold but not slightly shameful!!")),
+        every(9, F.lit(" It isn't heroic. It failed, true heroic. The sky is red and funds were red or were lost.")),
     )
     return documents.withColumn("text", text)
 
@@ -100,13 +103,14 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted_documents(spark, sf_dir).select("doc_id", "text").join(labels, "doc_id")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, label, probability, prediction) of the labelled documents."""
+def predictions(spark: SparkSession, sf_dir: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, kept columns, label, probability, prediction) of the labelled documents."""
     scored = planted_model(spark, sf_dir).score(
         labelled_documents(spark, sf_dir), "text", "probability"
     )
     return scored.select(
         "doc_id",
+        *keep,
         F.col("label").cast("bigint").alias("label"),
         "probability",
         F.when(F.col("probability") >= 0.5, 1).otherwise(0).cast("bigint").alias("prediction"),

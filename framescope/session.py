@@ -55,15 +55,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def text_partitions(spark: SparkSession) -> int:
-    """Explicit partition count for text that is about to be multiplied into terms.
-
-    An explicit count is not merged back by adaptive execution, which only sees the small texts.
-    """
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, spark.sparkContext.defaultParallelism)
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores on small inputs.
 

@@ -22,11 +22,17 @@ HISTORY_SCHEMA = ", ".join(
 
 
 def append_analyses(report: DataFrame, path: str) -> None:
-    """Append one row per analysis, in date folders so that recent pages read few files."""
+    """Append one row per analysis, in date folders.
+
+    Rows are rebalanced by date first, so a date gets a few files of good size, also where one date
+    holds most rows. A bloom filter lets a lookup by ``id`` skip files.
+    """
     (
         analysis_record(report)
         .withColumn("created_date", F.to_date("created_at"))
-        .write.mode("append")
+        .hint("rebalance", "created_date")
+        .write.option("parquet.bloom.filter.enabled#id", "true")
+        .mode("append")
         .partitionBy("created_date")
         .parquet(path)
     )
