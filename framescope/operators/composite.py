@@ -11,6 +11,7 @@ from framescope import constants as C
 from framescope.functions import labels
 from framescope.functions.numeric import round_to
 from framescope.functions.text import is_blank, preview, word_count
+from framescope.functions.binding import where_equal
 from framescope.operators.attribution import classify_sentences, opinion_ratios
 from framescope.operators.hedging import hedge_scan
 from framescope.operators.lexicon import lexicon_scan
@@ -107,6 +108,14 @@ def score_sections(
     )
 
 
+def _category_map() -> Column:
+    """Loaded words per lexicon category, only categories that occur."""
+    names = list(C.LOADED_WORDS)
+    counts = [F.size(where_equal("loaded_words", "category", n)).cast("bigint") for n in names]
+    table = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*counts))
+    return F.map_filter(table, lambda _, n: n > 0)
+
+
 def article_report(
     articles: DataFrame,
     model: LinearTextModel | None,
@@ -136,6 +145,7 @@ def article_report(
         "hedge_score", "hedge_label", "loaded_word_count", "unique_loaded_words",
         F.transform("loaded_words", lambda m: m["word"]).alias("loaded_words"),
         distinct_words.alias("distinct_loaded_words"),
+        _category_map().alias("category_counts"),
         "opinion_ratio", "opinion_label", "quote_ratio", "attribution_ratio",
         F.substring("section_text", 1, 500).alias("body_preview"),
         word_count("section_text").cast("bigint").alias("word_count"),

@@ -14,12 +14,16 @@ from framescope.functions.urls import infer_source
 ANALYSIS_COLUMNS = [
     "id", "url", "domain", "headline", "body_preview", "composite_score", "verdict",
     "ml_probability", "ml_label", "engine_scores", "scrape_engine", "word_count", "created_at",
-    "analysis_version",
+    "analysis_version", "domain_info",
 ]
 
 
 def analysis_record(report: DataFrame) -> DataFrame:
-    """Columns of the stored analysis; long texts are cut to their stored width."""
+    """Columns of the stored analysis; long texts are cut to their stored width.
+
+    ``domain_info`` is null where a report has none.
+    """
+    info = F.col("domain_info") if "domain_info" in report.columns else F.lit(None).cast("string")
     return report.select(
         "id", "url", "domain",
         F.substring("headline", 1, 2000).alias("headline"),
@@ -27,6 +31,7 @@ def analysis_record(report: DataFrame) -> DataFrame:
         "composite_score", "verdict", "ml_probability", "ml_label", "engine_scores",
         "scrape_engine", "word_count", "created_at",
         F.lit(C.ANALYSIS_VERSION).alias("analysis_version"),
+        info.alias("domain_info"),
     )
 
 

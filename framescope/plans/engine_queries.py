@@ -558,7 +558,7 @@ def article_report(spark, sf_dir):
     return (
         planted_report(spark, sf_dir)
         .withColumn("loaded_words", F.array_join("loaded_words", ","))
-        .drop("distinct_loaded_words")
+        .drop("distinct_loaded_words", "category_counts")
     )
 
 

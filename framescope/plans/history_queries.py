@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from framescope import constants as C
 from framescope.functions import urls as U
+from framescope.operators import analysis as AN
 from framescope.operators import entities as N
 from framescope.operators import history as HI
 from framescope.operators import ratings as D
 from framescope.operators.composite import article_report, engine_scores
-from framescope.operators.shaping import shape_text_articles
+from framescope.operators.linear_model import LinearTextModel
+from framescope.operators.shaping import extract_fallback, shape_text_articles
+from framescope.operators.tfidf import TfidfModel, coefficients_by_index
 from framescope.plans import oracle_base as B
 from framescope.plans.engine_queries import FRAMED, NER, REPORT_COLUMNS, REPORT_CTES
-from framescope.plans.planted import gazetteer, pick, planted_documents, planted_model
+from framescope.plans.planted import BIAS, WEIGHTS, gazetteer, pick, planted_documents, planted_model
 from framescope.plans.registry import query
-from framescope.plans.text_queries import FALLBACK_SQL
+from framescope.plans.text_queries import FALLBACK_SQL, PAGE_ARTICLES
 from framescope.session import materialize, scratch_path
 from framescope.sources import history as SH
 from framescope.sources import ratings as SR
-from framescope.sources.articles import read_articles
+from framescope.sources.articles import read_articles, read_pages
 
 KNOWN = sorted({r[0] for r in C.GLOBAL_RATINGS} | {r[0] for r in C.REGIONAL_RATINGS})
 DOMAINS = [*KNOWN, "unknown-one.test", "unknown-two.test"]
@@ -288,6 +291,65 @@ def raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.withColumn("timestamp", F.coalesce(bad, F.col("timestamp")))
 
 
+# The report of pages: the same steps over other articles.
+_PAGE_SHAPED = B.SHAPED.replace(f"{B.strip("split_part(text, '.', 1)")} AS headline, {B.PARAS} AS ps", "page_headline AS headline, page_paras AS ps")
+_PAGE_CTES = (
+    RATINGS,
+    *[{B.PLANTED: PAGE_ARTICLES, B.SHAPED: _PAGE_SHAPED}.get(part, part) for part in (
+        *REPORT_CTES, B.GAZETTEER_TABLE, _BODY_MENTIONS, B.FRAMING, FRAMED, NER
+    )],
+    f"catcounts AS (SELECT doc_id, string_agg(category || '=' || n, ',' ORDER BY category) AS categories FROM "
+    "(SELECT doc_id, category, count(*) AS n FROM lexhits WHERE section = 'Full Body' GROUP BY ALL) GROUP BY doc_id),\n"
+    f"base AS (SELECT {REPORT_COLUMNS} FROM report JOIN op USING (doc_id))",
+)
+_ANALYSED_AT = "2024-06-01 12:00:00"
+
+
+@query(
+    "analyze_pages",
+    B.with_ctes(*_PAGE_CTES)
+    + f" SELECT md5(doc_id || '|' || p.url) AS id, p.url, {_HOST.replace('url', 'p.url')} AS domain, b.headline, body_preview, composite_score, b.verdict, "
+    "ml_probability, ml_label, word_count, p.engine AS scrape_engine, m.leaning, m.factual, m.country, n.total_unique AS ner_entity_count, "
+    "n.negatively_framed_entities, coalesce(c.categories, '') AS categories "
+    "FROM base b JOIN planted p USING (doc_id) JOIN ner n USING (doc_id) LEFT JOIN catcounts c USING (doc_id) "
+    f"LEFT JOIN merged m ON m.domain = regexp_replace(trim(lower({_HOST.replace('url', 'p.url')})), '^www\\.', '')",
+)
+def analyze_pages(spark, sf_dir):
+    """Pages to stored analyses, end to end; the model's vocabulary is that of the articles."""
+    pages = read_pages(spark, sf_dir)
+    bodies = AN.accepted_pages(extract_fallback(pages)).select("page_id", "body_text")
+    tfidf = TfidfModel.fit(bodies, "body_text", "page_id")
+    model = LinearTextModel(tfidf, coefficients_by_index(tfidf, WEIGHTS), BIAS)
+    found = materialize(
+        AN.analyze_pages(
+            pages, model, gazetteer(spark), merged_ratings(spark, sf_dir), F.lit(_ANALYSED_AT).cast("timestamp")
+        ),
+        "page-reports",
+    )
+    path = scratch_path(spark, "page-analyses")
+    SH.append_analyses(found, path)
+    sizes = F.array_sort(
+        F.transform(F.map_entries("category_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    )
+    extras = found.select(
+        "id", "ner_entity_count", "negatively_framed_entities", F.array_join(sizes, ",").alias("categories")
+    )
+    return SH.read_analyses(spark, path).join(extras, "id").select(
+        "id", "url", "domain", "headline", "body_preview", "composite_score", "verdict",
+        "ml_probability", "ml_label", "word_count", "scrape_engine",
+        *[F.get_json_object("domain_info", f"$.{n}").alias(n) for n in AN.RATING_FIELDS],
+        "ner_entity_count", "negatively_framed_entities", "categories",
+    )
+
+
+@query(
+    "rejected_pages",
+    f"SELECT page_id, url, error FROM ({FALLBACK_SQL}) JOIN pages USING (page_id) WHERE success = 0",
+)
+def rejected_pages(spark, sf_dir):
+    return AN.rejected_pages(extract_fallback(read_pages(spark, sf_dir)))
+
+
 _STAMP = "strftime(created_at, '%Y-%m-%d %H:%M:%S')"
 
 

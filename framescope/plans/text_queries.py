@@ -204,6 +204,14 @@ def _fallback(spark, sf_dir, order) -> DataFrame:
 
 
 FALLBACK_SQL = _fallback_sql("lines", "paragraphs")
+# Accepted pages as articles, under the names that the report of documents uses.
+PAGE_ARTICLES = (
+    "planted AS (SELECT page_id AS doc_id, url, engine, headline AS page_headline, body_text AS text, page_paras FROM ("
+    + FALLBACK_SQL.replace("line_text, line_words, ", "line_text, line_words, ps, ls, ").replace(
+        " AS success, ", " AS success, url, CASE engine WHEN 'lines' THEN ls ELSE ps END AS page_paras, "
+    )
+    + ") WHERE success = 1)"
+)
 
 
 @query("extract_fallback", FALLBACK_SQL)
