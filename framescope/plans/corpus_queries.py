@@ -238,7 +238,7 @@ def corpus_summary(spark, sf_dir):
     return G.corpus_summary(G.build_corpus(_frames(spark, sf_dir)))
 
 
-_RANKED = (
+RANKED = (
     "ranked AS (SELECT doc_id, toxic::BIGINT AS label, row_number() OVER (PARTITION BY toxic ORDER BY md5('42:' || doc_id), doc_id) AS r, "
     "count(*) OVER (PARTITION BY toxic) AS n FROM labels)"
 )
@@ -251,7 +251,7 @@ def _label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stratified_split",
-    B.with_ctes(_RANKED)
+    B.with_ctes(RANKED)
     + " SELECT doc_id, label, CASE WHEN r <= floor(n * 0.2e0 + 0.5e0) THEN 'test' ELSE 'train' END AS split FROM ranked",
 )
 def stratified_split(spark, sf_dir):
@@ -260,7 +260,7 @@ def stratified_split(spark, sf_dir):
 
 @query(
     "stratified_folds",
-    B.with_ctes(_RANKED) + " SELECT doc_id, label, ((r - 1) % 5)::BIGINT AS fold FROM ranked",
+    B.with_ctes(RANKED) + " SELECT doc_id, label, ((r - 1) % 5)::BIGINT AS fold FROM ranked",
 )
 def stratified_folds(spark, sf_dir):
     folds = G.stratified_folds(_label_rows(spark, sf_dir))

@@ -240,3 +240,47 @@ def test_long_gazetteer_surfaces_are_matched(spark, texts):
     docs = texts("The World Health Assembly Board met today.", "World Health Assembly only.")
     found = entities.entity_mentions(docs, gazetteer).collect()
     assert [(r["doc_id"], r["entity"]) for r in found] == [(0, "World Health Assembly Board")]
+
+
+def test_words_in_ed_are_not_passive(spark):
+    from framescope.operators.passive import passive_scan
+
+    rows = [
+        (1, "The sky is red."), (2, "They were indeed happy."), (3, "Votes were counted."),
+        (4, "It was red or was lost."),
+    ]
+    found = passive_scan(spark.createDataFrame(rows, "id int, text string")).orderBy("id").collect()
+    assert [[p["main_verb"] for p in r["passive_sentences"]] for r in found] == [[], [], ["counted"], ["lost"]]
+
+
+def test_listed_words_do_not_modify_and_contractions_negate(spark):
+    from framescope.operators.sentiment import Modifiers, emotion_intensity
+
+    words = {"no": (-1.2, 0.5), "good": (1.9, 0.5)}
+    rows = [(1, "no good"), (2, "isn't good"), (3, "hyper good"), (4, "so good")]
+    frame = spark.createDataFrame(rows, "id int, text string")
+    scored = emotion_intensity(frame, words=words, modifiers=Modifiers(boosters=["hyper"]))
+    plain = {r["id"]: r["compound"] for r in scored.collect()}
+    assert plain[1] > 0 and plain[2] < 0 and plain[3] > plain[4] > 0
+
+
+def test_summary_of_given_mentions_is_that_of_the_gazetteer(spark):
+    from framescope.operators import entities as N
+
+    texts = spark.createDataFrame(
+        [(1, "Corrupt Paris failed. Paris won."), (2, ""), (3, None), (4, "Nothing here.")],
+        "doc_id int, text string",
+    )
+    names = spark.createDataFrame([("Paris", "GPE")], "surface string, entity_type string")
+    one = N.gazetteer_summary(texts, names).orderBy("doc_id").collect()
+    two = N.ner_summary(texts, N.entity_mentions(texts, names)).orderBy("doc_id").collect()
+    assert one == two and len(one) == 4
+    assert [r["total_unique"] for r in one] == [1, 0, 0, 0]
+
+
+def test_dedup_keeps_one_row_where_keys_repeat(spark):
+    from framescope.operators.corpus import dedup_text
+
+    rows = [(0, 1, "Same"), (0, 1, "same"), (1, 2, "SAME"), (0, 3, "other")]
+    kept = dedup_text(spark.createDataFrame(rows, "priority int, row_id int, text string")).collect()
+    assert sorted(r["row_id"] for r in kept) == [1, 3]

@@ -84,3 +84,32 @@ def test_top_terms_are_cut_before_the_shuffle(spark):
 
     text = plan(top_ngrams(labelled_documents(spark, SMALL), 2))
     assert text.count("WindowGroupLimit") == 2
+
+
+def test_entities_read_texts_once(spark):
+    from framescope.operators import entities as N
+    from framescope.plans.history_queries import full_report
+    from framescope.plans.planted import gazetteer
+
+    docs = documents(spark)
+    for frame in (
+        N.gazetteer_summary(docs, gazetteer(spark)),
+        N.top_entities(N.entity_mentions(docs, gazetteer(spark))),
+    ):
+        assert plan(frame).count("FileScan") == 1
+    assert plan(full_report(spark, SMALL)).count("FileScan") == 2
+
+
+def test_tfidf_moves_no_text(spark):
+    from framescope.operators.tfidf import tfidf
+
+    assert "Exchange" not in plan(tfidf(documents(spark), max_features=50))
+
+
+def test_keyset_page_reads_only_older_dates(spark):
+    from datetime import datetime
+
+    page = history.history_page_after(analyses(spark, SMALL), datetime(2024, 1, 1, 2), "x", 5)
+    text = plan(page)
+    filters = text[text.index("PartitionFilters: ["):].split("]")[0]
+    assert "created_date" in filters

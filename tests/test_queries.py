@@ -46,6 +46,6 @@ def test_queries_without_sql_are_the_trained_ones():
     entry.queries()  # registers them
     trained = set(registry.QUERIES) - set(registry.ORACLE)
     assert trained == {
-        "train_logistic", "train_enhanced", "train_boosted", "predict_bias", "save_load_model",
+        "train_logistic", "train_enhanced", "train_boosted", "predict_bias",
         "cross_validate", "model_comparison", "regularization_sweep", "learning_curve",
     }
