@@ -2,9 +2,9 @@
 
 A candidate is any run of 16 or more characters that keys are written with. The network sees the
 start of the run and the characters around it. It is trained on labelled findings - candidates that a
-pattern proves, against candidates that none does - on the driver, from a bounded sample of texts.
-Its output is calibrated on findings kept aside, and its threshold is the highest at which the
-stated share of proven findings is still found.
+pattern proves, against candidates that none does - on the driver, from a bounded number of findings
+of all texts. Its output is calibrated on all findings kept aside, and its threshold is the highest at
+which the stated share of proven findings is still found.
 """
 
 from __future__ import annotations
@@ -32,9 +32,11 @@ KINDS = ("assign", "access", "hex", "net")
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "api")
-#: Expected number of texts that labelled findings are taken from at most, and of findings a kind.
-FIT_TEXTS = 12_000
+#: Findings of each label that the network learns from at most.
 FIT_FINDINGS = 1_500
+#: One finding in so many is kept aside, and its output is rounded to one part in so many.
+ASIDE = 4
+STEPS = 100
 LEAST_FINDINGS = 20
 RECALL = 0.95
 BEFORE, INSIDE, AFTER = 16, 40, 8
@@ -155,60 +157,115 @@ def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 5) -
     return w
 
 
+def network_output(weights: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    return np.concatenate([_forward(weights, part)[0] for part in np.array_split(x, max(1, len(x) // 2048))])
+
+
+def chance(model: SecretModel, raw: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(model.slope * raw + model.shift, -30, 30)))
+
+
 def probability(model: SecretModel, x: np.ndarray) -> np.ndarray:
-    out = [_forward(model.weights, part)[0] for part in np.array_split(x, max(1, len(x) // 2048))]
-    return 1 / (1 + np.exp(-np.clip(model.slope * np.concatenate(out) + model.shift, -30, 30)))
+    return chance(model, network_output(model.weights, x))
+
+
+def calibrated(
+    weights: dict[str, np.ndarray], raw: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = RECALL
+) -> SecretModel:
+    """Calibration and threshold from outputs ``raw`` of the network, each of ``n`` findings of label ``y``.
+
+    The threshold keeps ``recall`` of the proven findings, and is never below one half.
+    """
+    proven, total = n[y == 1].sum(), n.sum()
+    target = np.where(y == 1, (proven + 1) / (proven + 2), 1 / (total - proven + 2))
+    middle = (raw * n).sum() / total
+    scale = max(1e-6, float(np.sqrt(((raw - middle) ** 2 * n).sum() / total)))
+    z, slope, shift = (raw - middle) / scale, 1.0, 0.0
+    for _ in range(2000):  # a plain descent: two numbers only
+        gap = (1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30))) - target) * n / total
+        slope, shift = max(0.05, slope - (gap * z).sum()), shift - gap.sum()
+    model = SecretModel(weights, slope / scale, shift - slope * middle / scale, 0.5)
+    order = np.argsort(raw[y == 1])
+    place = np.searchsorted(np.cumsum(n[y == 1][order]), int((1 - recall) * proven), "right")
+    return model._replace(threshold=max(0.5, float(chance(model, raw[y == 1][order][place]))))
 
 
 def fit_from_findings(x: np.ndarray, y: np.ndarray, aside: np.ndarray, recall: float = RECALL) -> SecretModel | None:
     """Train on some findings; calibrate and set the threshold on those kept ``aside``.
 
-    The threshold keeps ``recall`` of the proven findings, and is never below one half. With fewer
-    than ``LEAST_FINDINGS`` findings of either label on either side there is no model.
+    With fewer than ``LEAST_FINDINGS`` findings of either label on either side there is no model.
     """
     if any(((y == label) & (aside == side)).sum() < LEAST_FINDINGS for label in (0, 1) for side in (False, True)):
         return None
-    model = SecretModel(fit_network(x[~aside], y[~aside]), 1.0, 0.0, 0.5)
-    raw, label = _forward(model.weights, x[aside])[0], y[aside]
-    target = np.where(label == 1, (label.sum() + 1) / (label.sum() + 2), 1 / ((1 - label).sum() + 2))
-    slope, shift = 1.0, 0.0
-    for _ in range(300):  # a plain descent: two numbers only
-        gap = 1 / (1 + np.exp(-np.clip(slope * raw + shift, -30, 30))) - target
-        slope, shift = max(0.05, slope - 0.1 * (gap * raw).mean() / max(1.0, raw.std())), shift - 0.1 * gap.mean()
-    model = model._replace(slope=slope, shift=shift)
-    proven = np.sort(probability(model, x[aside & (y == 1)]))
-    return model._replace(threshold=max(0.5, float(proven[int((1 - recall) * len(proven))])))
-
-
-def fit_secret_model(docs: DataFrame, fit_texts: int = FIT_TEXTS, fit_findings: int = FIT_FINDINGS) -> SecretModel | None:
-    """Labelled findings of a bounded sample of texts, taken by a hash of the identifier."""
-    rows = docs.count()
-    rate = int(min(1.0, fit_texts / max(rows, 1)) * 1_000_000)
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate).select(whole_text().alias("text"))
-
-    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    weights = fit_network(x[~aside], y[~aside])
+    return calibrated(weights, _forward(weights, x[aside])[0], y[aside], np.ones(aside.sum()), recall)
+
+
+def labelled_windows(text: str) -> Iterator[tuple[np.ndarray, int]]:
+    """Codes and label of every candidate of a text: 1 if a pattern proves it."""
+    runs = candidate_runs(text)
+    proven = base_spans(text, runs) if runs else []
+    for start, end in runs:
+        yield encode(text, start, end).astype(np.int8), int(any(s.start < end and start < s.end for s in proven))
+
+
+def fit_secret_model(docs: DataFrame, fit_findings: int = FIT_FINDINGS) -> SecretModel | None:
+    """Labelled findings of all texts. Equal ones count once; a quarter, by hash, is kept aside.
+
+    The network learns from the ``fit_findings`` lowest hashes of each label among the others. Its
+    calibration and threshold come from all findings kept aside, as counts of rounded outputs.
+    """
+    texts = docs.select(whole_text().alias("text"))
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lowest hashes of each label of a task, which hold the lowest ones of all tasks."""
+        held: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
         for batch in slices(batches, "text", 4_000_000):
-            x, y, draws = [], [], []
             for text in batch.column("text").to_pylist():
-                runs = candidate_runs(text)
-                proven = base_spans(text, runs) if runs else []
-                for start, end in runs:
-                    x.append(encode(text, start, end).astype(np.int8))
-                    y.append(int(any(s.start < end and start < s.end for s in proven)))
-                    draws.append(hash_window(x[-1]))
+                for codes, y in labelled_windows(text):
+                    draw = hash_window(codes)
+                    if draw % ASIDE:
+                        held[y][draw] = codes
+                        if len(held[y]) > 4 * fit_findings:
+                            for extra in sorted(held[y])[fit_findings:]:
+                                del held[y][extra]
+        for y in (0, 1):
+            draws = sorted(held[y])[:fit_findings]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x, pa.list_(pa.int8())), pa.array(y, pa.int32()), pa.array(draws, pa.int64())], ["x", "y", "draw"]
-            )
+                [pa.array([held[y][d] for d in draws], pa.list_(pa.int8())), pa.array([y] * len(draws), pa.int32()), pa.array(draws, pa.int64())],
+                ["x", "y", "draw"],
+            )
 
-    # Equal findings count once; of each label the lowest draws are taken.
-    found = sample.mapInArrow(label, "x array<tinyint>, y int, draw bigint").dropDuplicates(["draw", "y"])
+    found = texts.mapInArrow(lowest, "x array<tinyint>, y int, draw bigint").dropDuplicates(["draw", "y"])
     parts = [found.filter(F.col("y") == k).orderBy("draw").limit(fit_findings).toPandas() for k in (0, 1)]
-    if not all(len(p) for p in parts):
+    if any(len(p) < LEAST_FINDINGS for p in parts):
         return None
     x = np.concatenate([np.stack(p["x"].to_numpy()) for p in parts]).astype(np.int64)
     y = np.concatenate([p["y"].to_numpy() for p in parts])
-    draw = np.concatenate([p["draw"].to_numpy() for p in parts])
-    return fit_from_findings(x, y, draw % 4 == 0)
+    weights = fit_network(x, y)
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rounded outputs of the findings kept aside; rounded down, so that a threshold keeps them."""
+        for batch in slices(batches, "text", 4_000_000):
+            rows = {}
+            for text in batch.column("text").to_pylist():
+                for codes, y in labelled_windows(text):
+                    draw = hash_window(codes)
+                    if draw % ASIDE == 0:
+                        rows[draw, y] = codes
+            if rows:
+                draws, labels = (pa.array(column) for column in zip(*rows, strict=True))
+                raw = network_output(shared.value, np.stack(list(rows.values())))
+                step = pa.array(np.floor(raw * STEPS).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([draws, labels, step], ["draw", "y", "step"])
+
+    kept = texts.mapInArrow(outputs, "draw bigint, y bigint, step bigint").dropDuplicates(["draw", "y"])
+    counts = kept.groupBy("y", "step").count().orderBy("y", "step").toPandas()
+    y, n = counts["y"].to_numpy(), counts["count"].to_numpy(float)
+    if any(n[y == label].sum() < LEAST_FINDINGS for label in (0, 1)):
+        return None
+    return calibrated(weights, counts["step"].to_numpy(float) / STEPS, y, n)
 
 
 def hash_window(codes: np.ndarray) -> int:

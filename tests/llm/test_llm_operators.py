@@ -117,6 +117,18 @@ def test_secret_network_finds_findings_kept_aside():
     assert secret_scan.scan_texts([f"plain {upper}"], None)[0] == []
 
 
+def test_secret_findings_come_from_all_texts(spark):
+    """Few secrets in a long table: a sample of its texts would not hold enough of them."""
+    rng = random.Random(4)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randint(16, 30)))
+    rows = [(i, f"some {key()} here" if i % 200 == 0 else f"some {word()} here") for i in range(40_000)]
+    model = secret_scan.fit_secret_model(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8))
+    assert model is not None
+    proven = np.stack([secret_scan.encode(t, 5, 45) for i, t in rows if i % 200 == 0])
+    assert (secret_scan.probability(model, proven) >= model.threshold).mean() >= 0.9
+
+
 def test_quality_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = queries.op4_quality(spark, SF).join(labels, "doc_id").filter("held_out").collect()
