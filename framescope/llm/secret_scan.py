@@ -1,7 +1,7 @@
 """Secret detection: fixed patterns, and a character convolutional network over all candidates.
 
-A candidate is any run of 16 or more characters that keys are written with. The network sees the
-start of the run and the characters around it. It is trained on labelled findings - candidates that a
+A candidate is any run of 16 or more characters that keys are written with. The network sees it in
+overlapping windows over its whole length, each with the characters around it. It is trained on labelled findings - candidates that a
 pattern proves, against candidates that none does - on the driver, from a bounded number of findings
 of all texts. Its output is calibrated on all findings kept aside, and its threshold is the highest at
 which the stated share of proven findings is still found.
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice, takewhile
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +32,10 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 KINDS = ("assign", "access", "hex", "net")
 
+LEAST = 16
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
+#: A piece of a long run between its separators.
+PIECE = re.compile(r"[A-Za-z0-9+]{16,}")
 WORDS = ("password", "passwd", "secret", "token", "api")
 #: Findings of each label that the network learns from at most.
 FIT_FINDINGS = 1_500
@@ -40,6 +45,8 @@ STEPS = 100
 LEAST_FINDINGS = 20
 RECALL = 0.95
 BEFORE, INSIDE, AFTER = 16, 40, 8
+#: Distance of the windows of a run that is longer than one window.
+STRIDE = 20
 WIDTH, ALPHABET, EMBED, FILTERS = 5, 98, 6, 12
 
 
@@ -77,11 +84,51 @@ def candidate_runs(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in CANDIDATE.finditer(text)]
 
 
-def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the characters around a candidate and of its beginning; 0 is padding."""
-    head = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0")
+def run_windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Windows of at most ``INSIDE`` characters that cover a run: itself if it is short, else one
+    every ``STRIDE`` characters, and one at every long piece between separators."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    windows = {(a, a + INSIDE) for a in (*range(start, end - INSIDE, STRIDE), end - INSIDE)}
+    windows |= {(m.start(), min(m.end(), m.start() + INSIDE)) for m in PIECE.finditer(text, start, end)}
+    return sorted(windows)
+
+
+def proven_parts(base: list[Span]) -> list[tuple[int, int]]:
+    """Spans merged where they overlap, in ascending order; ``base`` is sorted by start."""
+    merged: list[tuple[int, int]] = []
+    for _, start, end in base:
+        if merged and start < merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+        else:
+            merged.append((start, end))
+    return merged
+
+
+def open_parts(runs: list[tuple[int, int]], base: list[Span]) -> Iterator[tuple[int, int]]:
+    """Parts of the runs that no pattern's span covers, if they are as long as a candidate."""
+    proven = proven_parts(base)
+    ends = [b for _, b in proven]
+    for start, end in runs:
+        for a, b in islice(proven, bisect_right(ends, start), None):
+            if a >= end:
+                break
+            if a - start >= LEAST:
+                yield start, a
+            start = max(start, b)
+        if end - start >= LEAST:
+            yield start, end
+
+
+def encode(text: str, start: int, end: int, run: tuple[int, int] | None = None) -> np.ndarray:
+    """Codes of the characters around a window and of the window; 0 is padding.
+
+    What surrounds a window in its own run is blank, so that a window inside a run looks like a run.
+    """
+    first, last = run or (start, end)
+    head = (text[max(0, start - BEFORE) : start] if start == first else " " * BEFORE).rjust(BEFORE, "\0")
     body = text[start : min(end, start + INSIDE)].ljust(INSIDE, "\0")
-    tail = text[end : end + AFTER].ljust(AFTER, "\0")
+    tail = (text[end : end + AFTER] if end == last else " " * AFTER).ljust(AFTER, "\0")
     codes = np.frombuffer((head + body + tail).encode("utf-32-le"), np.uint32)
     return np.where(codes == 0, 0, np.where((codes >= 32) & (codes < 127), codes - 31, ALPHABET - 1)).astype(np.int64)
 
@@ -202,11 +249,21 @@ def fit_from_findings(x: np.ndarray, y: np.ndarray, aside: np.ndarray, recall: f
 
 
 def labelled_windows(text: str) -> Iterator[tuple[np.ndarray, int]]:
-    """Codes and label of every candidate of a text: 1 if a pattern proves it."""
+    """Codes and label of the windows of every candidate of a text.
+
+    1 if patterns prove half of the window or all of a key lies in it, 0 if they prove nothing of it;
+    a window that shows a smaller part of a key has no label and is left out.
+    """
     runs = candidate_runs(text)
-    proven = base_spans(text, runs) if runs else []
-    for start, end in runs:
-        yield encode(text, start, end).astype(np.int8), int(any(s.start < end and start < s.end for s in proven))
+    proven = proven_parts(base_spans(text, runs)) if runs else []
+    ends = [b for _, b in proven]
+    for run in runs:
+        for start, end in run_windows(text, *run):
+            first = bisect_right(ends, start)
+            inside = list(takewhile(lambda part: part[0] < end, islice(proven, first, None)))
+            seen = sum(min(b, end) - max(a, start) for a, b in inside)
+            if not seen or 2 * seen >= end - start or any(start <= a and b <= end for a, b in inside):
+                yield encode(text, start, end, run).astype(np.int8), int(seen > 0)
 
 
 def fit_secret_model(docs: DataFrame, fit_findings: int = FIT_FINDINGS) -> SecretModel | None:
@@ -276,20 +333,36 @@ def hash_window(codes: np.ndarray) -> int:
 def scan_texts(texts: list[str], model: SecretModel | None) -> list[list[Span]]:
     """All spans of each text, by start and kind: the patterns' ones, and what the network adds.
 
-    A candidate that a pattern's span overlaps adds nothing; the others add the whole run.
+    The network sees the parts of candidates that no pattern's span covers, over their whole length:
+    a short part is added as a whole, of a long one the windows that pass, merged where they meet.
     """
     spans, x, places = [], [], []
+
+    def score() -> None:
+        if x:
+            for p, (i, part, start, end) in zip(probability(model, np.stack(x)), places, strict=True):
+                if p < model.threshold:
+                    continue
+                last = spans[i][-1] if spans[i] else None
+                if last and last.kind == "net" and part <= last.start and start <= last.end:
+                    spans[i][-1] = Span("net", last.start, max(end, last.end))
+                else:
+                    spans[i].append(Span("net", start, end))
+        x.clear()
+        places.clear()
+
     for i, text in enumerate(texts):
         runs = candidate_runs(text)
-        base = base_spans(text, runs)
-        spans.append(base)
-        for start, end in runs:
-            x.append(encode(text, start, end))
-            places.append((i, start, end, any(s.start < end and start < s.end for s in base)))
-    if model is not None and x:
-        for p, (i, start, end, proven) in zip(probability(model, np.stack(x)), places, strict=True):
-            if p >= model.threshold and not proven:
-                spans[i] = [*spans[i], Span("net", start, end)]
+        spans.append(base_spans(text, runs))
+        if model is None:
+            continue
+        for part in open_parts(runs, list(spans[i])):
+            for start, end in run_windows(text, *part):
+                x.append(encode(text, start, end, part).astype(np.int8))
+                places.append((i, part[0], start, end))
+                if len(x) == 4096:  # a run of any length is scored in bounded memory
+                    score()
+    score()
     return [sorted(s, key=lambda s: (s.start, KINDS.index(s.kind))) for s in spans]
 
 

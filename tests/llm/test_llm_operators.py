@@ -129,6 +129,34 @@ def test_secret_findings_come_from_all_texts(spark):
     assert (secret_scan.probability(model, proven) >= model.threshold).mean() >= 0.9
 
 
+def test_secrets_in_long_runs():
+    """A key at the end of a long run, and one beside what a pattern finds in the same run."""
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    word = lambda n: "".join(rng.choice("aeinorst") for _ in range(n))
+    runs = [word(rng.randint(16, 40)) for _ in range(400)] + [key(rng.randint(20, 40)) for _ in range(400)]
+    x = np.stack([secret_scan.encode(f"{' ' * 16}{r} there", 16, 16 + len(r)) for r in runs])
+    model = secret_scan.fit_from_findings(x, np.repeat([0, 1], 400), np.arange(800) % 4 == 0)
+    found = 0
+    for _ in range(100):
+        path, tail = "/".join(word(9) for _ in range(12)), key(30)
+        spans = secret_scan.scan_texts([f"see {path}/{tail} there"], model)[0]
+        start = 4 + len(path) + 1
+        found += any(s.kind == "net" and s.start <= start + 4 and s.end >= start + 26 for s in spans)
+    assert found >= 90
+    beside = f"see AKIA{key(16)}/{word(4)}.{key(36)} there"
+    kinds = [s.kind for s in secret_scan.scan_texts([beside], model)[0]]
+    assert kinds == ["access", "net"]
+    assert secret_scan.scan_texts([f"a {word(20_000)} b"], model)[0] == []
+    long_key = f"a {key(200_000)} b"
+    spans = secret_scan.scan_texts([long_key], model)[0]
+    assert sum(s.end - s.start for s in spans) > 180_000 and all(a.end < b.start for a, b in zip(spans, spans[1:], strict=False))
+    # Each window is labelled by what it shows, not by what the run holds elsewhere.
+    text = "/".join(word(9) for _ in range(12)) + "/" + "0123456789abcdef" * 2
+    labels = [y for _, y in secret_scan.labelled_windows(text)]
+    assert set(labels) == {0, 1} and labels[0] == 0 and labels[-1] == 1
+
+
 def test_quality_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = queries.op4_quality(spark, SF).join(labels, "doc_id").filter("held_out").collect()
