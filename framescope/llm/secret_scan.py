@@ -2,7 +2,7 @@
 
 A candidate is any run of 16 or more characters that keys are written with. The network sees it in
 overlapping windows over its whole length, each with the characters around it. It is trained on labelled findings - candidates that a
-pattern proves, against candidates that none does - on the driver, from a bounded number of findings
+pattern proves, against candidates that none does and that do not look like a key - on the driver, from a bounded number of findings
 of all texts. Its output is calibrated on all findings kept aside, and its threshold is the highest at
 which the stated share of proven findings is still found.
 """
@@ -45,6 +45,8 @@ STEPS = 100
 LEAST_FINDINGS = 20
 RECALL = 0.95
 BEFORE, INSIDE, AFTER = 16, 40, 8
+#: Where letters, capitals and digits change within a word, but for an initial capital.
+TURN = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9])")
 #: Distance of the windows of a run that is longer than one window.
 STRIDE = 20
 WIDTH, ALPHABET, EMBED, FILTERS = 5, 98, 6, 12
@@ -57,12 +59,14 @@ class Span(NamedTuple):
 
 
 class SecretModel(NamedTuple):
-    """Weights of the network, its calibration and its threshold on the calibrated output."""
+    """Weights of the network, its calibration, its threshold on the calibrated output, and the share
+    of findings kept aside that pass, by kinds: as they stand and with their surroundings blanked."""
 
     weights: dict[str, np.ndarray]
     slope: float
     shift: float
     threshold: float
+    recall: dict[str, tuple[float, float]] = {}
 
 
 def base_spans(text: str, candidates: list[tuple[int, int]]) -> list[Span]:
@@ -94,23 +98,29 @@ def run_windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
     return sorted(windows)
 
 
-def proven_parts(base: list[Span]) -> list[tuple[int, int]]:
-    """Spans merged where they overlap, in ascending order; ``base`` is sorted by start."""
-    merged: list[tuple[int, int]] = []
-    for _, start, end in base:
+def proven_parts(base: list[Span]) -> list[tuple[int, int, frozenset[str]]]:
+    """Spans merged where they overlap, with their kinds, in ascending order; ``base`` is sorted by start."""
+    merged: list[tuple[int, int, frozenset[str]]] = []
+    for kind, start, end in base:
         if merged and start < merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+            first, last, kinds = merged[-1]
+            merged[-1] = (first, max(end, last), kinds | {kind})
         else:
-            merged.append((start, end))
+            merged.append((start, end, frozenset({kind})))
     return merged
 
 
+def like_a_key(window: str) -> bool:
+    """Whether letters, capitals and digits take turns as in a key; what no pattern proves may be one."""
+    return len(TURN.findall(window)) >= max(3, len(window) / 8)
+
+
 def open_parts(runs: list[tuple[int, int]], base: list[Span]) -> Iterator[tuple[int, int]]:
     """Parts of the runs that no pattern's span covers, if they are as long as a candidate."""
     proven = proven_parts(base)
-    ends = [b for _, b in proven]
+    ends = [b for _, b, _ in proven]
     for start, end in runs:
-        for a, b in islice(proven, bisect_right(ends, start), None):
+        for a, b, _ in islice(proven, bisect_right(ends, start), None):
             if a >= end:
                 break
             if a - start >= LEAST:
@@ -185,13 +195,12 @@ def fit_network(x: np.ndarray, y: np.ndarray, epochs: int = 12, seed: int = 5) -
     }
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in w.items()}
     share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
-    space, step = ord(" ") - 31, 0
+    step = 0
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 64)):
             batch = x[rows].copy()
             blank = rng.random(len(rows)) < 0.5
-            batch[blank, :BEFORE] = space
-            batch[blank, BEFORE + INSIDE :] = space
+            batch[blank] = blanked(batch[blank])
             logit, kept = _forward(w, batch)
             d = share[rows] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[rows]) / len(rows)
             step += 1
@@ -216,25 +225,42 @@ def probability(model: SecretModel, x: np.ndarray) -> np.ndarray:
     return chance(model, network_output(model.weights, x))
 
 
+def blanked(x: np.ndarray) -> np.ndarray:
+    """Windows without their surroundings."""
+    out = x.copy()
+    out[:, :BEFORE] = out[:, BEFORE + INSIDE :] = ord(" ") - 31
+    return out
+
+
 def calibrated(
-    weights: dict[str, np.ndarray], raw: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float = RECALL
+    weights: dict[str, np.ndarray], raw: np.ndarray, kinds: np.ndarray, bare: np.ndarray, n: np.ndarray, recall: float = RECALL
 ) -> SecretModel:
-    """Calibration and threshold from outputs ``raw`` of the network, each of ``n`` findings of label ``y``.
+    """Calibration and threshold from outputs ``raw`` of the network, each of ``n`` findings.
 
-    The threshold keeps ``recall`` of the proven findings, and is never below one half.
+    ``kinds`` names the patterns that prove a finding, "" if none does; ``bare`` tells the outputs with
+    blanked surroundings from those of findings as they stand. The threshold is the highest that keeps
+    ``recall`` of the proven findings in either form, as a key that no pattern finds has no telling words.
     """
-    proven, total = n[y == 1].sum(), n.sum()
-    target = np.where(y == 1, (proven + 1) / (proven + 2), 1 / (total - proven + 2))
+    y = kinds != ""
+    proven, total = n[y].sum(), n.sum()
+    target = np.where(y, (proven + 1) / (proven + 2), 1 / (total - proven + 2))
     middle = (raw * n).sum() / total
     scale = max(1e-6, float(np.sqrt(((raw - middle) ** 2 * n).sum() / total)))
     z, slope, shift = (raw - middle) / scale, 1.0, 0.0
     for _ in range(2000):  # a plain descent: two numbers only
         gap = (1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30))) - target) * n / total
         slope, shift = max(0.05, slope - (gap * z).sum()), shift - gap.sum()
-    model = SecretModel(weights, slope / scale, shift - slope * middle / scale, 0.5)
-    order = np.argsort(raw[y == 1])
-    place = np.searchsorted(np.cumsum(n[y == 1][order]), int((1 - recall) * proven), "right")
-    return model._replace(threshold=max(0.5, float(chance(model, raw[y == 1][order][place]))))
+    least = []
+    for form in (False, True):
+        mine = np.flatnonzero(y & (bare == form))
+        mine = mine[np.argsort(raw[mine])]
+        place = np.searchsorted(np.cumsum(n[mine]), int((1 - recall) * n[mine].sum()), "right")
+        least.append(raw[mine][place])
+    model = SecretModel(weights, slope / scale, shift - slope * middle / scale, 0.0)
+    model = model._replace(threshold=float(chance(model, np.array([min(least)]))[0]))
+    passed = chance(model, raw) >= model.threshold
+    share = lambda rows: float((n * passed)[rows].sum() / n[rows].sum())
+    return model._replace(recall={str(k): tuple(share((kinds == k) & (bare == form)) for form in (False, True)) for k in sorted(set(kinds[y]))})
 
 
 def fit_from_findings(x: np.ndarray, y: np.ndarray, aside: np.ndarray, recall: float = RECALL) -> SecretModel | None:
@@ -245,25 +271,30 @@ def fit_from_findings(x: np.ndarray, y: np.ndarray, aside: np.ndarray, recall: f
     if any(((y == label) & (aside == side)).sum() < LEAST_FINDINGS for label in (0, 1) for side in (False, True)):
         return None
     weights = fit_network(x[~aside], y[~aside])
-    return calibrated(weights, _forward(weights, x[aside])[0], y[aside], np.ones(aside.sum()), recall)
+    raw = network_output(weights, np.concatenate([x[aside], blanked(x[aside])]))
+    kinds, bare = np.where(np.tile(y[aside], 2) == 1, "proven", ""), np.repeat([False, True], aside.sum())
+    return calibrated(weights, raw, kinds, bare, np.ones(len(raw)), recall)
 
 
-def labelled_windows(text: str) -> Iterator[tuple[np.ndarray, int]]:
-    """Codes and label of the windows of every candidate of a text.
+def labelled_windows(text: str) -> Iterator[tuple[np.ndarray, str]]:
+    """Codes of the windows of every candidate of a text, and the kinds of pattern that prove them.
 
-    1 if patterns prove half of the window or all of a key lies in it, 0 if they prove nothing of it;
-    a window that shows a smaller part of a key has no label and is left out.
+    A window is proven if patterns prove half of it or all of a key lies in it, and a negative ("") if
+    they prove nothing of it. Without a label, and left out, are windows that show a smaller part of a
+    key, and those that no pattern proves but that look like a key.
     """
     runs = candidate_runs(text)
     proven = proven_parts(base_spans(text, runs)) if runs else []
-    ends = [b for _, b in proven]
+    ends = [b for _, b, _ in proven]
     for run in runs:
         for start, end in run_windows(text, *run):
             first = bisect_right(ends, start)
             inside = list(takewhile(lambda part: part[0] < end, islice(proven, first, None)))
-            seen = sum(min(b, end) - max(a, start) for a, b in inside)
-            if not seen or 2 * seen >= end - start or any(start <= a and b <= end for a, b in inside):
-                yield encode(text, start, end, run).astype(np.int8), int(seen > 0)
+            seen = sum(min(b, end) - max(a, start) for a, b, _ in inside)
+            if not seen and not like_a_key(text[start:end]):
+                yield encode(text, start, end, run).astype(np.int8), ""
+            elif seen and (2 * seen >= end - start or any(start <= a and b <= end for a, b, _ in inside)):
+                yield encode(text, start, end, run).astype(np.int8), "+".join(sorted(set().union(*(k for _, _, k in inside))))
 
 
 def fit_secret_model(docs: DataFrame, fit_findings: int = FIT_FINDINGS) -> SecretModel | None:
@@ -279,8 +310,8 @@ def fit_secret_model(docs: DataFrame, fit_findings: int = FIT_FINDINGS) -> Secre
         held: tuple[dict[int, np.ndarray], dict[int, np.ndarray]] = ({}, {})
         for batch in slices(batches, "text", 4_000_000):
             for text in batch.column("text").to_pylist():
-                for codes, y in labelled_windows(text):
-                    draw = hash_window(codes)
+                for codes, kinds in labelled_windows(text):
+                    draw, y = hash_window(codes), int(kinds != "")
                     if draw % ASIDE:
                         held[y][draw] = codes
                         if len(held[y]) > 4 * fit_findings:
@@ -307,22 +338,27 @@ def fit_secret_model(docs: DataFrame, fit_findings: int = FIT_FINDINGS) -> Secre
         for batch in slices(batches, "text", 4_000_000):
             rows = {}
             for text in batch.column("text").to_pylist():
-                for codes, y in labelled_windows(text):
+                for codes, kinds in labelled_windows(text):
                     draw = hash_window(codes)
                     if draw % ASIDE == 0:
-                        rows[draw, y] = codes
+                        rows[draw, kinds] = codes
             if rows:
-                draws, labels = (pa.array(column) for column in zip(*rows, strict=True))
-                raw = network_output(shared.value, np.stack(list(rows.values())))
-                step = pa.array(np.floor(raw * STEPS).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([draws, labels, step], ["draw", "y", "step"])
-
-    kept = texts.mapInArrow(outputs, "draw bigint, y bigint, step bigint").dropDuplicates(["draw", "y"])
-    counts = kept.groupBy("y", "step").count().orderBy("y", "step").toPandas()
-    y, n = counts["y"].to_numpy(), counts["count"].to_numpy(float)
-    if any(n[y == label].sum() < LEAST_FINDINGS for label in (0, 1)):
+                draws, kinds = (pa.array(column) for column in zip(*rows, strict=True))
+                windows = np.stack(list(rows.values()))
+                for bare, form in enumerate((windows, blanked(windows))):
+                    step = np.floor(network_output(shared.value, form) * STEPS).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [draws, kinds, pa.array([bool(bare)] * len(step)), pa.array(step)], ["draw", "kinds", "bare", "step"]
+                    )
+
+    kept = texts.mapInArrow(outputs, "draw bigint, kinds string, bare boolean, step bigint")
+    kept = kept.dropDuplicates(["draw", "kinds", "bare"])
+    counts = kept.groupBy("kinds", "bare", "step").count().orderBy("kinds", "bare", "step").toPandas()
+    kinds, n = counts["kinds"].to_numpy(str), counts["count"].to_numpy(float)
+    bare = counts["bare"].to_numpy(bool)
+    if any(n[((kinds != "") == label) & ~bare].sum() < LEAST_FINDINGS for label in (False, True)):
         return None
-    return calibrated(weights, counts["step"].to_numpy(float) / STEPS, y, n)
+    return calibrated(weights, counts["step"].to_numpy(float) / STEPS, kinds, bare, n)
 
 
 def hash_window(codes: np.ndarray) -> int:
