@@ -125,8 +125,9 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     Vectors are compared if their labels are equal and not null and their lengths agree. A vector
     that is null, empty, all zero or holds a null or non-finite component links with nothing, and is
     its own component. Equal vectors are one class with a number of members: its members are linked
-    with one another, and a link to the class counts once for each. Rows that repeat an identifier are
-    members of their own. Other columns are not read.
+    with one another, and a link to the class counts once for each. Rows that repeat an identifier, or
+    have none, are members of their own; a component is named by its smallest identifier that is not
+    null, and by null if it has none: its rows are all kept. Other columns are not read.
     """
     rows = vectors.select(F.col("vec_id").cast("bigint"), "label", "embedding")
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
@@ -134,10 +135,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     numbers = F.concat_ws(",", F.transform("embedding", lambda v: (v.cast("double") + 0.0).cast("string")))
     content = F.concat_ws("|", F.col("label").cast("string"), numbers)
     rows = rows.withColumn("digest", F.when(sound, F.sha2(content, 256)))
+    # A class is known by a number of its digest: identifiers may be null or repeat.
     classes = materialize(
         rows.filter("digest is not null")
         .groupBy("digest")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("members"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+        .agg(F.min("vec_id").alias("least_id"), F.count("*").alias("members"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+        .withColumn("rep", F.xxhash64("digest"))
         .withColumn("d", F.size("embedding")),
         "vector-classes",
     )
@@ -145,25 +148,23 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
     found = _class_links(classes, sizes, threshold)
     counted = found.filter("kind = 0").groupBy(F.col("u").alias("rep")).agg(F.sum("v").alias("links"))
     groups = components(found.filter("kind = 1").select("u", "v")).withColumnRenamed("id", "rep")
-    result = (
-        classes.select("digest", "rep", "members")
-        .join(counted, "rep", "left")
-        .join(groups, "rep", "left")
-        .select(
-            "digest",
-            "members",
-            (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"),
-            F.coalesce("component", "rep").alias("component_id"),
-        )
-    )
+    grouped = classes.select("digest", "rep", "least_id", "members").join(groups, "rep", "left").join(counted, "rep", "left")
+    grouped = grouped.withColumn("component", F.coalesce("component", "rep").cast("string"))
+    least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("classes"))
     total = sum(r["rows"] for r in sizes.select(F.sum("rows").alias("rows")).collect() if r["rows"])
+    result = attach(grouped, least, "component", "classes", total).select(
+        "digest",
+        "members",
+        (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"),
+        "component_id",
+    )
     out = attach(rows.select("vec_id", "digest"), result, "digest", "members", total)
     component = F.coalesce("component_id", "vec_id")
     return out.select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         component.alias("component_id"),
-        (F.col("vec_id") == component).alias("kept"),
+        F.col("vec_id").eqNullSafe(component).alias("kept"),
     )
 
 

@@ -271,6 +271,28 @@ def test_vector_links_by_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, _, _ in odd)
 
 
+def test_vector_links_of_null_and_repeated_identifiers(spark):
+    rng = np.random.default_rng(23)
+    centres = rng.normal(size=(30, 16))
+    x = (centres[:, None] + 0.04 * rng.normal(size=(30, 8, 16))).reshape(-1, 16).astype(np.float32)
+    x[1::16] = x[0::16]
+    ids = [None if i % 3 == 0 or i < 24 else 7 if i % 3 == 1 else 1000 + i for i in range(len(x))]
+    rows = [(ids[i], [float(v) for v in r], 0) for i, r in enumerate(x)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.98
+    low = np.arange(len(x))
+    while True:
+        after = np.array([low[linked[i]].min() for i in range(len(x))])
+        if (after == low).all():
+            break
+        low = after
+    names = {k: min((ids[i] for i in np.flatnonzero(low == k) if ids[i] is not None), default=None) for k in set(low)}
+    expected = Counter((ids[i], int(linked[i].sum()) - 1, names[low[i]]) for i in range(len(x)))
+    got = Counter((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(frame).collect())
+    assert linked.sum() > 1000 and got == expected
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 440)]
