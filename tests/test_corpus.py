@@ -243,3 +243,28 @@ def test_models_learn_and_reload(spark):
 def test_labelled_documents_have_both_classes(spark):
     labels = {r["label"] for r in labelled_documents(spark, SMALL).select("label").collect()}
     assert labels == {0, 1}
+
+
+def test_model_queries_train_at_full_strength(monkeypatch):
+    """The registered queries leave terms, word lengths, rounds and iterations at the operators' values."""
+    from framescope.plans import training_queries as T
+
+    class Context:
+        applicationId = "none"
+
+    class Session:
+        sparkContext = Context()
+
+    calls = {}
+    monkeypatch.setattr(T, "_split", lambda *_: Context())
+    monkeypatch.setattr(T, "_sides", lambda *_: (None, None))
+    monkeypatch.setattr(T, "_scored", lambda *_: None)
+    monkeypatch.setattr(T, "_FRAMES", {})
+    monkeypatch.setattr(Context, "drop", lambda *_: None, raising=False)
+    monkeypatch.setattr(T.ML, "cross_validation_summary", lambda folds: None)
+    for name in ("train_boosted", "cross_validate", "split_frames"):
+        monkeypatch.setattr(T.ML, name, lambda *_, _name=name, **given: calls.setdefault(_name, given))
+    T.train_boosted(Session(), "x")
+    T.cross_validate(Session(), "x")
+    T._frames(Session(), "x")
+    assert calls == {"train_boosted": {}, "cross_validate": {}, "split_frames": {}}
