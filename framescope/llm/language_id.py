@@ -22,6 +22,8 @@ ORDERS = (1, 2, 3)
 FIT_TEXTS = 1_500
 #: Distinct language values that are learned from at most; more is an error, not a cut.
 MAX_LANGUAGES = 500
+#: Range of the hash that texts are sampled by.
+DRAWS = 1 << 62
 #: N-grams after which more text does not make a score more certain.
 EVIDENCE = 40.0
 UNKNOWN = "und"
@@ -84,6 +86,11 @@ def hashed_ngrams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return np.concatenate(found).astype(np.int64) % buckets, np.concatenate(owners)
 
 
+def draw_limit(rate: float) -> int:
+    """Draws below this are taken at a rate; fine enough that no rate of any table is rounded to none."""
+    return max(1, int(rate * DRAWS))
+
+
 def fit_language_model(labelled: DataFrame, fit_texts: int = FIT_TEXTS, buckets: int = BUCKETS) -> LanguageModel:
     """Learn from (doc_id, text, lang) rows whose text and lang are not null.
 
@@ -99,10 +106,10 @@ def fit_language_model(labelled: DataFrame, fit_texts: int = FIT_TEXTS, buckets:
     if not totals:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0))
     keep = F.lit(False)
+    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(DRAWS))
     for language, rows in totals.items():
         rate = min(1.0, fit_texts / rows)
-        draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_000))
-        keep = keep | ((F.col("lang") == language) & (draw < int(rate * 1_000_000)))
+        keep = keep | ((F.col("lang") == language) & (draw < draw_limit(rate)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -145,11 +152,12 @@ def score_texts(texts: list[str], model: LanguageModel, buckets: int = BUCKETS)
         [np.bincount(owner, model.log_probability[hit, k], len(texts)) for k in range(len(model.languages))], 1
     )
     weight = np.minimum(n, EVIDENCE) / np.maximum(n, 1)
-    logit = likelihood * weight[:, None] + model.log_prior
-    logit -= logit.max(axis=1, keepdims=True)
+    # The language follows from the whole text; only the score is tempered, prior and all.
+    logit = likelihood + model.log_prior
+    best = logit.argmax(axis=1)
+    logit = (logit - logit.max(axis=1, keepdims=True)) * weight[:, None]
     probability = np.exp(logit)
     probability /= probability.sum(axis=1, keepdims=True)
-    best = probability.argmax(axis=1)
     for i in np.flatnonzero(n):
         names[i], scores[i] = model.languages[best[i]], probability[i, best[i]]
     return names, scores

@@ -88,6 +88,18 @@ def test_languages_on_held_out_rows(spark):
     assert len(held) > 200 and sum(r["ok"] for r in held) / len(held) > 0.99
 
 
+def test_long_text_of_a_rare_language():
+    """The whole text outweighs the prior, where 40 n-grams of it would not; no sample rate becomes none."""
+    from framescope.llm import language_id
+
+    close = np.log(np.full((language_id.BUCKETS, 2), 1 / language_id.BUCKETS))
+    close[:, 1] += 0.1  # nats by which each n-gram speaks for the rare language
+    model = LanguageModel(["common", "rare"], close, np.log([0.999, 0.001]))
+    names, scores = language_id.score_texts(["word " * 100, "word", ""], model)
+    assert names == ["rare", "common", "und"] and 0.5 < scores[0] < 1 and scores[2] == 0
+    assert language_id.draw_limit(1_500 / 1e12) > 0
+
+
 def test_base_secrets_follow_the_patterns(spark):
     rng = random.Random(9)
     parts = ["token = ", "Password:", "api_key='", "AKIA", "ABCD1234", "deadbeef" * 3, " ", "x", "=", "é", "SECRET", ": ", '"', "0f", "-"]
