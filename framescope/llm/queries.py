@@ -11,14 +11,18 @@ from pyspark.sql import functions as F
 from framescope.llm.common import crc_bucket, whole_text
 from framescope.llm.content_sort import content_groups
 from framescope.llm.embedding_dedup import near_vectors
+from framescope.llm.fingerprints import edited_fingerprints
 from framescope.llm.language_id import fit_language_model, identify_languages
+from framescope.llm.lexical_search import build_index, search_index
 from framescope.llm.minhash_dedup import near_groups
 from framescope.llm.mixing import mix_sources
 from framescope.llm.packing import pack_documents
 from framescope.llm.quality_pu import fit_quality, score_quality
 from framescope.llm.secret_scan import KINDS, find_secrets, fit_secret_model
+from framescope.llm.spelling_groups import document_words, spelling_groups
 from framescope.llm.token_counts import count_tokens
 from framescope.llm.url_filter import ALLOW, BLOCK, Rule, filter_urls
+from framescope.session import materialize
 
 # The rules of the definition.
 URL_RULES = [
@@ -95,6 +99,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "copy", "source", "position", F.octet_length(whole_text()).cast("bigint").alias("n_bytes"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = document_words(table(spark, sf_dir, "documents"), typo_every=97)
+    return spelling_groups(materialize(words.filter("n >= 3"), "vocabulary"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_index(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minhash_dedup,
         op9_packing,
         op10_mixing,
+        op11_fingerprints,
+        op12_spelling_groups,
+        op13_lexical_search,
     )
 }
 
@@ -142,4 +162,34 @@ WITH RECURSIVE {_SIZES.strip()}, rates AS (
 SELECT doc_id, CAST(copy AS INTEGER) AS copy, source, n_bytes,
        CAST('0x' || sha256('mix-1|order|' || doc_id || '|' || copy)[1:13] AS BIGINT) / 4503599627370496.0 AS position
 FROM copied JOIN draws USING (doc_id)""",
+    "op13_lexical_search": r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), docs AS (
+  SELECT row_id, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM docs
+), postings AS (
+  SELECT row_id, doc_id, n, term, count(*) AS tf FROM (SELECT row_id, doc_id, n, unnest(terms) AS term FROM docs)
+  GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, totals GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), scores AS (
+  SELECT item_id, row_id, doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // totals.terms))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term), totals GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
