@@ -11,7 +11,7 @@ from framescope import constants as C
 from framescope.functions import labels
 from framescope.functions.numeric import round_to
 from framescope.functions.text import is_blank, preview, word_count
-from framescope.functions.binding import where_equal
+from framescope.functions.binding import settle, where_equal
 from framescope.operators.attribution import classify_sentences, opinion_ratios
 from framescope.operators.hedging import hedge_scan
 from framescope.operators.lexicon import lexicon_scan
@@ -41,7 +41,8 @@ def score_text(
     """Run all engines on a text column and add their scores, labels and the verdict.
 
     Every engine is row-local, so scoring adds no shuffle. With no model, an existing
-    ``ml_probability`` column is used. Blank texts get zeros and the ``N/A`` labels.
+    ``ml_probability`` column is used. Blank texts get zeros and the ``N/A`` labels. The engines'
+    columns are settled: filters on scores and labels read them and do not score again.
     """
     scored = lexicon_scan(df, text)
     scored = auxiliary_scores(scored, text, words)
@@ -49,7 +50,9 @@ def score_text(
     scored = hedge_scan(scored, text)
     if model is not None:
         scored = model.score(scored, text)
-    blank = is_blank(text)
+    scored = scored.withColumn("_blank", is_blank(text))
+    scored = settle(scored, *[c for c in scored.columns if c not in df.columns])
+    blank = F.col("_blank")
     score = {
         "ml_probability": F.col("ml_probability"),
         "emotion_intensity": F.col("emotion_intensity"),
@@ -84,6 +87,7 @@ def score_text(
         .withColumn("subjectivity_label", unless_blank(F.col("subjectivity_label"), "N/A"))
         .withColumn("hedge_label", unless_blank(F.col("hedge_label"), "N/A"))
         .withColumn("text_preview", unless_blank(preview(text), "(no text)"))
+        .drop("_blank")
     )
 
 

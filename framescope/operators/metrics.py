@@ -87,14 +87,23 @@ def classification_report(scored: DataFrame) -> DataFrame:
 def score_counts(scored: DataFrame, score: str = "probability") -> DataFrame:
     """Positives and negatives per distinct score: ties collapse before any ranking.
 
-    Rows without a score (null or NaN) are in no ranking and are left out here. Written once, because ranking reads it three times (edges, totals, rows).
+    Rows without a score (null or NaN) are in no ranking and are left out, after the counts are stored:
+    before that, the filter would reach the scoring. Written once, because ranking reads it three times
+    (edges, totals, rows).
     """
-    ranked = scored.filter(F.col(score).isNotNull() & ~F.isnan(score))
-    counts = ranked.groupBy(F.col(score).alias("score")).agg(
+    counts = scored.groupBy(F.col(score).alias("score")).agg(
+        _count_if(F.col("label") == 1).alias("positives"),
+        _count_if(F.col("label") != 1).alias("negatives"),
+    )
+    return materialize(counts, "score-counts").filter(F.col("score").isNotNull() & ~F.isnan("score"))
+
+
+def score_counts_by(scored: DataFrame, group: str, score: str = "probability") -> DataFrame:
+    """As ``score_counts``, for each value of a column, and not stored."""
+    return scored.groupBy(group, F.col(score).alias("score")).agg(
         _count_if(F.col("label") == 1).alias("positives"),
         _count_if(F.col("label") != 1).alias("negatives"),
     )
-    return materialize(counts, "score-counts")
 
 
 def roc_auc(scored: DataFrame, score: str = "probability") -> DataFrame:
@@ -186,7 +195,11 @@ def summary_metrics(
     Only the counts per distinct score are kept; the confusion matrix and the ranking both come from
     that table.
     """
-    counts = score_counts(scored, score)
+    return metrics_of_counts(score_counts(scored, score), threshold)
+
+
+def metrics_of_counts(counts: DataFrame, threshold: float = 0.5) -> dict[str, float]:
+    """The same from stored counts per distinct score."""
     above = F.col("score") >= threshold
     cells = counts.agg(
         *[
