@@ -1,14 +1,16 @@
 """Entity mentions, counts and framing.
 
-Mentions come from a gazetteer table ``(surface, entity_type)`` joined on word n-grams, from any
-user-supplied mentions table of the same shape, or from a model run in Arrow batches. The gazetteer
-carries no broadcast hint: Spark broadcasts it when its measured size is below the threshold and
-falls back to a shuffled join, with skew handling, when it is not.
+Mentions come from a gazetteer table ``(surface, entity_type)``, from any user-supplied mentions table of
+the same shape, or from a model run in Arrow batches. A gazetteer is walked like a trie inside the row: a word
+that starts no surface is left at once, others are followed as far as the longest surface that starts with them.
+Only mentions leave the scan. The gazetteer is counted first: above ``MAX_LITERAL_ENTRIES`` surfaces it is
+joined on first words instead, one row per capital word.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import types as T
 from framescope import constants as C
 from framescope.functions.binding import let
 from framescope.functions.labels import frame_label
+from framescope.functions.lookup import MAX_LITERAL_ENTRIES, literal_lookup
 from framescope.functions.text import WORD, is_blank, raw_words, split_sentences_abbrev
 
 MENTION_FIELDS = [
@@ -34,75 +37,134 @@ def _frame_hits(sentence: Column, words: list[str]) -> Column:
     return F.size(F.array_intersect(raw_words(sentence), vocabulary)).cast("bigint")
 
 
-def _ngram_candidates(words: Column, max_words: int) -> Column:
-    """(pos, surface) for every n-gram that starts with a capital letter."""
-    starts = F.transform(words, lambda w, i: F.struct(i.cast("bigint").alias("pos"), w.alias("w")))
-    capital = F.filter(starts, lambda s: s["w"].rlike(r"^\p{Lu}"))
-    grams = F.transform(
-        capital,
-        lambda s: F.transform(
-            F.sequence(F.lit(1), F.lit(max_words)),
-            lambda n: F.struct(
-                s["pos"].alias("pos"),
-                n.alias("n"),
-                F.array_join(F.slice(words, (s["pos"] + 1).cast("int"), n), " ").alias("surface"),
-            ),
-        ),
-    )
-    return F.filter(F.flatten(grams), lambda g: g["pos"] + g["n"] <= F.size(words))
+def _first_word(surface: str) -> str:
+    return surface.split(" ")[0]
 
 
-def _matched(
-    df: DataFrame, gazetteer: DataFrame, text: str, key: str, max_words: int | None, marked: bool
-) -> DataFrame:
-    """Mentions of all documents; with ``marked`` one more row per document, without an entity.
+def _trie(entries: Sequence[tuple[str, str]]) -> Callable[[Column], Column]:
+    """Return ``word array -> array of (pos, surface, entity_type)`` for surfaces that start with a capital."""
+    types: dict[str, list[str]] = {}
+    longest: dict[str, int] = {}
+    for surface, kind in entries:
+        first = _first_word(surface)
+        if first and unicodedata.category(first[0]) == "Lu":
+            types.setdefault(surface, []).append(kind)
+            longest[first] = max(longest.get(first, 0), surface.count(" ") + 1)
+    followed, named = literal_lookup(longest, "int"), literal_lookup(types, "array<string>")
+
+    def walk(words: Column) -> Column:
+        starts = F.filter(
+            F.transform(words, lambda w, i: F.struct(i.cast("bigint").alias("pos"), followed(w).alias("longest"))),
+            lambda s: s["longest"].isNotNull(),
+        )
+
+        def surfaces(s: Column) -> Column:
+            rest = (F.size(words) - s["pos"]).cast("int")
+            runs = F.transform(
+                F.sequence(F.lit(1), F.least(s["longest"], rest)),
+                lambda n: F.array_join(F.slice(words, (s["pos"] + 1).cast("int"), n), " "),
+            )
+            found = F.transform(runs, lambda r: F.struct(r.alias("surface"), named(r).alias("types")))
+            return F.flatten(
+                F.transform(
+                    F.filter(found, lambda f: f["types"].isNotNull()),
+                    lambda f: F.transform(
+                        f["types"],
+                        lambda t: F.struct(s["pos"].alias("pos"), f["surface"].alias("surface"), t.alias("entity_type")),
+                    ),
+                )
+            )
+
+        return F.flatten(F.transform(starts, surfaces))
+
+    return walk
+
+
+def _words(sentence: str) -> Column:
+    return F.regexp_extract_all(F.col(sentence), F.lit(f"([{WORD}]+)"), F.lit(1))
+
+
+def _hits(sentence: str) -> list[Column]:
+    return [
+        _frame_hits(F.col(sentence), words).alias(name)
+        for name, words in (("positive_hits", C.POSITIVE_FRAME_WORDS), ("negative_hits", C.NEGATIVE_FRAME_WORDS))
+    ]
+
+
+def _small(gazetteer: DataFrame, max_words: int | None) -> list[tuple[str, str]] | None:
+    """The entries of a gazetteer that may live in a literal; None if there are more."""
+    rows = gazetteer.select("surface", "entity_type").limit(MAX_LITERAL_ENTRIES + 1).collect()
+    if len(rows) > MAX_LITERAL_ENTRIES:
+        return None
+    return [(r[0], r[1]) for r in rows if max_words is None or r[0].count(" ") < max_words]
+
+
+def _kept(gazetteer: DataFrame) -> DataFrame:
+    return gazetteer.filter(F.col("entity_type").isin(list(C.ENTITY_TYPES)) & F.col("surface").isNotNull())
 
-    Marks have a surface of their own for every document, so that they spread over the tasks of a
-    shuffled join.
+
+def _walked(df: DataFrame, entries: list[tuple[str, str]], text: str, key: str, marked: bool) -> DataFrame:
+    """Mentions of all documents, found in the row.
+
+    With ``marked`` a document's first sentence that holds none gives a row without an entity, so that every
+    document has a row.
     """
-    if max_words is None:
-        longest = F.max(F.size(F.split(F.trim("surface"), r"\s+")))
-        max_words = gazetteer.select(longest).first()[0] or 1
+    walk = _trie(entries)
     blank = [is_blank(text).alias("blank")] if marked else []
     # The outer generators keep Spark from testing the generated array in a filter of its own, which
     # would evaluate it twice.
     sentences = df.select(
-        key, *blank, F.posexplode_outer(split_sentences_abbrev(text)).alias("i", "sentence")
+        key, *blank, F.posexplode_outer(split_sentences_abbrev(text)).alias("sent_idx", "sentence")
     )
-    if not marked:
-        sentences = sentences.filter("sentence IS NOT NULL")
-    words = F.regexp_extract_all("sentence", F.lit(f"([{WORD}]+)"), F.lit(1))
-    found = let(words, lambda w: _ngram_candidates(w, max_words))
-    if marked:
-        mark = F.struct(
-            F.lit(-1).cast("bigint").alias("pos"),
-            F.lit(0).alias("n"),
-            F.concat(F.lit("\0"), F.col(key).cast("string")).alias("surface"),
+
+    def framed(found: Column) -> Column:
+        """Frame words are counted only in sentences with a mention."""
+        return let(
+            F.struct(*_hits("sentence")),
+            lambda h: F.transform(
+                found,
+                lambda m: F.struct(
+                    m["pos"].alias("pos"), F.trim(m["surface"]).alias("entity"), m["entity_type"].alias("entity_type"),
+                    h["positive_hits"].alias("positive_hits"), h["negative_hits"].alias("negative_hits"),
+                ),
+            ),
         )
-        first = F.coalesce(F.col("i"), F.lit(0)) == 0
-        nothing = F.filter(F.array(mark), lambda _: F.lit(False))
-        found = F.concat(F.coalesce(found, nothing), F.when(first, F.array(mark)).otherwise(nothing))
-    candidates = (
-        sentences.withColumn("positive_hits", _frame_hits(F.col("sentence"), C.POSITIVE_FRAME_WORDS))
-        .withColumn("negative_hits", _frame_hits(F.col("sentence"), C.NEGATIVE_FRAME_WORDS))
-        .select(
-            key,
-            *(["blank"] if marked else []),
-            F.col("i").cast("bigint").alias("sent_idx"),
-            "positive_hits",
-            "negative_hits",
-            F.inline_outer(found),
+
+    mentions = let(let(_words("sentence"), walk), lambda found: F.when(F.size(found) > 0, framed(found)))
+    rows = sentences.select(
+        key, F.col("sent_idx").cast("bigint").alias("sent_idx"), *(["blank"] if marked else []), F.inline_outer(mentions)
+    )
+    named = F.col("entity").isNotNull()
+    wanted = named | (F.coalesce(F.col("sent_idx"), F.lit(0)) == 0) if marked else named
+    return rows.filter(wanted).select(
+        key, "sent_idx", "pos", "entity", "entity_type", "positive_hits", "negative_hits", *(["blank"] if marked else [])
+    )
+
+
+def _joined(df: DataFrame, gazetteer: DataFrame, text: str, key: str, max_words: int | None) -> DataFrame:
+    """Mentions for a gazetteer of any size: capital words are joined with the first words of surfaces."""
+    parts = gazetteer.select(
+        "surface", "entity_type", F.split("surface", " ")[0].alias("first"), F.size(F.split("surface", " ")).alias("n")
+    )
+    if max_words is None:
+        max_words = parts.agg(F.max("n")).first()[0] or 1
+    sentences = df.select(key, F.posexplode(split_sentences_abbrev(text)).alias("sent_idx", "sentence"))
+
+    def starts(words: Column) -> Column:
+        every = F.transform(
+            words,
+            lambda w, i: F.struct(
+                i.cast("bigint").alias("pos"), w.alias("first"), F.slice(words, i + 1, max_words).alias("run")
+            ),
         )
-        .filter("surface IS NOT NULL")
+        return F.filter(every, lambda s: s["first"].rlike(r"^\p{Lu}"))
+
+    capitals = sentences.select(
+        key, F.col("sent_idx").cast("bigint").alias("sent_idx"), *_hits("sentence"), F.inline(let(_words("sentence"), starts))
     )
-    kept = gazetteer.filter(F.col("entity_type").isin(list(C.ENTITY_TYPES)))
-    matched = candidates.join(kept, "surface", "left" if marked else "inner")
-    if marked:
-        matched = matched.filter("entity_type IS NOT NULL OR pos = -1")
-        matched = matched.withColumn("surface", F.when(F.col("pos") >= 0, F.col("surface")))
-    return matched.select(
-        key, "sent_idx", "pos", F.trim("surface").alias("entity"), "entity_type",
-        "positive_hits", "negative_hits", *(["blank"] if marked else []),
+    same = F.array_join(F.slice("run", 1, F.col("n")), " ") == F.col("surface")
+    return capitals.join(parts.filter(F.col("n") <= max_words), "first").filter(same).select(
+        key, "sent_idx", "pos", F.trim("surface").alias("entity"), "entity_type", "positive_hits", "negative_hits"
     )
 
 
@@ -115,10 +177,14 @@ def entity_mentions(
 ) -> DataFrame:
     """One row per mention, with the frame words of its sentence counted along.
 
-    Runs of words are matched up to the length of the longest surface of the gazetteer, which is one
-    small aggregate over it unless ``max_words`` is given.
+    Runs of words are matched up to the length of the longest surface, or up to ``max_words``. Surfaces are
+    words with one blank between them; those that contain one another are all found.
     """
-    return _matched(df, gazetteer, text, key, max_words, marked=False)
+    kept = _kept(gazetteer)
+    entries = _small(kept, max_words)
+    if entries is None:
+        return _joined(df, kept, text, key, max_words)
+    return _walked(df, entries, text, key, marked=False)
 
 
 def mentions_with_model(
@@ -258,8 +324,15 @@ def gazetteer_summary(
     key: str = "doc_id",
     max_words: int | None = None,
 ) -> DataFrame:
-    """``ner_summary`` of the gazetteer's mentions, in one scan of the texts and without a self-join."""
-    return _summaries(_matched(df, gazetteer, text, key, max_words, marked=True), key)
+    """``ner_summary`` of the gazetteer's mentions, in one scan of the texts and without a self-join.
+
+    A gazetteer too large for a literal is joined, which reads the texts a second time.
+    """
+    kept = _kept(gazetteer)
+    entries = _small(kept, max_words)
+    if entries is None:
+        return ner_summary(df, _joined(df, kept, text, key, max_words), text, key)
+    return _summaries(_walked(df, entries, text, key, marked=True), key)
 
 
 def _summaries(marked: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from framescope.functions.binding import let
 from framescope.functions.lookup import literal_lookup
 from framescope.functions.text import ngrams_of, vector_tokens
+from framescope.session import materialize, scratch_path
 
 
 def word_ngrams(
@@ -78,15 +79,55 @@ def vocabulary(
 
     The result is bounded by ``max_features``.
     """
+    sums = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
+    return _most_frequent(sums, n_docs, min_df, max_features)
+
+
+def _most_frequent(sums: DataFrame, n_docs: int, min_df: int, max_features: int) -> DataFrame:
     idf = F.log((1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0
-    return (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-        .filter(F.col("df") >= min_df)
-        .orderBy(F.desc("total"), "term")
-        .limit(max_features)
-        .withColumn("idf", idf)
+    kept = sums.filter(F.col("df") >= min_df)
+    return kept.orderBy(F.desc("total"), "term").limit(max_features).withColumn("idf", idf)
+
+
+def counted_terms(text: str, low: int = 1, high: int = 3) -> Column:
+    """The distinct terms of a text with their counts, as an array of (value, n)."""
+    return run_lengths(F.sort_array(let(vector_tokens(text), lambda t: ngrams_of(t, low, high))))
+
+
+def fold_vocabularies(
+    counted: DataFrame, folds: int, low: int, high: int, min_df: int = 2, max_features: int = 25_000
+) -> list[TfidfModel]:
+    """For each fold the vocabulary of all rows outside of it, from one aggregate.
+
+    ``counted`` is a stored table of (fold, terms), ``terms`` as by ``counted_terms``. Rows and
+    occurrences of a term are summed per fold at once; what a fold's vocabulary may see is the total
+    less the fold's own share.
+    """
+    rows = counted.groupBy("fold").count().collect()
+    size = {r["fold"]: r["count"] for r in rows}
+    per_fold = [
+        part
+        for k in range(folds)
+        for part in (
+            F.count(F.when(F.col("fold") == k, 1)).alias(f"df_{k}"),
+            F.coalesce(F.sum(F.when(F.col("fold") == k, F.col("t.n"))), F.lit(0)).alias(f"n_{k}"),
+        )
+    ]
+    exploded = counted.select("fold", F.explode("terms").alias("t"))
+    sums = exploded.groupBy(F.col("t.value").alias("term")).agg(
+        F.count(F.lit(1)).alias("df"), F.sum("t.n").cast("bigint").alias("total"), *per_fold
     )
+    stored = materialize(sums.filter(F.col("df") >= min_df), "fold-terms")
+    models = []
+    for k in range(folds):
+        n_docs = sum(size.values()) - size.get(k, 0)
+        inside = stored.select(
+            "term", (F.col("df") - F.col(f"df_{k}")).alias("df"), (F.col("total") - F.col(f"n_{k}")).alias("total")
+        )
+        kept = _most_frequent(inside, n_docs, min_df, max_features).collect()
+        ordered = sorted((r["term"], r["idf"]) for r in kept)
+        models.append(TfidfModel(tuple(t for t, _ in ordered), tuple(i for _, i in ordered), low, high))
+    return models
 
 
 def tfidf(
@@ -123,6 +164,27 @@ def linear_score(
     return joined.groupBy(key).agg((1.0 / (1.0 + F.exp(-margin))).alias("ml_probability"))
 
 
+def sparse_struct(weights: str, size: int) -> Column:
+    """The fields of a sparse ML vector from an array of (index, weight)."""
+    return F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.transform(weights, lambda w: w["index"]).alias("indices"),
+        F.transform(weights, lambda w: w["weight"]).alias("values"),
+    )
+
+
+def store_vectors(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
+    """Write a frame whose named columns hold a vector's fields, and read them back as ML vectors.
+
+    A vector is stored as just this struct, so only the schema of the reader differs and no row goes through Python.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    fields = [T.StructField(f.name, VectorUDT()) if f.name in columns else f for f in df.schema.fields]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
 @dataclass(frozen=True)
 class TfidfModel:
     """A fitted vocabulary. Size is bounded by ``max_features``, so it may live on the driver."""
@@ -160,6 +222,18 @@ class TfidfModel:
         length of a text, however often a term repeats.
         """
         index = literal_lookup({t: i for i, t in enumerate(self.terms)}, "int")
+        grams = let(vector_tokens(text), lambda t: ngrams_of(t, self.low, self.high))
+        found = F.sort_array(F.filter(F.transform(grams, index), lambda i: i.isNotNull()))
+        return df.withColumn(output, self._unit_weights(run_lengths(found)))
+
+    def weigh_counted(self, counted: Column | str) -> Column:
+        """As ``weigh``, from a text's (value, n) terms; texts counted once serve several vocabularies."""
+        index = literal_lookup({t: i for i, t in enumerate(self.terms)}, "int")
+        found = F.transform(counted, lambda r: F.struct(index(r["value"]).alias("value"), r["n"].cast("int").alias("n")))
+        return self._unit_weights(F.sort_array(F.filter(found, lambda r: r["value"].isNotNull())))
+
+    def _unit_weights(self, counts: Column) -> Column:
+        """(index, weight, n) of unit length from (index, n)."""
         idf = F.from_json(F.lit(str(list(self.idf))), "array<double>")
 
         def weights(counted: Column) -> Column:
@@ -186,27 +260,15 @@ class TfidfModel:
                 ),
             )
 
-        grams = let(vector_tokens(text), lambda t: ngrams_of(t, self.low, self.high))
-        found = F.sort_array(F.filter(F.transform(grams, index), lambda i: i.isNotNull()))
-        return df.withColumn(output, let(weights(run_lengths(found)), unit))
+        return let(weights(counts), unit)
 
-    def transform(self, df: DataFrame, text: str = "text", output: str = "tfidf") -> DataFrame:
-        """Add a sparse ML vector.
+    def vectors(self, df: DataFrame, text: str = "text", output: str = "tfidf") -> DataFrame:
+        """Add the fields of a sparse vector as a plain struct, computed in the row."""
+        return self.weigh(df, text).withColumn(output, sparse_struct("_weights", self.size)).drop("_weights")
 
-        The vector is built as a plain struct in the JVM; an identity ``mapInArrow`` only gives that
-        struct its vector type, batch by batch.
-        """
-        parts = F.struct(
-            F.lit(0).cast("tinyint").alias("type"),
-            F.lit(self.size).alias("size"),
-            F.transform("_weights", lambda w: w["index"]).alias("indices"),
-            F.transform("_weights", lambda w: w["weight"]).alias("values"),
-        )
-        plain = self.weigh(df, text).withColumn(output, parts).drop("_weights")
-        schema = T.StructType(
-            [*plain.schema.fields[:-1], T.StructField(output, VectorUDT())]
-        )
-        return plain.mapInArrow(lambda batches: batches, schema)
+    def transform(self, df: DataFrame, text: str = "text", output: str = "tfidf") -> DataFrame:
+        """Add a sparse ML vector; the result is a stored table (see ``store_vectors``)."""
+        return store_vectors(self.vectors(df, text, output), [output], "vectors")
 
     def table(self, spark: SparkSession) -> DataFrame:
         rows = [(i, t, w) for i, (t, w) in enumerate(zip(self.terms, self.idf, strict=True))]
