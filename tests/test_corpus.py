@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import math
 import random
 from collections import Counter, defaultdict
+from unittest.mock import MagicMock
 
 import pytest
 from conftest import SMALL
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from framescope.functions.lookup import MAX_LITERAL_ENTRIES, TooManyEntries, literal_lookup
 from framescope.operators import corpus, explore, history, metrics, models, ranking
+from framescope.operators.boosting import fit_boosted
 from framescope.operators.tfidf import TfidfModel, tfidf
 from framescope.plans.planted import labelled_documents, planted_documents
 from framescope.session import materialize, scratch_path
@@ -249,22 +252,29 @@ def test_model_queries_train_at_full_strength(monkeypatch):
     """The registered queries leave terms, word lengths, rounds and iterations at the operators' values."""
     from framescope.plans import training_queries as T
 
-    class Context:
-        applicationId = "none"
-
-    class Session:
-        sparkContext = Context()
-
     calls = {}
-    monkeypatch.setattr(T, "_split", lambda *_: Context())
+    session = MagicMock()
+    session.sparkContext.applicationId = "none"
+    monkeypatch.setattr(T, "_split", lambda *_: MagicMock())
     monkeypatch.setattr(T, "_sides", lambda *_: (None, None))
     monkeypatch.setattr(T, "_scored", lambda *_: None)
     monkeypatch.setattr(T, "_FRAMES", {})
-    monkeypatch.setattr(Context, "drop", lambda *_: None, raising=False)
-    monkeypatch.setattr(T.ML, "cross_validation_summary", lambda folds: None)
-    for name in ("train_boosted", "cross_validate", "split_frames"):
-        monkeypatch.setattr(T.ML, name, lambda *_, _name=name, **given: calls.setdefault(_name, given))
-    T.train_boosted(Session(), "x")
-    T.cross_validate(Session(), "x")
-    T._frames(Session(), "x")
-    assert calls == {"train_boosted": {}, "cross_validate": {}, "split_frames": {}}
+    monkeypatch.setattr(T, "F", MagicMock())
+
+    def record(name):
+        def called(*_, **given):
+            calls[name] = given
+            return MagicMock()
+
+        return called
+
+    for name in ("train_logistic", "train_enhanced", "train_boosted", "cross_validate", "split_frames"):
+        monkeypatch.setattr(T.ML, name, record(name))
+    T.train_boosted(session, "x")
+    T.predict_bias(session, "x")
+    T.cross_validate(session, "x")
+    T._frames(session, "x")
+    assert set(calls) == {"train_logistic", "train_enhanced", "train_boosted", "cross_validate", "split_frames"}
+    assert not any(calls.values())
+    assert inspect.signature(fit_boosted).parameters["rounds"].default == 300
+    assert inspect.signature(models.model_comparison).parameters["trees"].default == 100

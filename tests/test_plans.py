@@ -113,3 +113,34 @@ def test_keyset_page_reads_only_older_dates(spark):
     text = plan(page)
     filters = text[text.index("PartitionFilters: ["):].split("]")[0]
     assert "created_date" in filters
+
+
+def test_a_filter_on_the_classifier_leaves_one_copy_of_it(spark):
+    from framescope.operators.metrics import score_counts
+    from framescope.plans.planted import predictions
+
+    scored = predictions(spark, SMALL)
+    filtered = scored.filter("probability > 0.5 AND NOT isnan(probability)")
+    assert plan(filtered).count("regexp_extract_all") == plan(scored).count("regexp_extract_all")
+    assert "regexp_extract_all" not in plan(score_counts(scored))
+
+
+def test_entities_are_found_in_the_row(spark):
+    """No n-gram leaves the scan stage: neither texts nor words are joined."""
+    from framescope.operators import entities as N
+    from framescope.plans.planted import gazetteer
+
+    docs = documents(spark)
+    mentions = N.entity_mentions(docs, gazetteer(spark))
+    assert "Exchange" not in plan(mentions) and "Join" not in plan(mentions)
+    for frame in (N.gazetteer_summary(docs, gazetteer(spark)), N.top_entities(mentions)):
+        assert "Join" not in plan(frame) and "BroadcastExchange" not in plan(frame)
+
+
+def test_model_frames_do_not_go_through_python(spark):
+    from framescope.operators.models import training_frame
+
+    rows = documents(spark).withColumn("label", (F.col("doc_id") % 2).cast("int"))
+    frame = training_frame(rows, model().tfidf)
+    assert "Python" not in plan(frame) and "MapInArrow" not in plan(frame)
+    assert frame.schema["features"].dataType.typeName() == "vectorudt" or "Vector" in str(frame.schema["features"].dataType)
