@@ -6,8 +6,9 @@ contributes by its tf alone, so an impact is computed once per tf. The largest t
 a stratum bounds what any document there can score; strata are visited in the order of these bounds, and
 a query leaves out each stratum whose bound is below its k-th best score so far.
 
-The index is sharded by length: rows are range-partitioned by their number of terms, and a task cuts its
-range into shards of bounded text. A hot length is cut into as many shards as it needs. A shard is searched
+The index is sharded by length: a first pass counts texts and characters by number of terms, from which ranges
+of lengths with equal amounts of text follow; a task cuts its range into shards of bounded text. A hot
+length is dealt to as many ranges as it needs. A shard is searched
 whole, by one task, for a block of queries; shards give at most k rows a query (equal scores
 by identifier), and these are ranked together.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -34,6 +35,10 @@ GAPS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 #: Bounds of a shard: text in characters, and documents.
 SHARD_CHARS = 4_000_000
 SHARD_DOCS = 4096
+#: Text of a range of lengths, in characters.
+RANGE_CHARS = 24_000_000
+#: Lengths are counted one by one up to this one, then in 64 steps for each doubling.
+EXACT_LENGTH = 4096
 #: Query terms and queries searched in one pass over the index: a block is sent to every task.
 BLOCK_TERMS = 50_000
 BLOCK_QUERIES = 1000
@@ -63,6 +68,43 @@ class LexicalIndex:
         return np.array([10 + 90 * int(n) * self.documents // self.terms for n in values], np.int64)[back]
 
 
+def _bucket(length: np.ndarray) -> np.ndarray:
+    """Ascending buckets of lengths, a few thousand whatever the texts."""
+    long = np.maximum(length, EXACT_LENGTH) / EXACT_LENGTH
+    return np.where(length < EXACT_LENGTH, length, EXACT_LENGTH + np.floor(64 * np.log2(long))).astype(np.int64)
+
+
+def _lengths(texts: list[str]) -> np.ndarray:
+    return np.array([len(terms_of(t)) for t in texts], np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, documents, terms, chars) of each batch."""
+    for batch in slices(batches, "text", SHARD_CHARS):
+        texts = batch.column("text").to_pylist()
+        length, chars = _lengths(texts), np.array([len(t) for t in texts])
+        bucket, back = np.unique(_bucket(length), return_inverse=True)
+        sums = [np.bincount(back, w, len(bucket)).astype(np.int64) for w in (length > 0, length, chars)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (bucket, *sums)], ["bucket", "documents", "terms", "chars"])
+
+
+def _ranged(start: dict[int, tuple[int, int]]):  # noqa: ANN202
+    """Adds the number of terms and the range: where a text's bucket starts among all characters, plus a share of it."""
+    known = np.array(sorted(start), np.int64)
+    first = np.array([start[b][0] for b in known.tolist()], float)
+    chars = np.array([start[b][1] for b in known.tolist()], float)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", SHARD_CHARS):
+            length = _lengths(batch.column("text").to_pylist())
+            at = np.searchsorted(known, _bucket(length)).clip(max=len(known) - 1)
+            part = ((first[at] + batch.column("share").to_numpy() * chars[at]) // RANGE_CHARS).astype(np.int32)
+            columns = [batch.column("doc_id"), batch.column("text"), pa.array(length), pa.array(part)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", "length", "part"])
+
+    return add
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, int, Counter]]]:
     """Documents of a range in its order, counted, in lists of bounded size."""
     held, chars = [], 0
@@ -84,24 +126,27 @@ def _index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per term of a shard, its postings by length, tf and row; one row without a term: the documents."""
     context = TaskContext.get()
     number = (context.partitionId() if context else 0) << 32
-    types = [pa.int64(), pa.string(), *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.int64())] * 2]
     names = ["shard", "term", "tfs", "rows", "ids", "lengths"]
     for docs in _shards(batches):
-        postings: dict[bytes, list[tuple[int, int, int]]] = {}
-        for row, (_, length, counts) in enumerate(docs):
-            for term, tf in counts.items():
-                postings.setdefault(term, []).append((length, tf, row))
-        for found in postings.values():
-            found.sort()
+        numbers: defaultdict[bytes, int] = defaultdict()
+        numbers.default_factory = numbers.__len__
+        term = np.array([numbers[t] for _, _, counts in docs for t in counts], np.int64)
+        tf = np.array([n for _, _, counts in docs for n in counts.values()], np.int32)
+        row = np.repeat(np.arange(len(docs), dtype=np.int32), [len(counts) for _, _, counts in docs])
+        length = np.array([d[1] for d in docs], np.int64)
+        order = np.lexsort((row, tf, length[row], term))
+        # The documents' row comes first, without postings.
+        offsets = pa.array(np.append([0, 0], np.cumsum(np.bincount(term, minlength=len(numbers)))), pa.int32())
+        directory = pa.array(np.append(0, np.full(len(numbers) + 1, len(docs))), pa.int32())
         columns = [
-            [number] * (len(postings) + 1),
-            [None, *[t.decode("utf-8", "replace") for t in postings]],
-            [None, *[[p[1] for p in found] for found in postings.values()]],
-            [None, *[[p[2] for p in found] for found in postings.values()]],
-            [[d[0] for d in docs], *[None] * len(postings)],
-            [[d[1] for d in docs], *[None] * len(postings)],
+            pa.array(np.full(len(numbers) + 1, number)),
+            pa.array([None, *[t.decode("utf-8", "replace") for t in numbers]], pa.string()),
+            pa.ListArray.from_arrays(offsets, pa.array(tf[order])),
+            pa.ListArray.from_arrays(offsets, pa.array(row[order])),
+            pa.ListArray.from_arrays(directory, pa.array([d[0] for d in docs], pa.int64())),
+            pa.ListArray.from_arrays(directory, pa.array(length)),
         ]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+        yield pa.RecordBatch.from_arrays(columns, names)
         number += 1
 
 
@@ -112,14 +157,20 @@ def build_index(docs: DataFrame) -> LexicalIndex:
     figure. Rows that repeat an identifier, or have none, are documents of their own. Other columns are
     not read.
     """
-    length = F.regexp_count(whole_text(), F.lit(f"[^{GAPS}]+")).cast("bigint")
-    rows = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text"), length.alias("length"))
-    total = rows.agg(F.count_if(F.col("length") > 0).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("l")).first()
-    # The hash cuts a length that very many documents share into several ranges.
-    keyed = rows.withColumn("_cut", F.xxhash64("doc_id", F.monotonically_increasing_id()))
-    ranges = keyed.repartitionByRange("length", "_cut").sortWithinPartitions("length", "_cut")
+    texts = docs.select(whole_text().alias("text"))
+    counted = texts.mapInArrow(_counted, "bucket bigint, documents bigint, terms bigint, chars bigint")
+    sums = sorted(counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("documents", "terms", "chars")]).collect())
+    start, chars = {}, 0
+    for r in sums:
+        start[r["bucket"]] = chars, r["chars"]
+        chars += r["chars"]
+    # The share deals a length that very many documents have to several ranges.
+    share = (F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)).alias("share")
+    rows = docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text"), share)
+    ranged = rows.mapInArrow(_ranged(start), "doc_id bigint, text string, length bigint, part int")
+    ranges = ranged.repartitionById(chars // RANGE_CHARS + 1, "part").sortWithinPartitions("length")
     index = ranges.select("doc_id", "length", "text").mapInArrow(_index_rows, _INDEX)
-    return LexicalIndex(materialize(index, "lexical-index"), total["n"], total["l"])
+    return LexicalIndex(materialize(index, "lexical-index"), sum(r["documents"] for r in sums), sum(r["terms"] for r in sums))
 
 
 class ShardSearch:
