@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from array import array
 from bisect import insort
@@ -22,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 import tiktoken
 from public_tokenizers import PATTERN
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -35,6 +37,8 @@ END_ID = 1
 PIECE = 256
 #: Mean number of pieces of a group.
 GROUP_PIECES = 2000
+# The blanks of Unicode, in runs that are split by hand.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{500,}")
 # The splitting step of the vocabularies that the fast path is for.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 
@@ -65,10 +69,17 @@ class TextIds:
 
     def document(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.special):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(text)
-        return array("I", ids).tobytes()
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        ids, start = array("I"), 0
+        # The splitting step would need a stack as deep as a run of blanks is long. Of such a run all but
+        # the last blank are one piece, at the end of a text the last one too.
+        for run in LONG_BLANKS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids.extend(self.fast.encode_ordinary(text[start : run.start()]))
+            ids.extend(self.fast._encode_single_piece(text[run.start() : end]))
+            start = end
+        ids.extend(self.fast.encode_ordinary(text[start:]))
+        return ids.tobytes()
 
 
 def byte_chars() -> list[str]:
@@ -138,17 +149,19 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def document_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Pieces of every whole text: (doc_id, row, start, length, ids_crc32, doc_tokens).
+    """Pieces of every whole text: (doc_id, row, start, length, ids_crc32, doc_tokens, full).
 
     The ids are the tokenizer's, then id 1, so a null or empty text has one id. ``row`` tells rows
-    apart that repeat an identifier.
+    apart that repeat an identifier; ``full`` numbers the pieces that fill a sequence and is null for others.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = text_ids(tokenizer_file)
         end = np.array([END_ID], "<u4").tobytes()
+        context = TaskContext.get()
+        filled = (context.partitionId() if context else 0) << 34
         for batch in slices(batches, "text", 4_000_000):
-            row, start, length, crc, total = [], [], [], [], []
+            row, start, length, crc, total, full = [], [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids = tokenizer.document(text) + end
                 tokens = len(ids) // 4
@@ -158,15 +171,17 @@ def document_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACI
                     length.append(n)
                     crc.append(zlib.crc32(ids[4 * a : 4 * (a + n)]))
                     total.append(tokens)
+                    full.append(filled if n == capacity else None)
+                    filled += n == capacity
             rows = pa.array(row, pa.int64())
-            numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
+            numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total, full)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(rows), batch.column("row").take(rows), *numbers],
-                ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"],
+                ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens", "full"],
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.monotonically_increasing_id().alias("row"), whole_text().alias("text"))
-    schema = "doc_id bigint, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+    schema = "doc_id bigint, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, full bigint"
     return rows.mapInArrow(cut, schema)
 
 
@@ -176,29 +191,32 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACIT
     Every id of every row is in exactly one piece; a sequence's pieces lie in it without a gap from
     0. ``sequence_id`` is unique, not gapless. Null texts are empty, null identifiers stay null, rows
     that repeat an identifier are packed each on their own; other columns are not read. Texts are
-    tokenized once; what is shuffled is a few numbers a piece. A document or source of any size is
-    dealt to all groups.
+    tokenized once; what is shuffled is a few numbers a piece, and only of pieces shorter than a sequence:
+    full ones get a sequence of their own where they are (odd numbers; groups have even ones). A document or
+    source of any size is dealt to all groups.
     """
     pieces = materialize(document_pieces(docs, tokenizer_file, capacity), "pieces")
-    groups = max(1, round(pieces.filter(F.col("length") < capacity).count() / group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(groups)))
+    names = ["doc_id", "row", "start", "length", "ids_crc32", "doc_tokens"]
+    alone = pieces.filter("full IS NOT NULL").select(
+        *names, (F.col("full") * 2 + 1).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
+    )
+    short = pieces.filter("full IS NULL").drop("full")
+    groups = max(1, round(short.count() / group_pieces))
+    dealt = short.withColumn("_group", F.pmod(F.xxhash64("doc_id", "row", "start"), F.lit(groups)))
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "row", "start"], ascending=[False, True, True, True], ignore_index=True)
         lengths = frame["length"].tolist()
-        full = int((frame["length"] == capacity).sum())
-        packed = [[i] for i in range(full)]
-        if full < len(lengths):
-            packed += [[full + i for i in items] for items in pack_group(lengths[full:], capacity)]
+        packed = pack_group(lengths, capacity)
         sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
         for number, items in enumerate(packed):
             at = 0
             for i in items:
                 sequence[i], offset[i] = number, at
                 at += lengths[i]
-        frame["sequence_id"] = (frame["_group"].to_numpy(np.int64) << 28) + sequence
+        frame["sequence_id"] = ((frame["_group"].to_numpy(np.int64) << 28) + sequence) * 2
         frame["offset"] = offset
         return frame.drop(columns="_group")
 
-    names = "doc_id bigint, row bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
-    return dealt.groupBy("_group").applyInPandas(place, f"{names}, sequence_id bigint, offset bigint")
+    schema = ", ".join(f"{c} bigint" for c in (*names, "sequence_id", "offset"))
+    return alone.unionByName(dealt.groupBy("_group").applyInPandas(place, schema))
