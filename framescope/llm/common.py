@@ -14,6 +14,31 @@ HOT_KEYS = 1024
 #: Largest table, in rows, that is broadcast after its rows have been counted.
 SMALL_ROWS = 10_000
 
+#: Number of values a sampling draw can take.
+DRAWS = 1 << 60
+#: Stands for a missing identifier while rows are compared, above or below all others.
+NONE_HIGH, NONE_LOW = (1 << 63) - 1, -(1 << 63)
+
+
+def draw_limit(rate: float) -> int:
+    """Draws below this are taken at a rate; fine enough that no rate of any table is rounded to none."""
+    return max(1, int(rate * DRAWS))
+
+
+def draw(*parts: Column | str) -> Column:
+    """A number below ``DRAWS`` that depends on the parts alone."""
+    return F.pmod(F.xxhash64(*parts), F.lit(DRAWS))
+
+
+def known_id(none: int) -> Column:
+    """The identifier, a missing one as the given number."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(none))
+
+
+def or_null(identifier: str, none: int) -> Column:
+    """The identifier back, missing ones as null."""
+    return F.when(F.col(identifier) != none, F.col(identifier))
+
 
 def whole_text(name: str = "text") -> Column:
     """The text, a null one as the empty text."""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import code_points, slices, whole_text
+from framescope.llm.common import code_points, draw, draw_limit, slices, whole_text
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -22,8 +22,6 @@ ORDERS = (1, 2, 3)
 FIT_TEXTS = 1_500
 #: Distinct language values that are learned from at most; more is an error, not a cut.
 MAX_LANGUAGES = 500
-#: Range of the hash that texts are sampled by.
-DRAWS = 1 << 62
 #: N-grams after which more text does not make a score more certain.
 EVIDENCE = 40.0
 UNKNOWN = "und"
@@ -86,16 +84,11 @@ def hashed_ngrams(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray,
     return np.concatenate(found).astype(np.int64) % buckets, np.concatenate(owners)
 
 
-def draw_limit(rate: float) -> int:
-    """Draws below this are taken at a rate; fine enough that no rate of any table is rounded to none."""
-    return max(1, int(rate * DRAWS))
-
-
 def fit_language_model(labelled: DataFrame, fit_texts: int = FIT_TEXTS, buckets: int = BUCKETS) -> LanguageModel:
     """Learn from (doc_id, text, lang) rows whose text and lang are not null.
 
-    ``fit_texts`` bounds the expected number of texts per language: rows are taken by a hash of the
-    identifier, at a rate that follows from the number of rows of the language. Priors come from
+    ``fit_texts`` bounds the expected number of texts per language: rows are taken by a hash of
+    identifier and text, at a rate that follows from the number of rows of the language. Priors come from
     all rows. With no row at all the model has no language, and everything is undetermined.
     """
     usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -106,10 +99,10 @@ def fit_language_model(labelled: DataFrame, fit_texts: int = FIT_TEXTS, buckets:
     if not totals:
         return LanguageModel([], np.zeros((buckets, 0), np.float32), np.zeros(0))
     keep = F.lit(False)
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(DRAWS))
+    drawn = draw("doc_id", "lang", "text")
     for language, rows in totals.items():
         rate = min(1.0, fit_texts / rows)
-        keep = keep | ((F.col("lang") == language) & (draw < draw_limit(rate)))
+        keep = keep | ((F.col("lang") == language) & (drawn < draw_limit(rate)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

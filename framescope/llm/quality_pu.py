@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import code_points, slices, whole_text
+from framescope.llm.common import draw, draw_limit, code_points, slices, whole_text
 
 #: Expected number of rows of each kind that are learned from at most.
 FIT_ROWS = 6_000
@@ -183,8 +183,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, may_learn: Column, fit_rows:
     sizes = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}
     keep = F.lit(False)
     for value, rows in sizes.items():
-        rate = int(min(1.0, fit_rows / rows) * 1_000_000)
-        keep = keep | ((F.col("kind") == value) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < rate))
+        rate = min(1.0, fit_rows / rows)
+        keep = keep | ((F.col("kind") == value) & (draw("doc_id") < draw_limit(rate)))
     chosen = known.filter(keep & F.col("doc_id").isNotNull()).distinct()
     sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("kind", "text")
     table = _feature_rows(sample, ["kind"], "kind int, x array<float>").toPandas()
@@ -221,7 +221,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None, carry: list[str])
 
 
 def good_documents(docs: DataFrame, model: QualityModel | None) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text the model does not reject."""
+    """The rows of ``docs``, all columns as they are, whose text the model does not reject.
+
+    Null and empty texts are judged like any text; rows that repeat another, or have no identifier, are
+    judged each on its own. Without a model every row stays; an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

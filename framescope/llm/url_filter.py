@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framescope.functions.binding import let
-from framescope.llm.common import small_join
+from framescope.llm.common import draw, draw_limit, small_join
 
 ALLOW, BLOCK = "allow", "block"
 #: Expected number of labelled URLs of each verdict that the trees are fitted on at most.
@@ -120,8 +120,8 @@ def fit_url_trees(rows: DataFrame, fit_urls: int = FIT_URLS) -> GBTClassificatio
         return next(iter(sizes), ALLOW)
     keep = F.lit(False)
     for verdict, n in sizes.items():
-        rate = int(min(1.0, fit_urls / n) * 1_000_000)
-        keep = keep | ((F.col("ruled") == verdict) & (F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(1_000_000)) < rate))
+        rate = min(1.0, fit_urls / n)
+        keep = keep | ((F.col("ruled") == verdict) & (draw("page_id", "host", "path") < draw_limit(rate)))
     total = sum(min(n, fit_urls) for n in sizes.values())
     sample = rows.filter(keep).withColumn("label", (F.col("ruled") == BLOCK).cast("double"))
     vectors = VectorAssembler(inputCols=feature_names(rows), outputCol="features").transform(sample)
