@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import slices, whole_text
+from framescope.llm.common import NONE_HIGH, NONE_LOW, known_id, or_null, slices, whole_text
 from framescope.session import materialize
 
 HEAD_CHARS = 24
@@ -75,13 +75,20 @@ def content_groups(docs: DataFrame, keep_largest: bool = False) -> DataFrame:
     """Groups of equal whole texts: (doc_id, keep_id, group_size, kept, text_sha256), a row per row.
 
     A null text counts as an empty one. Of each group the row with the smallest identifier stays, or
-    with the largest; one row, even if rows repeat that identifier with the same text. A null
-    identifier counts as -1. Other columns are not read.
+    with the largest; one row, even if rows repeat that identifier with the same text. A row without an
+    identifier stays only where its whole group has none; its identifier stays null. Other columns are not read.
 
     One shuffle of the texts. The merged runs are broadcast: at most two for each range.
     """
+    none = NONE_LOW if keep_largest else NONE_HIGH
+    groups = _groups(docs, keep_largest, none)
+    return groups.withColumns({c: or_null(c, none) for c in ("doc_id", "keep_id")})
+
+
+def _groups(docs: DataFrame, keep_largest: bool, none: int) -> DataFrame:
+    """As ``content_groups``, with ``none`` for missing identifiers."""
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"),
+        known_id(none).alias("doc_id"),
         whole_text().alias("text"),
         F.sha2(whole_text(), 256).alias("text_sha256"),
         F.substring(whole_text(), 1, HEAD_CHARS).alias("head"),
@@ -107,10 +114,13 @@ def content_groups(docs: DataFrame, keep_largest: bool = False) -> DataFrame:
 
 
 def distinct_contents(docs: DataFrame, keep_largest: bool = False) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, that are kept: one for each text."""
-    dropped = content_groups(docs, keep_largest).filter(F.col("doc_id") != F.col("keep_id"))
-    keyed = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_sha": F.sha2(whole_text(), 256)}
-    )
-    losers = dropped.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    return keyed.join(losers, ["_id", "_sha"], "left_anti").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    """The rows of ``docs``, all columns as they are, that are kept: one for each text (see ``content_groups``).
+
+    Of rows that repeat identifier and text any one stays. An empty table stays empty.
+    """
+    none = NONE_LOW if keep_largest else NONE_HIGH
+    dropped = _groups(docs, keep_largest, none).filter(F.col("doc_id") != F.col("keep_id"))
+    # The row travels as one struct, so no column of the input can clash with the keys.
+    keyed = docs.select(F.struct("*").alias("row"), known_id(none).alias("id"), F.sha2(whole_text(), 256).alias("sha"))
+    losers = dropped.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    return keyed.join(losers, ["id", "sha"], "left_anti").dropDuplicates(["id", "sha"]).select("row.*")
