@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framescope.llm.common import attach, slices, whole_tasks, whole_text
+from framescope.llm.common import NONE_HIGH, attach, known_id, or_null, slices, whole_tasks, whole_text
 from framescope.llm.components import components
 from framescope.session import materialize
 
@@ -153,10 +153,17 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
     Two texts are linked if the probability Jaccard similarity of their shingles is ``similarity`` or
     more; a group is what links connect, and equal texts are one member of it for all their rows.
     ``group_id`` is the smallest identifier of the group, whose row is kept: one row, unless the
-    table repeats that identifier with the same text. A null identifier counts as -1. Texts without
+    table repeats that identifier with the same text. A null identifier stays null and is kept only
+    where the whole group has none. Texts without
     words, null and empty ones included, are linked with nothing but their equals. Other columns are
     not read. No bucket is cut, and no list of a bucket's pairs is made.
     """
+    groups = _groups(docs, similarity, words)
+    return groups.withColumns({c: or_null(c, NONE_HIGH) for c in ("doc_id", "group_id")})
+
+
+def _groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE_WORDS) -> DataFrame:
+    """As ``near_groups``, with ``NONE_HIGH`` for missing identifiers."""
     registers = BANDS * REGISTERS_PER_BAND
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +179,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
             )
 
     rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("doc_id"),
+        known_id(NONE_HIGH).alias("doc_id"),
         F.md5(whole_text()).alias("text_md5"),
         whole_text().alias("text"),
     )
@@ -224,8 +231,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, words: int = SH
 
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """One text for each of the wanted digests."""
-    found = rows.join(wanted, "text_md5", "left_semi")
-    return materialize(found.groupBy("text_md5").agg(F.min("text").alias("text")), "texts")
+    # Copies are combined before the shuffle, so a text with very many of them is no hot key.
+    distinct = rows.groupBy("text_md5").agg(F.min("text").alias("text"))
+    return materialize(distinct.join(wanted, "text_md5", "left_semi"), "texts")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -260,8 +268,9 @@ def _links_between(shared: DataFrame, found: DataFrame, texts: DataFrame, simila
     # Once for each largest component, however many buckets its texts share.
     groups = placed.join(mixed.filter("components > 1"), "bucket").select("largest", "text_md5", "component").distinct()
     groups = materialize(groups, "mixed")
-    tiles = groups.groupBy("largest").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    tiled = groups.join(tiles, "largest").withColumn("own", F.pmod(F.xxhash64("text_md5"), F.col("tiles")).cast("int"))
+    members = F.count("*")
+    tiles = groups.groupBy("largest").agg(F.ceil(members / TILE).cast("int").alias("tiles"), members.alias("members"))
+    tiled = attach(groups, tiles, "largest", "members", groups.count()).drop("members").withColumn("own", F.pmod(F.xxhash64("text_md5"), F.col("tiles")).cast("int"))
     tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     task = F.xxhash64("largest", F.least("own", "other"), F.greatest("own", "other"))
     full = tiled.select("largest", "text_md5", "component", "own", "other", task.alias("task")).join(texts, "text_md5")
@@ -344,10 +353,12 @@ def tile_links(part: pa.Table, similarity: float, words: int) -> list[tuple[int,
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, less all but one of each group."""
-    losers = near_groups(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"))
-    keyed = docs.withColumns(
-        {"_id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), "_md5": F.md5(whole_text())}
-    )
-    kept = keyed.join(losers.distinct(), ["_id", "_md5"], "left_anti")
-    return kept.dropDuplicates(["_id", "_md5"]).select(*docs.columns)
+    """The rows of ``docs``, all columns as they are, less all but one of each group (see ``near_groups``).
+
+    Of rows that repeat identifier and text any one stays. An empty table stays empty.
+    """
+    losers = _groups(docs).filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_md5").alias("md5"))
+    # The row travels as one struct, so no column of the input can clash with the keys.
+    keyed = docs.select(F.struct("*").alias("row"), known_id(NONE_HIGH).alias("id"), F.md5(whole_text()).alias("md5"))
+    kept = keyed.join(losers.distinct(), ["id", "md5"], "left_anti")
+    return kept.dropDuplicates(["id", "md5"]).select("row.*")
