@@ -46,7 +46,7 @@ def weighted_rates(sizes: DataFrame, epochs: float) -> DataFrame:
 def poisson_copies(draw: Column, rate: Column) -> Column:
     """Least k at which the Poisson distribution with mean ``rate`` exceeds the draw.
 
-    A rate above 20 is the sum of equal shares; each takes its own draw from the digits of the
+    A rate above 20 is the sum of equal shares; each takes its own draw from the 52 bits of the
     first, so no probability underflows.
     """
     parts = F.greatest(F.ceil(rate / 20.0), F.lit(1)).cast("int")
@@ -65,34 +65,41 @@ def poisson_copies(draw: Column, rate: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda state: state["k"])
 
-    draws = F.transform(F.sequence(F.lit(1), parts), lambda i: F.when(i == 1, draw).otherwise(uniform(draw.cast("string"), i.cast("string"))))
+    bits = (draw * float(1 << 52)).cast("bigint").cast("string")
+    draws = F.transform(F.sequence(F.lit(1), parts), lambda i: F.when(i == 1, draw).otherwise(uniform(bits, i.cast("string"))))
     return F.aggregate(F.transform(draws, one), F.lit(0), lambda total, k: total + k)
 
 
 def copies_of(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """The documents with ``_copies``: 0 or more.
+    """(row, name, copies) of every document: the row as one struct, what it draws by, 0 copies or more.
 
-    The draw depends on the seed, the identifier and the source. Rows that repeat all of these get
-    equal counts. A source without a rate is left out of the mix: 0 copies.
+    The draw depends on the seed, the identifier, the source and a digest of the text; without an identifier
+    on the row's place in the table too. Rows that repeat identifier, source and text get equal
+    counts. A source without a rate is left out of the mix: 0 copies.
     """
-    keyed = docs.withColumn("_source", source_name())
-    joined = small_join(keyed, rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate")), "_source")
-    draw = uniform(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_source"))
-    count = poisson_copies(F.col("_draw"), F.col("_rate"))
-    with_draw = joined.withColumn("_draw", draw)
-    return with_draw.withColumn("_copies", F.coalesce(count, F.lit(0))).drop("_draw", "_source", "_rate")
+    place = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+    name = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), place), F.md5(whole_text()))
+    # The row travels as one struct, so no column of the input can clash with those added here.
+    keyed = docs.select(F.struct("*").alias("row"), name.alias("name"), source_name().alias("source"))
+    joined = small_join(keyed, rates.select("source", "rate"), "source")
+    drawn = joined.withColumn("draw", uniform(F.lit(seed), F.col("name"), F.col("source")))
+    count = poisson_copies(F.col("draw"), F.col("rate"))
+    return drawn.select("row", "name", F.coalesce(count, F.lit(0)).alias("copies"))
 
 
 def mix_sources(docs: DataFrame, rates: DataFrame | None = None, seed: str = SEED) -> DataFrame:
     """Every document as often as its draw says, in a globally shuffled order.
 
     Adds ``copy`` (0, 1, ...) and ``position``, a number in [0, 1) by which the result is
-    range-partitioned and sorted; both names replace columns of the input. Null texts, sources and
-    identifiers are ordinary values; an empty table gives an empty mix.
+    range-partitioned and sorted; both names replace columns of the input, all others are returned as they
+    are. Null texts, sources and identifiers are ordinary values. Rows that repeat identifier and text have equal
+    positions and may lie in several partitions. An empty table gives an empty mix.
     """
     if rates is None:
         rates = source_rates(docs)
-    counted = copies_of(docs.drop("copy", "position"), rates, seed).filter("_copies > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).drop("_copies")
-    order = uniform(F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string"))
-    return copies.withColumn("position", order).repartitionByRange("position").sortWithinPartitions("position", "copy")
+    counted = copies_of(docs.drop("copy", "position"), rates, seed).filter("copies > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    order = uniform(F.lit(seed), F.lit("order"), F.col("name"), F.col("copy").cast("string"))
+    placed = copies.select("row", "copy", order.alias("position"), F.monotonically_increasing_id().alias("tie"))
+    mixed = placed.repartitionByRange("position", "tie").sortWithinPartitions("position", "copy")
+    return mixed.select("row.*", "copy", "position")

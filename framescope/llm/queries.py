@@ -147,21 +147,27 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
 WITH RECURSIVE {_SIZES.strip()}, rates AS (
   SELECT source, 2.0 * sqrt(bytes) / sum(sqrt(bytes)) OVER () * sum(bytes) OVER () / bytes AS rate FROM sizes
 ), draws AS (
-  SELECT doc_id, documents.source, strlen(coalesce(text, '')) AS n_bytes, rate,
-         CAST('0x' || sha256('mix-1|' || doc_id || '|' || rates.source)[1:13] AS BIGINT) / 4503599627370496.0 AS u
+  SELECT doc_id || '|' || md5(coalesce(text, '')) AS name, doc_id, documents.source,
+         strlen(coalesce(text, '')) AS n_bytes, rate, greatest(ceil(rate / 20.0), 1)::INTEGER AS parts,
+         CAST('0x' || sha256('mix-1|' || doc_id || '|' || md5(coalesce(text, '')) || '|' || rates.source)[1:13] AS BIGINT) AS bits
   FROM documents JOIN rates ON coalesce(documents.source, '(none)') = rates.source
+), shares AS (
+  SELECT name, i, rate / parts AS mean, 1 + ceil(rate / parts + 10 * sqrt(rate / parts) + 12) AS stop,
+         CASE WHEN i = 1 THEN bits ELSE CAST('0x' || sha256(bits || '|' || i)[1:13] AS BIGINT) END / 4503599627370496.0 AS u
+  FROM (SELECT *, unnest(range(1, parts + 1)) AS i FROM draws)
 ), steps AS (
-  SELECT doc_id, u, rate AS mean, 0 AS k, exp(-rate) AS p, exp(-rate) AS below FROM draws
+  SELECT name, i, u, mean, stop, 0 AS k, exp(-mean) AS p, exp(-mean) AS below FROM shares
   UNION ALL
-  SELECT doc_id, u, mean, k + 1, p * mean / (k + 1), below + p * mean / (k + 1) FROM steps WHERE below <= u AND k < 200
+  SELECT name, i, u, mean, stop, k + 1, p * mean / (k + 1), below + p * mean / (k + 1)
+  FROM steps WHERE below <= u AND k + 1 < stop
 ), counts AS (
-  SELECT doc_id, max(k) AS copies FROM steps GROUP BY doc_id
+  SELECT name, sum(most)::BIGINT AS copies FROM (SELECT name, i, max(k) AS most FROM steps GROUP BY name, i) GROUP BY name
 ), copied AS (
-  SELECT doc_id, unnest(range(copies)) AS copy FROM counts
+  SELECT name, unnest(range(copies)) AS copy FROM counts
 )
 SELECT doc_id, CAST(copy AS INTEGER) AS copy, source, n_bytes,
-       CAST('0x' || sha256('mix-1|order|' || doc_id || '|' || copy)[1:13] AS BIGINT) / 4503599627370496.0 AS position
-FROM copied JOIN draws USING (doc_id)""",
+       CAST('0x' || sha256('mix-1|order|' || name || '|' || copy)[1:13] AS BIGINT) / 4503599627370496.0 AS position
+FROM copied JOIN draws USING (name)""",
     "op13_lexical_search": r"""
 WITH words AS (
   SELECT row_number() OVER () AS row_id, doc_id,
