@@ -20,28 +20,48 @@ from framescope.session import materialize
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns as op4_quality does."""
+    """Documents that the quality classifier does not reject; it learns as op4_quality does.
+
+    Null and empty texts are judged like any; rows without an identifier have no label; repeated rows are judged
+    alike; an empty table, or one without labels, stays as it is. All columns are returned.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return good_documents(docs, fit_quality(docs, labels, crc_bucket("doc_id", 5) != 0))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each exact text, the one with the largest identifier as in op6_exact_dedup."""
+    """One document of each exact text, the one with the largest identifier as in op6_exact_dedup.
+
+    A null text equals an empty one. A missing identifier is below all others; of rows that repeat identifier and
+    text one stays. All columns are returned, whatever their names.
+    """
     return distinct_contents(docs, keep_largest=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one with the smallest identifier.
+
+    Null, empty and wordless texts are near their equals only. A missing identifier is above all others; of
+    rows that repeat identifier and text one stays. All columns are returned, whatever their names.
+    """
     return without_near_duplicates(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources have their target weights, globally shuffled."""
-    return mix_sources(docs).select(*docs.columns)
+    """Documents repeated so that sources have their target weights, globally shuffled.
+
+    Null sources are one source; rows without an identifier draw each on their own. All columns are returned,
+    ``copy`` and ``position`` of the mix are left out.
+    """
+    kept = [c for c in docs.columns if c not in ("copy", "position")]
+    return mix_sources(docs).select(*kept)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    """Pieces of the documents with their places in sequences of 2048 tokens.
+
+    A null text has only its closing id; repeated rows are packed each on their own; an empty table gives no piece.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
