@@ -7,7 +7,7 @@ words back, so they are evaluated on the word array of the row; no window, no sh
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,14 +16,20 @@ from pyspark.sql import functions as F
 from framescope import constants as C
 from framescope.functions import labels
 from framescope.functions.binding import let
-from framescope.functions.lookup import TooManyEntries, literal_lookup
+from framescope.functions.lookup import (
+    MAX_SHARED_ENTRIES,
+    TooManyEntries,
+    fits_literal,
+    literal_lookup,
+    shared_lookup,
+)
 from framescope.functions.numeric import round_to
 from framescope.functions.text import WS, count_char
 
 WordTable = Mapping[str, tuple[float, float]]
 
 
-def read_word_table(table: DataFrame, limit: int = 50_000) -> dict[str, tuple[float, float]]:
+def read_word_table(table: DataFrame, limit: int = MAX_SHARED_ENTRIES) -> dict[str, tuple[float, float]]:
     """Load a ``(word, valence, subjectivity)`` table, refusing more rows than ``limit``."""
     rows = table.select("word", "valence", "subjectivity").limit(limit + 1).collect()
     if len(rows) > limit:
@@ -54,14 +60,36 @@ class Modifiers(NamedTuple):
     negators: Sequence[str] = C.NEGATORS
 
 
-def _valence_sum(words: WordTable, raw: Column, modifiers: Modifiers) -> Column:
+class _Values(NamedTuple):
+    """Valence and subjectivity of the words of a lower-cased array, by place; null where a word is not listed."""
+
+    valence: Callable[[Column, Column], Column]
+    subjectivity: Callable[[Column, Column], Column]
+
+
+def _word_values(df: DataFrame, words: WordTable, split: Column) -> tuple[DataFrame, _Values]:
+    """The frame with what it needs, and access to the values of the words of ``split``.
+
+    A table that fits is a literal in the expression; a larger one is matched beforehand, into
+    arrays as long as the word array (``_valences`` and ``_subjectivities``, to be dropped later).
+    """
+    valence, subjectivity = ({w: v[i] for w, v in words.items()} for i in (0, 1))
+    if fits_literal(words):
+        v, s = literal_lookup(valence, "double"), literal_lookup(subjectivity, "double")
+        return df, _Values(lambda lower, i: v(F.get(lower, i)), lambda lower, i: s(F.get(lower, i)))
+    tables = {"_valences": (valence, "double"), "_subjectivities": (subjectivity, "double")}
+    matched = shared_lookup(df, F.transform(split, F.lower), tables)
+    return matched, _Values(
+        lambda lower, i: F.get(F.col("_valences"), i), lambda lower, i: F.get(F.col("_subjectivities"), i)
+    )
+
+
+def _valence_sum(values: _Values, raw: Column, modifiers: Modifiers) -> Column:
     """Sum of the adjusted valences of a word array."""
-    valence = literal_lookup({w: v for w, (v, _) in words.items()}, "double")
-    known = list(words)
     decays = F.array(*[F.lit(d) for d in C.BOOST_DECAY])
 
     def adjusted(index: Column, raw: Column, lower: Column, mixed: Column, but: Column) -> Column:
-        base = valence(F.get(lower, index))
+        base = values.valence(lower, index)
         capital = mixed & _is_upper(F.get(raw, index))
         start = base + F.when(capital, F.signum(base) * C.CAPS_STEP).otherwise(0.0)
 
@@ -78,7 +106,8 @@ def _valence_sum(words: WordTable, raw: Column, modifiers: Modifiers) -> Column:
             negates = before.isin(list(modifiers.negators)) | before.rlike(C.NEGATED_ENDING)
             factor = F.when(negates, C.NEGATION_FACTOR).otherwise(F.lit(1.0))
             changed = (value + F.signum(value) * step * F.get(decays, distance - 1)) * factor
-            return F.when(before.isin(known), value).otherwise(changed)
+            listed = (place >= 0) & values.valence(lower, place).isNotNull()
+            return F.when(listed, value).otherwise(changed)
 
         value = F.aggregate(F.array(F.lit(1), F.lit(2), F.lit(3)), start, look_back)
         contrast = (
@@ -91,7 +120,8 @@ def _valence_sum(words: WordTable, raw: Column, modifiers: Modifiers) -> Column:
     def total(state: Column) -> Column:
         raw, lower = state["raw"], state["lower"]
         hits = F.filter(
-            F.transform(lower, lambda w, i: F.when(w.isin(known), i)), lambda i: i.isNotNull()
+            F.transform(lower, lambda w, i: F.when(values.valence(lower, i).isNotNull(), i)),
+            lambda i: i.isNotNull(),
         )
         uppers = F.size(F.filter(raw, _is_upper))
         flags = F.struct(
@@ -122,9 +152,15 @@ def emotion_intensity(
     """Add compound in [-1, 1], its absolute value, the intensity label and the sentiment.
 
     A preceding word modifies only if it is not in ``words``; words in n't negate like the negators.
-    ``split`` is the word array of the text, when it is already at hand.
+    ``split`` is the word array of the text, when it is already at hand. Tables of any size up to
+    ``MAX_SHARED_ENTRIES`` give the same scores.
     """
     tokens = emotion_words(F.col(text)) if split is None else split
+    matched, values = _word_values(df, words, tokens)
+    return _emotion(matched, text, values, tokens, modifiers).drop("_valences", "_subjectivities")
+
+
+def _emotion(df: DataFrame, text: str, values: _Values, tokens: Column, modifiers: Modifiers) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     questions = count_char(body, "?")
     emphasis = F.least(count_char(body, "!"), F.lit(C.EXCLAMATION_MAX)) * C.EXCLAMATION_STEP + (
@@ -141,7 +177,7 @@ def emotion_intensity(
         )
 
     return (
-        df.withColumn("compound", let(_valence_sum(words, tokens, modifiers), compound))
+        df.withColumn("compound", let(_valence_sum(values, tokens, modifiers), compound))
         .withColumn("emotion_intensity", round_to(F.abs("compound")))
         .withColumn("emotion_label", labels.emotion_label(F.col("emotion_intensity")))
         .withColumn("sentiment", labels.sentiment(F.col("compound")))
@@ -162,10 +198,21 @@ def subjectivity(
 
     A modifier scales the next word; a scaled value is capped at 1.
     """
-    subj = literal_lookup({w: s for w, (_, s) in words.items()}, "double")
-    valence = literal_lookup({w: v for w, (v, _) in words.items()}, "double")
-    known = list(words)
+    tokens = emotion_words(F.col(text)) if split is None else split
+    matched, values = _word_values(df, words, tokens)
+    scored = _subjectivity(matched, values, tokens, boosters, dampeners, boost, dampen)
+    return scored.drop("_valences", "_subjectivities")
 
+
+def _subjectivity(
+    df: DataFrame,
+    values: _Values,
+    tokens: Column,
+    boosters: Sequence[str],
+    dampeners: Sequence[str],
+    boost: float = 1.3,
+    dampen: float = 0.7,
+) -> DataFrame:
     def hits(lower: Column) -> Column:
         def scored(word: Column, index: Column) -> Column:
             before = F.when(index > 0, F.get(lower, index - 1)).otherwise(F.lit(""))
@@ -174,10 +221,12 @@ def subjectivity(
                 .when(before.isin(list(dampeners)), F.lit(dampen))
                 .otherwise(F.lit(1.0))
             )
+            valence = values.valence(lower, index)
             value = F.struct(
-                F.least(subj(word) * factor, F.lit(1.0)).alias("s"), valence(word).alias("v")
+                F.least(values.subjectivity(lower, index) * factor, F.lit(1.0)).alias("s"),
+                valence.alias("v"),
             )
-            return F.when(word.isin(known), value)
+            return F.when(valence.isNotNull(), value)
 
         return F.filter(F.transform(lower, scored), lambda v: v.isNotNull())
 
@@ -189,7 +238,7 @@ def subjectivity(
 
         return F.struct(mean("s").alias("s"), mean("v").alias("v"))
 
-    lower = F.transform(emotion_words(F.col(text)) if split is None else split, F.lower)
+    lower = F.transform(tokens, F.lower)
     polarity = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_means.v") / 4.0))
     return (
         df.withColumn("_means", let(let(lower, hits), means))
@@ -209,9 +258,7 @@ def auxiliary_scores(
 ) -> DataFrame:
     """Both scores in one pass over the rows; the text is split into words once."""
     split = F.col("_emotion_words")
-    scored = emotion_intensity(
-        df.withColumn("_emotion_words", emotion_words(F.col(text))), text, words, split, modifiers
-    )
-    return subjectivity(
-        scored, text, words, modifiers.boosters, modifiers.dampeners, split=split
-    ).drop("_emotion_words")
+    matched, values = _word_values(df.withColumn("_emotion_words", emotion_words(F.col(text))), words, split)
+    scored = _emotion(matched, text, values, split, modifiers)
+    scored = _subjectivity(scored, values, split, modifiers.boosters, modifiers.dampeners)
+    return scored.drop("_emotion_words", "_valences", "_subjectivities")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framescope.functions.binding import let
-from framescope.functions.lookup import literal_lookup
+from framescope.functions.lookup import fits_literal, literal_lookup, shared_lookup
 from framescope.functions.text import ngrams_of, vector_tokens
 from framescope.session import materialize, scratch_path
 
@@ -221,10 +221,15 @@ class TfidfModel:
         Term indexes are sorted and counted by run length, so the cost is linear-logarithmic in the
         length of a text, however often a term repeats.
         """
-        index = literal_lookup({t: i for i, t in enumerate(self.terms)}, "int")
+        places = {t: i for i, t in enumerate(self.terms)}
         grams = let(vector_tokens(text), lambda t: ngrams_of(t, self.low, self.high))
-        found = F.sort_array(F.filter(F.transform(grams, index), lambda i: i.isNotNull()))
-        return df.withColumn(output, self._unit_weights(run_lengths(found)))
+        if fits_literal(places):
+            found, source = F.transform(grams, literal_lookup(places, "int")), df
+        else:
+            # A vocabulary above the literal limit is matched batch by batch.
+            found, source = F.col("_places"), shared_lookup(df, grams, {"_places": (places, "int")})
+        ordered = F.sort_array(F.filter(found, lambda i: i.isNotNull()))
+        return source.withColumn(output, self._unit_weights(run_lengths(ordered))).drop("_places")
 
     def weigh_counted(self, counted: Column | str) -> Column:
         """As ``weigh``, from a text's (value, n) terms; texts counted once serve several vocabularies."""

@@ -204,3 +204,35 @@ def test_trie_and_join_find_the_same(spark, monkeypatch):
     assert (0, "New Delhi Times", "ORG") in found and (3, "Élan Vital", "ORG") in found and (0, "Delhi", "ORG") in found
     assert not any(s[3] in ("lower case", "Odd") for s in small)
     assert len(summary) == len(texts)
+
+
+def test_large_tables_give_the_scores_of_small_ones(spark, monkeypatch):
+    """Word tables and vocabularies above the literal limit: same values, neighbours included."""
+    from framescope import constants as C
+    from framescope.functions import lookup
+    from framescope.operators import sentiment
+
+    texts = [
+        "not very good", "VERY good but slightly shameful!!", "It isn't heroic. true heroic", "", None, "plain words only",
+        "good bad GOOD no! never good", "absolutely corrupt, barely true?",
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    words = C.SENTIMENT_WORDS | {"good": (1.9, 0.6), "bad": (-2.5, 0.66), "no": (-1.2, 0.3)}
+    padded = words | {f"zz{i}": (1.0, 1.0) for i in range(200_000)}
+    small = sentiment.auxiliary_scores(frame, "text", words)
+    large = sentiment.auxiliary_scores(frame, "text", padded)
+    assert small.columns == large.columns
+    assert sorted(map(str, small.collect())) == sorted(map(str, large.collect()))
+    one = sentiment.subjectivity(sentiment.emotion_intensity(frame, words=padded), words=padded)
+    columns = ["doc_id", "compound", "subjectivity", "polarity"]
+    assert sorted(one.select(columns).collect()) == sorted(small.select(columns).collect())
+    tfidf = TfidfModel.fit(frame, "text", "doc_id", 1, 2, 1, 100)
+    wide = TfidfModel(
+        tfidf.terms + tuple(f"zz{i}" for i in range(200_000)), tfidf.idf + (1.0,) * 200_000, 1, 2
+    )
+    assert wide.size > lookup.MAX_LITERAL_ENTRIES
+    a, b = (m.weigh(frame, "text").select("doc_id", "_weights").collect() for m in (tfidf, wide))
+    assert sorted(a) == sorted(b)
+    monkeypatch.setattr(lookup, "MAX_SHARED_ENTRIES", 10)
+    with pytest.raises(lookup.TooManyEntries):
+        sentiment.auxiliary_scores(frame, "text", padded)
