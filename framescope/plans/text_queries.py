@@ -71,8 +71,16 @@ def _sql_boilerplate(e: str) -> str:
     return e
 
 
+# The references that occur in the pages.
+_ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+    ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"),
+    ("&hellip;", "…"), ("&amp;", "&"),
+]
+
+
 def _sql_entities(e: str) -> str:
-    for entity, char in H._ENTITIES:
+    for entity, char in _ENTITIES:
         e = f"replace({e}, {B.quoted(entity)}, {B.quoted(char)})"
     return e
 
