@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from framescope.constants import STOP_WORDS
 from framescope.functions.numeric import ratio, round_to
 from framescope.functions.text import raw_words, split_fragments, word_count
+from framescope.operators.quantiles import exact_quantiles
 from framescope.operators.tfidf import word_ngrams
+from framescope.session import materialize
 
 
 def class_distribution(df: DataFrame, label: str = "label") -> DataFrame:
@@ -34,25 +36,30 @@ def with_lengths(df: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def text_length_stats(lengths: DataFrame, label: str = "label", exact: bool = True) -> DataFrame:
     """Means per class and word-count quartiles.
 
-    ``exact=False`` switches to the mergeable quantile sketch, whose state does not grow with the
-    number of distinct lengths.
+    ``exact=False`` takes the quartiles from a mergeable sketch in the pass that gives the means; exact ones
+    cost a few passes over stored lengths (see ``quantiles``).
     """
-
-    def quartile(p: float) -> Column:
-        if exact:
-            return F.percentile("words", F.lit(p))
-        return F.percentile_approx("words", p).cast("double")
-
-    return lengths.groupBy(label).agg(
+    names = [f"words_{n}" for n in ("q1", "median", "q3")]
+    means = [
         F.avg("chars").alias("mean_chars"),
         F.avg("words").alias("mean_words"),
         round_to(F.avg("avg_word_length"), 6).alias("mean_word_length"),
         F.avg("sentences").alias("mean_sentences"),
-        *[quartile(p).alias(f"words_{n}") for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
-    )
+    ]
+    if not exact:
+        sketched = [F.percentile_approx("words", p).cast("double").alias(n) for p, n in zip(QUARTILES, names, strict=True)]
+        return lengths.groupBy(label).agg(*means, *sketched)
+    stored = materialize(lengths.select(label, "chars", "words", "avg_word_length", "sentences"), "lengths")
+    quartiles = exact_quantiles(stored, [label], "words", QUARTILES).toDF("_label", *names)
+    # One row per class on both sides.
+    same = F.col(label).eqNullSafe(F.col("_label"))
+    return stored.groupBy(label).agg(*means).join(F.broadcast(quartiles), same).drop("_label")
 
 
 def feature_correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -110,30 +117,12 @@ def feature_distribution(
     )
 
 
-def feature_quantiles(
-    df: DataFrame, columns: Sequence[str], label: str = "label", digits: int = 4
-) -> DataFrame:
-    """Quartiles per class and feature.
-
-    Values are rounded first: the state of an exact percentile holds one counter per distinct value,
-    and features lie in a fixed range, so rounding bounds it.
-    """
-    cells = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), round_to(F.col(c), digits).alias("value"))
-            for c in columns
-        ]
-    )
-    return (
-        df.select(label, F.inline(cells))
-        .groupBy(label, "feature")
-        .agg(
-            *[
-                F.percentile("value", F.lit(p)).alias(n)
-                for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
-            ]
-        )
-    )
+def feature_quantiles(df: DataFrame, columns: Sequence[str], label: str = "label") -> DataFrame:
+    """Exact quartiles per class and feature, of the values as they are; features are computed once and stored."""
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    stored = materialize(df.select(label, F.inline(cells)), "features")
+    quartiles = exact_quantiles(stored, [label, "feature"], "value", QUARTILES)
+    return quartiles.toDF(label, "feature", "q1", "median", "q3")
 
 
 def _top_terms(counts: DataFrame, label: str, k: int) -> DataFrame:

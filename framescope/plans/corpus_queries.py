@@ -568,21 +568,20 @@ def feature_distribution(spark, sf_dir):
     return XP.feature_distribution(_features(spark, sf_dir), C.FEATURE_NAMES)
 
 
-_V4 = B.round_to("v")
-
-
 @query(
     "feature_quantiles",
-    B.with_ctes(*_FEAT)
+    B.with_ctes(*_FEAT[:-1], f"uf AS (SELECT toxic::BIGINT AS label, {', '.join(C.FEATURE_NAMES)} FROM feat JOIN labels USING (doc_id))")
     + " SELECT label, feature, "
     + ", ".join(
-        f"{B.round_to(f'quantile_cont({_V4}, {p})', 6)} AS {n}"
+        f"{B.round_to(f'quantile_cont(v, {p})', 6)} AS {n}"
         for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))
     )
-    + f" FROM (FROM lf UNPIVOT (v FOR feature IN ({', '.join(C.FEATURE_NAMES)}))) GROUP BY ALL",
+    + f" FROM (FROM uf UNPIVOT (v FOR feature IN ({', '.join(C.FEATURE_NAMES)}))) GROUP BY ALL",
 )
 def feature_quantiles(spark, sf_dir):
-    quantiles = XP.feature_quantiles(_features(spark, sf_dir), C.FEATURE_NAMES)
+    """Of the features as they are; only the quartiles are rounded, to be compared."""
+    featured = linguistic_features(_labelled(spark, sf_dir))
+    quantiles = XP.feature_quantiles(featured, C.FEATURE_NAMES)
     return quantiles.select(
         "label", "feature",
         *[round_to(F.col(n), 6).alias(n) for n in ("q1", "median", "q3")],
