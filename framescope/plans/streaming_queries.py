@@ -111,10 +111,11 @@ _EVENT_SCORE = "((floor(value * 7)::BIGINT % 101) / 100e0)"
 def stream_source_stats(spark, sf_dir) -> DataFrame:
     """Final state of the running daily statistics; days that the watermark has passed stay closed."""
     path, checkpoint = scratch_path(spark, "stats"), scratch_path(spark, "checkpoint")
+    keys = ["window_start", "source_label", "verdict"]
     _arrive_twice(
-        spark, sf_dir, 1, lambda s: T.update_latest(T.stream_source_stats(s, delay=DELAY), path, checkpoint)
+        spark, sf_dir, 1,
+        lambda s: T.update_latest(T.stream_source_stats(s, delay=DELAY), path, checkpoint, keys, compact_every=2),
     )
-    keys = ["window_start", "source_label", "verdict"]
     return T.latest_state(spark, path, keys).select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"),
         "source_label", "verdict", "n", "mean_composite",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from framescope.constants import LABEL_COLUMN_NAMES, TEXT_COLUMN_NAMES
 from framescope.functions.text import strip, word_count
+from framescope.sources.csv_split import csv_records
 from framescope.sources.paths import path_exists
 
 CORPUS_SCHEMA = "doc_id bigint, text string, label string, source string"
@@ -28,15 +29,10 @@ def write_corpus(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_corpus_csv(spark: SparkSession, path: str, schema: str = CORPUS_SCHEMA) -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("multiLine", True)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    """Rows of CSV files as :func:`write_corpus` writes them; large files are read by many tasks (``csv_records``)."""
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    records = csv_records(spark, path).filter("NOT header")
+    return records.select(F.from_csv("record", F.lit(schema), options).alias("r")).select("r.*")
 
 
 def read_labeled_corpus(

@@ -15,3 +15,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
             return False
         raise
     return True
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files and folders directly below a path, on whatever file system it names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    return [status.getPath().getName() for status in system.listStatus(folder)]

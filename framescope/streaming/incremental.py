@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from framescope.operators.composite import score_text
 from framescope.operators.linear_model import LinearTextModel
+from framescope.sources.paths import child_names
 
 
 def read_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -68,15 +69,23 @@ def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def update_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def update_latest(
+    stream: DataFrame, path: str, checkpoint: str, keys: list[str], compact_every: int = 20
+) -> StreamingQuery:
     """Update mode: each batch writes its changed groups under its own batch number.
 
-    :func:`latest_state` reads the newest version of every group.
+    After every ``compact_every`` batches the newest row of every group is written as one generation, so that
+    :func:`latest_state` reads one generation and at most that many batches, however long the stream
+    has run. Older folders are read by nobody and are left to the retention of the folder.
     """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        # The batch number is part of the path, so a batch replayed after a failure replaces itself.
+        # The number is part of the path, so a batch replayed after a failure replaces itself.
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if (number + 1) % compact_every == 0:
+            state = latest_state(spark, path, keys, upto=number)
+            state.write.mode("overwrite").parquet(f"{path}/generation={number}")
 
     return (
         stream.writeStream.outputMode("update")
@@ -87,12 +96,34 @@ def update_latest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def latest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+def state_folders(spark: SparkSession, path: str, upto: int | None = None) -> tuple[int | None, list[int]]:
+    """The newest finished generation and the batches after it, up to a batch number.
+
+    A generation counts once its success mark is written, and never for its own making.
+    """
+    names = child_names(spark, path)
+    limit = float("inf") if upto is None else upto
+    generations = [int(n.split("=")[1]) for n in names if n.startswith("generation=")]
+    finished = [g for g in generations if g <= limit and g != upto and "_SUCCESS" in child_names(spark, f"{path}/generation={g}")]
+    newest = max(finished, default=None)
+    batches = sorted(int(n.split("=")[1]) for n in names if n.startswith("batch="))
+    return newest, [b for b in batches if b <= limit and (newest is None or b > newest)]
+
+
+def latest_state(spark: SparkSession, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
     """Newest row per key of the tables that :func:`update_latest` writes."""
-    written = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
-    values = [c for c in written.columns if c not in (*keys, "batch")]
+    newest, batches = state_folders(spark, path, upto)
+    parts = [] if newest is None else [(newest, f"{path}/generation={newest}")]
+    parts += [(b, f"{path}/batch={b}") for b in batches]
+    written = None
+    for number, folder in parts:
+        rows = spark.read.parquet(folder).withColumn("_batch", F.lit(number))
+        written = rows if written is None else written.unionByName(rows)
+    if written is None:
+        raise ValueError(f"nothing has been written to {path}")
+    values = [c for c in written.columns if c not in (*keys, "_batch")]
     return (
         written.groupBy(*keys)
-        .agg(F.max_by(F.struct(*values), "batch").alias("v"))
+        .agg(F.max_by(F.struct(*values), "_batch").alias("v"))
         .select(*keys, "v.*")
     )
