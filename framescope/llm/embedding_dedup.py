@@ -1,9 +1,11 @@
 """Near-duplicate vectors by randomly rotated binary codes.
 
 Every vector is rotated at random and reduced to the signs of its coordinates, with a correction
-factor (the inner product of the vector with its code, RaBitQ: Gao and Long, 2024). The code of one
-vector and the rotated other vector give an unbiased estimate of their cosine with a confidence
-bound; only pairs whose bound reaches the threshold are recomputed in double precision.
+factor (the inner product of the vector with its code, RaBitQ: Gao and Long, 2024). Beside the code it
+keeps its rotated coordinates at a few bits each, rounded at random. All of this is computed once a
+vector and stored. From the code of one vector and the rounded coordinates of another, counts of common
+bits give an unbiased estimate of their cosine with a confidence bound. Only vectors in a pair whose
+bound reaches the threshold are fetched, and the pair is recomputed in double precision.
 
 Pairs to look at share a band of code bits, of any of several rotations. The number of bits of a
 band follows from the number of vectors of the label, and the number of bands from the bits, so that a
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -35,6 +38,8 @@ SIGMAS = 4.5
 BUCKET = 16
 #: Number of the rotation that estimates use, apart from those of the bands.
 ESTIMATE_ROTATION = 1 << 20
+#: Bits of a rounded coordinate.
+PLANES = 5
 
 
 def band_count(bits: int, threshold: float, miss: float = MISS) -> int:
@@ -59,34 +64,103 @@ def band_keys(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
     return taken @ (1 << np.arange(bits, dtype=np.int64))
 
 
-def estimate(unit: np.ndarray, other: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of all inner products of two sets of unit vectors, and their half width.
+@dataclass
+class Codes:
+    """Stored codes of some vectors of d dimensions, one row each, bits packed into 64-bit words."""
 
-    ``unit`` is seen through its codes and correction factors, ``other`` in full. The half width is
-    that of an inner product at the threshold: the closer two vectors, the smaller the error.
+    d: int
+    sign: np.ndarray
+    factor: np.ndarray
+    low: np.ndarray
+    step: np.ndarray
+    planes: np.ndarray
+
+    def at(self, rows: np.ndarray) -> Codes:
+        return Codes(self.d, *(x[rows] for x in (self.sign, self.factor, self.low, self.step, self.planes)))
+
+    def blobs(self) -> list[bytes]:
+        """Each row's code as bytes: factor, low end, step, signs, planes."""
+        numbers = np.stack([self.factor, self.low, self.step], axis=1).astype("<f8")
+        bits = np.concatenate([self.sign[:, None], self.planes], axis=1).astype("<u8")
+        return [a.tobytes() + b.tobytes() for a, b in zip(numbers, bits, strict=True)]
+
+    @staticmethod
+    def of_blobs(blobs: list[bytes], d: int) -> Codes:
+        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+        numbers = raw[:, :24].copy().view("<f8")
+        bits = raw[:, 24:].copy().view("<u8").reshape(len(blobs), 1 + PLANES, -1)
+        return Codes(d, bits[:, 0], *numbers.T, bits[:, 1:])
+
+
+def _words(bits: np.ndarray) -> np.ndarray:
+    """Booleans of the last axis as 64-bit words."""
+    packed = np.packbits(bits, axis=-1, bitorder="little")
+    missing = -packed.shape[-1] % 8
+    padded = np.pad(packed, [(0, 0)] * (packed.ndim - 1) + [(0, missing)])
+    return np.ascontiguousarray(padded).view("<u8")
+
+
+def encode(unit: np.ndarray) -> Codes:
+    """Codes of unit vectors: signs after a rotation, correction factor, coordinates in ``PLANES`` bits.
+
+    Coordinates are rounded up or down at random with the mean where it was, so estimates stay unbiased.
     """
     d = unit.shape[1]
-    turn = rotation(d, ESTIMATE_ROTATION).T
-    turned, query = unit @ turn, other @ turn
-    code = np.where(turned > 0, 1.0, -1.0) / math.sqrt(d)
-    factor = (code * turned).sum(axis=1)
-    spread = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(d - 1, 1))
-    return (code @ query.T) / factor[:, None], SIGMAS * math.sqrt(1 - threshold**2) * spread
+    turned = unit @ rotation(d, ESTIMATE_ROTATION).T
+    factor = np.abs(turned).sum(axis=1) / math.sqrt(d)
+    low = turned.min(axis=1)
+    step = np.maximum(turned.max(axis=1) - low, 1e-12) / (2**PLANES - 1)
+    noise = np.random.default_rng((d, ESTIMATE_ROTATION)).random(d)
+    level = np.floor((turned - low[:, None]) / step[:, None] + noise).clip(0, 2**PLANES - 1).astype(np.int64)
+    planes = np.stack([_words((level >> k) & 1 == 1) for k in range(PLANES)], axis=1)
+    return Codes(d, _words(turned > 0), factor, low, step, planes)
+
+
+def estimate_codes(codes: Codes, others: Codes, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of all inner products of two sets of vectors from their codes, and their half widths.
+
+    ``codes`` is seen through signs and factors, ``others`` through rounded coordinates. The half width is
+    that of an inner product at the threshold: the closer two vectors, the smaller the error.
+    """
+    d, weights = codes.d, 2.0 ** np.arange(PLANES)
+    common = np.zeros((len(codes.sign), len(others.sign)))
+    for k in range(PLANES):
+        bits = np.bitwise_count(codes.sign[:, None] & others.planes[None, :, k]).sum(axis=2)
+        common += weights[k] * bits
+    ones = np.bitwise_count(codes.sign).sum(axis=1).astype(float)
+    level = np.bitwise_count(others.planes).sum(axis=2) @ weights
+    positive = others.low * ones[:, None] + others.step * common
+    whole = others.low * d + others.step * level
+    value = (2 * positive - whole) / math.sqrt(d) / codes.factor[:, None]
+    spread = np.maximum(1 - codes.factor**2, 0) / max(d - 1, 1) * (1 - threshold**2)
+    half = SIGMAS * np.sqrt(spread[:, None] + others.step**2 / 4) / codes.factor[:, None]
+    return value, half
+
+
+def estimate(unit: np.ndarray, other: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """``estimate_codes`` of two sets of unit vectors."""
+    return estimate_codes(encode(unit), encode(other), threshold)
+
+
+def undecided(codes: Codes, left: np.ndarray, right: np.ndarray | None, threshold: float) -> np.ndarray:
+    """Which pairs of the rows ``left`` (among themselves if ``right`` is None, else with those) may reach the threshold."""
+    if right is None:
+        value, half = estimate_codes(codes.at(left), codes.at(left), threshold)
+        maybe = value + half >= threshold
+        return np.triu(maybe | maybe.T, 1)
+    value, half = estimate_codes(codes.at(left), codes.at(right), threshold)
+    return value + half >= threshold
 
 
 def compare_tiles(
-    unit: np.ndarray, keys: np.ndarray | None, left: np.ndarray, right: np.ndarray | None, threshold: float
+    unit: np.ndarray, codes: Codes, keys: np.ndarray | None, left: np.ndarray, right: np.ndarray | None, threshold: float
 ) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of the rows ``left`` (among themselves if ``right`` is None, else with those).
 
     ``keys`` holds the earlier bands: a pair that shares one of them was found there.
     """
-    value, half = estimate(unit[left], unit[left if right is None else right], threshold)
-    maybe = value + half[:, None] >= threshold
-    if right is None:
-        maybe, right = np.triu(maybe | maybe.T, 1), left
-    i, j = np.nonzero(maybe)
-    i, j = left[i], right[j]
+    i, j = np.nonzero(undecided(codes, left, right, threshold))
+    i, j = left[i], (left if right is None else right)[j]
     if keys is not None:
         fresh = ~(keys[i] == keys[j]).any(axis=1)
         i, j = i[fresh], j[fresh]
@@ -177,54 +251,100 @@ def _class_links(classes: DataFrame, sizes: DataFrame, threshold: float) -> Data
         "block",
     )
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths, dims = batch.column("bits").to_numpy(), batch.column("d").to_numpy()
             for width, d in set(zip(widths.tolist(), dims.tolist(), strict=True)):
                 rows = np.flatnonzero((widths == width) & (dims == d))
                 part = batch.take(pa.array(rows))
                 for piece in (part.slice(s, 2048) for s in range(0, part.num_rows, 2048)):
-                    keys = band_keys(unit_rows(piece.column("embedding")), width, band_count(width, threshold))
-                    n, count = keys.shape
-                    take = pa.array(np.repeat(np.arange(n), count))
+                    unit = unit_rows(piece.column("embedding"))
+                    keys = band_keys(unit, width, band_count(width, threshold))
+                    offsets = pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32())
                     yield pa.RecordBatch.from_arrays(
-                        [piece.column("rep").take(take), piece.column("block").take(take),
-                         pa.array(np.tile(np.arange(count, dtype=np.int32), n)), pa.array(keys.ravel())],
-                        ["rep", "block", "band", "bucket"],
+                        [piece.column("rep"), piece.column("block"), piece.column("d"),
+                         pa.array(encode(unit).blobs(), pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))],
+                        ["rep", "block", "d", "code", "buckets"],
                     )
 
-    keyed = sized.select("rep", "block", "d", "bits", "embedding").mapInArrow(
-        bands, "rep bigint, block string, band int, bucket bigint"
+    # Codes, factors and bands of every class, computed once.
+    codes = materialize(
+        sized.select("rep", "block", "d", "bits", "embedding").mapInArrow(
+            encoded, "rep bigint, block string, d int, code binary, buckets array<bigint>"
+        ),
+        "vector-codes",
     )
-    keyed = materialize(keyed, "vector-bands")
     # Buckets with two members or more; large ones in tiles, every tile meeting every other once.
-    shared = keyed.groupBy("block", "band", "bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    keyed = codes.select("rep", "block", F.posexplode("buckets").alias("band", "bucket"))
+    keyed = keyed.select("rep", F.xxhash64("block", "band", "bucket").alias("place"), "band")
+    shared = materialize(keyed.groupBy("place").agg(F.count("*").alias("n")).filter("n > 1"), "vector-buckets")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    placed = keyed.join(shared.withColumn("tiles", tiles), ["block", "band", "bucket"])
+    placed = keyed.join(shared.withColumn("tiles", tiles), "place")
     own = F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")
     placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    task = F.xxhash64("block", "band", "bucket", F.least("own", "other"), F.greatest("own", "other"))
-    placed = placed.select("rep", "band", "own", "other", task.alias("task"), "block", "bucket")
-    wide = placed.join(sized.select("rep", "members", "bits", "embedding"), "rep")
-    ordered = wide.repartition("task").sortWithinPartitions("task", "block", "bucket", "rep")
+    task = F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other"))
+    placed = placed.select("rep", "band", "own", "other", task.alias("task"))
+    # First the codes alone: what is in no undecided pair of a task drops out.
+    coded = placed.join(codes.select("rep", "d", "code"), "rep")
+    screened = materialize(
+        coded.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(
+            lambda batches: screen(batches, threshold), "task bigint, rep bigint, band int, own int, other int, code binary"
+        ),
+        "vector-undecided",
+    )
+    wide = screened.join(sized.select("rep", "members", "bits", "embedding"), "rep")
+    ordered = wide.repartition("task").sortWithinPartitions("task", "rep")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_tasks(batches):
             yield from compare_task(table, threshold)
 
     return materialize(
-        ordered.select("task", "rep", "band", "own", "other", "members", "bits", "embedding").mapInArrow(
+        ordered.select("task", "rep", "band", "own", "other", "members", "bits", "embedding", "code").mapInArrow(
             compare, "kind int, u bigint, v bigint"
         ),
         "vector-links",
     )
 
 
+def _sides(own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray | None] | None:
+    """The rows of a task's two tiles; None for the second if there is one, None if one of two is missing."""
+    low = min(own.min(), other.min())
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own != low)
+    if not (own != other).any():
+        return np.arange(len(own)), None
+    return (left, right) if len(left) and len(right) else None
+
+
+def screen(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """The rows of each task that are in a pair whose estimate may reach the threshold."""
+    for table in whole_tasks(batches):
+        task = table.column("task").to_numpy()
+        own, other, dims = (table.column(c).to_numpy() for c in ("own", "other", "d"))
+        blobs = table.column("code").to_pylist()
+        bounds = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
+        kept = np.zeros(len(task), bool)
+        for start, end in zip(bounds, np.append(bounds[1:], len(task)), strict=True):
+            if end - start < 2 or len(set(dims[start:end])) > 1:
+                continue
+            sides = _sides(own[start:end], other[start:end])
+            if sides is None:
+                continue
+            left, right = sides
+            maybe = undecided(Codes.of_blobs(blobs[start:end], int(dims[start])), left, right, threshold)
+            second = left if right is None else right
+            kept[start + left[maybe.any(axis=1)]] = True
+            kept[start + second[maybe.any(axis=0)]] = True
+        names = ["task", "rep", "band", "own", "other", "code"]
+        yield from table.select(names).filter(pa.array(kept)).combine_chunks().to_batches()
+
+
 def compare_task(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
     """Links of all tasks of a table, as counts of members and as links to the smallest."""
     task = table.column("task").to_numpy()
     get = {c: table.column(c).to_numpy() for c in ("rep", "band", "own", "other", "members", "bits")}
     vectors = table.column("embedding").combine_chunks()
+    blobs = table.column("code").to_pylist()
     lengths = vectors.value_lengths().to_numpy()
     bounds = np.flatnonzero(np.append(True, task[1:] != task[:-1]))
     rows_u, rows_v, links_u, links_v = [], [], [], []
@@ -232,15 +352,13 @@ def compare_task(table: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
         if end - start < 2 or len(set(lengths[start:end])) > 1:
             continue
         unit = unit_rows(vectors.slice(start, end - start))
+        codes = Codes.of_blobs(blobs[start:end], unit.shape[1])
         width, band = int(get["bits"][start]), int(get["band"][start])
         keys = band_keys(unit, width, band) if band else None
-        own, other = get["own"][start:end], get["other"][start:end]
-        low = min(own.min(), other.min())
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own != low)
-        crossing = (own != other).any()
-        if crossing and not (len(left) and len(right)):
+        sides = _sides(get["own"][start:end], get["other"][start:end])
+        if sides is None:
             continue
-        i, j = compare_tiles(unit, keys, left, right if crossing else None, threshold)
+        i, j = compare_tiles(unit, codes, keys, *sides, threshold)
         ids, members = get["rep"][start:end], get["members"][start:end]
         links = np.bincount(i, members[j], len(ids)) + np.bincount(j, members[i], len(ids))
         hit = np.flatnonzero(links)
