@@ -99,10 +99,10 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
     values = [c for c in right.columns if c != key]
     is_hot = F.col(weight) > total / HOT_KEYS
     hot = right.filter(is_hot).select(key, F.struct(*values).alias("_hot"))
-    cold = right.filter(~is_hot).select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
+    cold = right.filter(~is_hot).select(F.col(key).cast("string").alias("_cold_key"), F.struct(*values).alias("_cold"))
     spread = F.concat(F.lit("~"), F.xxhash64(*left.columns).cast("string"))
     joined = left.join(F.broadcast(hot), key, "left").withColumn(
-        "_cold_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread)
+        "_cold_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(spread)
     )
     joined = joined.join(cold, "_cold_key", "left")
     picked = F.coalesce(F.col("_hot"), F.col("_cold"))

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framescope.llm.common import attach
 from framescope.session import materialize
 
 
-def _lowest(links: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and its v as ``low``."""
-    least = links.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    return links.join(least, "u")
+def _lowest(links: DataFrame, total: int) -> DataFrame:
+    """(u, v) with the least of u and its v as ``low``; ``total`` is at least the number of links.
+
+    A member with very many links is no hot key of a join: its least is sent to all tasks.
+    """
+    least = links.groupBy("u").agg(F.least("u", F.min("v")).alias("low"), F.count("*").alias("links"))
+    return attach(links, least, "u", "links", total).drop("links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,10 +34,10 @@ def components(edges: DataFrame) -> DataFrame:
         state = links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         if state == before:
             break
-        before = state
+        before, total = state, 2 * state[0]
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _lowest(both).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        low = _lowest(large)
+        large = _lowest(both, total).filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        low = _lowest(large, total)
         small = low.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v")))
         links = materialize(small.filter("u <> v").distinct(), "links")
     roots = links.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
