@@ -190,8 +190,21 @@ class TokenMachine:
             out.append(half if i % 2 else self.compose(half, maps[i]))
         return out
 
+    def count(self, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
+        """Tokens of the text: the maps of its chunks composed pair by pair, the first half of the scan.
+
+        A head is carried along until it is run once, so texts without any cut cost as much as others.
+        """
+        if len(text) <= chunk_chars:
+            return self.run_fresh(text)[1]
+        maps = [self.chunk_map(text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
+        while len(maps) > 1:
+            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
+            maps = [*pairs, *maps[len(pairs) * 2 :]]
+        return self.run_fresh(maps[0].head)[1] + maps[0].tokens
+
     def prefix_counts(self, text: str, chunk_chars: int = CHUNK_CHARS) -> list[int]:
-        """Tokens of the text up to the end of each chunk; the last is the count of the text."""
+        """Tokens of the text up to the end of each chunk, by a prefix scan; the last is the count of the text."""
         if len(text) <= chunk_chars:
             return [self.run_fresh(text)[1]]
         cuts = range(0, len(text), chunk_chars)
@@ -227,7 +240,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, chunk_char
         machine = piece_machine(machine_file)
         for batch in slices(batches, "text", 8_000_000):
             texts = batch.column("text").to_pylist()
-            counts = [machine.prefix_counts(piece_text(t), width)[-1] if t else 0 for t in texts]
+            counts = [machine.count(piece_text(t), width) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],

@@ -186,3 +186,25 @@ def test_mixing_sql_has_no_cap(spark, tmp_path):
     result = connection.execute(queries.ORACLE["op10_mixing"])
     columns = [d[0] for d in result.description]
     assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(result.fetchall())
+
+
+def test_token_counts_of_texts_without_a_cut():
+    """Equal to the scan and to the library, and in proportion to the length."""
+    import time
+
+    import sentencepiece
+
+    from framescope.llm.token_counts import piece_machine, piece_text
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    machine, library = piece_machine(model), sentencepiece.SentencePieceProcessor(model_file=model)
+    for text in ("ab" * 3000, "word " * 2000, "a" * 5000 + " b" * 500, "x"):
+        for chunk in (7, 100, 1000, 10**6):
+            got = machine.count(piece_text(text), chunk)
+            assert got == machine.prefix_counts(piece_text(text), chunk)[-1] == len(library.encode(text))
+    seconds = []
+    for size in (100_000, 400_000):
+        start = time.perf_counter()
+        machine.count(piece_text("ab" * size))
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 8 * seconds[0] + 0.2
