@@ -1,10 +1,11 @@
 """Secret detection: fixed patterns, and a character convolutional network over all candidates.
 
 A candidate is any run of 16 or more characters that keys are written with. The network sees it in
-overlapping windows over its whole length, each with the characters around it. It is trained on labelled findings - candidates that a
-pattern proves, against candidates that none does and that do not look like a key - on the driver, from a bounded number of findings
-of all texts. Its output is calibrated on all findings kept aside, and its threshold is the highest at
-which the stated share of proven findings is still found.
+overlapping windows over its whole length, each with the characters around it. It is trained on labelled findings:
+candidates that a pattern proves and random keys of six alphabets put where candidates of the texts are,
+against candidates that no pattern proves and that do not look like a key. That is done on the driver, from a
+bounded number of findings of all texts. The output is calibrated on all findings kept aside, and the threshold is
+the highest at which the stated shares of proven findings and of drawn keys are still found.
 """
 
 from __future__ import annotations
@@ -42,8 +43,20 @@ FIT_FINDINGS = 1_500
 #: One finding in so many is kept aside, and its output is rounded to one part in so many.
 ASIDE = 4
 STEPS = 100
+#: Keys drawn at random for each alphabet, half to learn from and half to set the threshold by.
+DRAWN = 1200
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "HEX": "0123456789ABCDEF",
+    "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "BASE36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base62": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base64": "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/",
+}
 LEAST_FINDINGS = 20
 RECALL = 0.95
+#: Share of the drawn keys of each alphabet that must pass, so that the shortest ones do too.
+DRAWN_RECALL = 0.97
 BEFORE, INSIDE, AFTER = 16, 40, 8
 #: Where letters, capitals and digits change within a word, but for an initial capital.
 TURN = re.compile(r"(?<=[a-z])(?=[A-Z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Z])(?=[0-9])")
@@ -232,6 +245,17 @@ def blanked(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def drawn_keys(around: np.ndarray, chars: str, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Windows of random keys of an alphabet, of every length a window holds, short ones more often, in given surroundings."""
+    out = around[rng.integers(0, len(around), n)].astype(np.int64)
+    codes = np.array([ord(c) - 31 for c in chars])
+    body = codes[rng.integers(0, len(codes), (n, INSIDE))]
+    lengths = LEAST + ((INSIDE + 1 - LEAST) * rng.random(n) ** 2.5).astype(int)
+    body[np.arange(INSIDE)[None] >= lengths[:, None]] = 0
+    out[:, BEFORE : BEFORE + INSIDE] = body
+    return out
+
+
 def calibrated(
     weights: dict[str, np.ndarray], raw: np.ndarray, kinds: np.ndarray, bare: np.ndarray, n: np.ndarray, recall: float = RECALL
 ) -> SecretModel:
@@ -239,8 +263,10 @@ def calibrated(
 
     ``kinds`` names the patterns that prove a finding, "" if none does; ``bare`` tells the outputs with
     blanked surroundings from those of findings as they stand. The threshold is the highest that keeps
-    ``recall`` of the proven findings in either form, as a key that no pattern finds has no telling words.
+    ``recall`` of the proven findings in either form, as a key that no pattern finds has no telling words,
+    and of the drawn keys of each alphabet (kinds "drawn ...").
     """
+    drawn = np.char.startswith(kinds.astype(str), "drawn")
     y = kinds != ""
     proven, total = n[y].sum(), n.sum()
     target = np.where(y, (proven + 1) / (proven + 2), 1 / (total - proven + 2))
@@ -251,16 +277,19 @@ def calibrated(
         gap = (1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30))) - target) * n / total
         slope, shift = max(0.05, slope - (gap * z).sum()), shift - gap.sum()
     least = []
-    for form in (False, True):
-        mine = np.flatnonzero(y & (bare == form))
+    groups = [y & ~drawn & (bare == form) for form in (False, True)]
+    groups += [(kinds == k) for k in sorted(set(kinds[drawn]))]
+    for group in groups:
+        mine = np.flatnonzero(group)
         mine = mine[np.argsort(raw[mine])]
-        place = np.searchsorted(np.cumsum(n[mine]), int((1 - recall) * n[mine].sum()), "right")
+        missed = 1 - (DRAWN_RECALL if drawn[group].all() else recall)
+        place = np.searchsorted(np.cumsum(n[mine]), int(missed * n[mine].sum()), "right")
         least.append(raw[mine][place])
     model = SecretModel(weights, slope / scale, shift - slope * middle / scale, 0.0)
     model = model._replace(threshold=float(chance(model, np.array([min(least)]))[0]))
     passed = chance(model, raw) >= model.threshold
     share = lambda rows: float((n * passed)[rows].sum() / n[rows].sum())
-    return model._replace(recall={str(k): tuple(share((kinds == k) & (bare == form)) for form in (False, True)) for k in sorted(set(kinds[y]))})
+    return model._replace(recall={str(k): tuple(share((kinds == k) & (bare == form)) for form in (False, True)) for k in sorted(set(kinds[y & ~drawn]))})
 
 
 def fit_from_findings(x: np.ndarray, y: np.ndarray, aside: np.ndarray, recall: float = RECALL) -> SecretModel | None:
@@ -330,7 +359,12 @@ def fit_secret_model(docs: DataFrame, fit_findings: int = FIT_FINDINGS) -> Secre
         return None
     x = np.concatenate([np.stack(p["x"].to_numpy()) for p in parts]).astype(np.int64)
     y = np.concatenate([p["y"].to_numpy() for p in parts])
-    weights = fit_network(x, y)
+    # Keys that no pattern proves: drawn from every alphabet, where candidates of the texts were.
+    rng = np.random.default_rng(DRAWN)
+    keys = {name: drawn_keys(x, chars, DRAWN, rng) for name, chars in ALPHABETS.items()}
+    half = DRAWN // 2
+    learned = np.concatenate([x, *(k[:half] for k in keys.values())])
+    weights = fit_network(learned, np.concatenate([y, np.ones(half * len(keys), y.dtype)]))
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,7 +392,11 @@ def fit_secret_model(docs: DataFrame, fit_findings: int = FIT_FINDINGS) -> Secre
     bare = counts["bare"].to_numpy(bool)
     if any(n[((kinds != "") == label) & ~bare].sum() < LEAST_FINDINGS for label in (False, True)):
         return None
-    return calibrated(weights, counts["step"].to_numpy(float) / STEPS, kinds, bare, n)
+    drawn = {f"drawn {name}": np.floor(network_output(weights, k[half:]) * STEPS) / STEPS for name, k in keys.items()}
+    raw = np.concatenate([counts["step"].to_numpy(float) / STEPS, *drawn.values()])
+    kinds = np.concatenate([kinds, np.repeat(list(drawn), [len(v) for v in drawn.values()])])
+    more = len(raw) - len(n)
+    return calibrated(weights, raw, kinds, np.append(bare, np.ones(more, bool)), np.append(n, np.ones(more)))
 
 
 def hash_window(codes: np.ndarray) -> int:
