@@ -358,23 +358,23 @@ def _summaries(marked: DataFrame, key: str) -> DataFrame:
 
     def around(column: str, word: str) -> Column:
         names = F.array_join(F.slice(column, 1, 3), ", ")
-        sentence = F.concat(F.lit(f"{word} framing detected around: "), names, F.lit("."))
+        sentence = F.concat(F.lit(word + C.FRAMING_AROUND), names, F.lit("."))
         return F.when(F.size(column) > 0, sentence)
 
     found = F.concat_ws(
         " ",
         F.concat(
             F.col("total").cast("string"),
-            F.lit(" named entities detected across "),
+            F.lit(C.ENTITIES_DETECTED),
             F.col("type_count").cast("string"),
-            F.lit(" categories."),
+            F.lit(C.ENTITY_CATEGORIES),
         ),
         around("negatively_framed", "Negative"),
         around("positively_framed", "Positive"),
     )
     summary = (
-        F.when(F.col("blank"), F.lit("No text provided."))
-        .when(F.col("total") == 0, F.lit("No named entities detected."))
+        F.when(F.col("blank"), F.lit(C.NO_TEXT))
+        .when(F.col("total") == 0, F.lit(C.NO_ENTITIES))
         .otherwise(found)
     )
     return rows.select(

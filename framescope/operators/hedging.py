@@ -166,11 +166,11 @@ def hedge_summary(scanned: DataFrame) -> DataFrame:
     )
     epistemic = F.concat(
         F.col("epistemic_count").cast("string"),
-        F.lit(" epistemic hedge(s) found — claims presented without verified attribution."),
+        F.lit(C.EPISTEMIC_FOUND),
     )
     inflation = F.concat(
         F.col("inflation_count").cast("string"),
-        F.lit(" certainty inflator(s) found — editorial opinion presented as fact."),
+        F.lit(C.INFLATION_FOUND),
     )
     details = F.concat_ws(
         " ",
@@ -178,6 +178,6 @@ def hedge_summary(scanned: DataFrame) -> DataFrame:
         F.when(F.col("inflation_count") > 0, inflation),
     )
     summary = F.when(
-        F.col("hedge_score") < 0.05, F.lit("No significant hedging language detected.")
-    ).otherwise(F.concat(label, F.lit(" detected (score "), score, F.lit("). "), details))
+        F.col("hedge_score") < 0.05, F.lit(C.NO_HEDGING)
+    ).otherwise(F.concat(label, F.lit(C.HEDGING_DETECTED), score, F.lit("). "), details))
     return scanned.withColumn("hedge_summary", summary)

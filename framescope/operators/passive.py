@@ -124,9 +124,7 @@ def passive_score(scanned: DataFrame, text: str = "text") -> DataFrame:
             F.col("gap_count") > 0,
             F.concat(
                 F.col("gap_count").cast("string"),
-                F.lit(
-                    " sentence(s) use agentless passive — responsibility is completely obscured."
-                ),
+                F.lit(C.PASSIVE_GAPS),
             ),
         ),
     )
@@ -145,10 +143,10 @@ def passive_score(scanned: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("passive_label", passive_label(F.col("passive_score"), is_blank(text)))
         .withColumn(
             "passive_signal",
-            F.when(F.col("passive_total") == 0, F.lit("No text provided."))
+            F.when(F.col("passive_total") == 0, F.lit(C.NO_TEXT))
             .when(
                 F.col("passive_count") == 0,
-                F.lit("No passive voice detected. Article uses clear, direct language."),
+                F.lit(C.NO_PASSIVE),
             )
             .otherwise(message),
         )
