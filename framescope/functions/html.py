@@ -91,36 +91,32 @@ def decode_entities(text: Column) -> Column:
 
     def reference(piece: Column) -> Column:
         """(what the reference at the start of a piece stands for, its length); null if there is none."""
-        decimal = F.regexp_extract(piece, r"^#([0-9]+);?", 1)
-        hexadecimal = F.regexp_extract(piece, r"^#[xX]([0-9a-fA-F]+);?", 1)
+        number = F.struct(
+            F.regexp_extract(piece, r"^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0).alias("whole"),
+            F.regexp_extract(piece, r"^#0*([0-9]+)", 1).alias("decimal"),
+            F.regexp_extract(piece, r"^#[xX]0*([0-9a-fA-F]+)", 1).alias("hexadecimal"),
+        )
         name = F.regexp_extract(piece, r"^[^\t\n\f <&#;]{1,32};?", 0)
 
-        def number(digits: Column, base: int, longest: int) -> Column:
-            short = F.regexp_replace(digits, "^0+(?=.)", "")
-            code = F.conv(F.when(F.length(short) > longest, F.lit("7FFFFFFF")).otherwise(short), base, 10)
-            return F.when(F.length(short) > longest, F.lit(0x110000)).otherwise(code.cast("bigint"))
-
-        def found(value: Column, length: Column) -> Column:
-            return F.struct(value.alias("value"), length.cast("int").alias("length"))
+        def by_number(n: Column) -> Column:
+            long = (F.length(n["decimal"]) > 7) | (F.length(n["hexadecimal"]) > 6)
+            code = (
+                F.when(long, F.lit(0x110000))
+                .when(n["decimal"] != "", n["decimal"].cast("bigint"))
+                .otherwise(F.conv(n["hexadecimal"], 16, 10).cast("bigint"))
+            )
+            value = F.struct(let(code, _character).alias("value"), F.length(n["whole"]).alias("length"))
+            return F.when(n["whole"] != "", value)
 
         def by_name(n: Column) -> Column:
-            whole = F.when(named(n).isNotNull(), found(named(n), F.length(n)))
-            prefixes = [
-                F.when((F.length(n) > k) & named(F.substring(n, 1, k)).isNotNull(), found(named(F.substring(n, 1, k)), F.lit(k)))
-                for k in range(_LEGACY, 1, -1)
-            ]
-            return F.coalesce(whole, *prefixes)
-
-        def by_number(digits: Column, base: int, longest: int, mark: int) -> Column:
-            ended = F.substring(piece, F.length(digits) + mark + 1, 1) == ";"
-            length = F.length(digits) + mark + F.when(ended, 1).otherwise(0)
-            return found(let(number(digits, base, longest), _character), length)
-
-        return (
-            F.when(decimal != "", by_number(decimal, 10, 8, 1))
-            .when(hexadecimal != "", by_number(hexadecimal, 16, 6, 2))
-            .otherwise(let(name, by_name))
-        )
+            # The whole name, then its beginnings: of those only old names are known.
+            shorter = F.transform(F.array(*[F.lit(k) for k in range(_LEGACY, 1, -1)]), lambda k: F.substring(n, 1, k))
+            tried = F.transform(
+                F.concat(F.array(n), shorter), lambda c: F.struct(named(c).alias("value"), F.length(c).alias("length"))
+            )
+            return F.get(F.filter(tried, lambda t: t["value"].isNotNull()), F.lit(0))
+
+        return F.when(piece.startswith("#"), let(number, by_number)).otherwise(let(name, by_name))
 
     def decoded(piece: Column) -> Column:
         return let(

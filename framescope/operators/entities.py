@@ -110,11 +110,13 @@ def _walked(df: DataFrame, entries: list[tuple[str, str]], text: str, key: str,
     document has a row.
     """
     walk = _trie(entries)
-    blank = [is_blank(text).alias("blank")] if marked else []
+    # Once per document: beside a generator it would be computed for every sentence.
+    texts = df.select(key, F.col(text).alias("_text"), *([is_blank(text).alias("blank")] if marked else []))
     # The outer generators keep Spark from testing the generated array in a filter of its own, which
     # would evaluate it twice.
-    sentences = df.select(
-        key, *blank, F.posexplode_outer(split_sentences_abbrev(text)).alias("sent_idx", "sentence")
+    sentences = texts.select(
+        key, *(["blank"] if marked else []),
+        F.posexplode_outer(split_sentences_abbrev("_text")).alias("sent_idx", "sentence"),
     )
 
     def framed(found: Column) -> Column:
