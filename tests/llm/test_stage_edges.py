@@ -208,3 +208,82 @@ def test_token_counts_of_texts_without_a_cut():
         machine.count(piece_text("ab" * size))
         seconds.append(time.perf_counter() - start)
     assert seconds[1] < 8 * seconds[0] + 0.2
+
+
+def url_pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", "y", 1.0) for r in rows], "page_id bigint, url string, rule string, host string, features double")
+
+
+def test_url_trees_judge_hosts_that_no_rule_names(spark):
+    """Lexical signs learnt from the hosts of two rules hold on other hosts; the suffix says nothing here."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9)))
+
+    def url(host, bad):
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(4, 12)))
+        if bad:
+            return f"http://{host}/{word()}{digits}?id={digits}&ref={word()}&sid={digits}"
+        return f"http://{host}/{word()}/{word()}-{word()}" + rng.choice(["", f"?page={rng.randint(1, 9)}", "/"])
+
+    rows, truth = [], {}
+    for i in range(4000):
+        bad = rng.random() < 0.5
+        wrong = rng.random() < 0.03  # rules are right but for a few URLs
+        host = rng.choice(["ads.net" if bad != wrong else "news.net", f"{word()}.net"])
+        truth[i] = "block" if bad else "allow"
+        rows.append((i, url(host, bad)))
+    rules = [url_filter.Rule("ads.net", "/", "block"), url_filter.Rule("news.net", "/", "allow")]
+    got = url_filter.filter_urls(url_pages(spark, rows), rules).filter("rule IS NULL").collect()
+    right = sum(r["verdict"] == truth[r["page_id"]] for r in got) / len(got)
+    assert len(got) > 1500 and right > 0.97
+
+
+def test_url_filter_of_unusual_rows(spark):
+    """Repeated rows, very long URLs and columns of the same names; rules that show one verdict only."""
+    urls = ["http://a.org/x", "http://a.org/x", None, "", "http://b.com/de/" + "a1-" * 200_000, "http://c.net/?" + "k=v&" * 50_000, "http://b.com/fr/"]
+    pages = url_pages(spark, list(enumerate(urls)) + [(0, urls[0]), (None, urls[0])])
+    got = url_filter.filter_urls(pages, queries.URL_RULES).collect()
+    assert len(got) == 9 and all(r["verdict"] in ("allow", "block") for r in got)
+    assert [r["verdict"] for r in got if r["host"] == "a.org"] == ["allow"] * 4
+    one = url_filter.filter_urls(pages, [url_filter.Rule("org", "/", "block")]).collect()
+    assert all(r["verdict"] == "block" for r in one)
+    none = url_filter.filter_urls(pages, []).collect()
+    assert all(r["verdict"] == "allow" and r["rule"] is None for r in none)
+
+
+def test_vectors_with_clashing_columns_and_a_large_bucket(spark):
+    """Names of the operator's own columns, and one dense group that fills several tiles with different vectors."""
+    import numpy as np
+
+    from framescope.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=32)
+    x = np.vstack([centre + 0.09 * rng.normal(size=(1400, 32)), rng.normal(size=(600, 32))]).astype(np.float32)
+    rows = [(i, [float(v) for v in r], 0, *"abcdefg") for i, r in enumerate(x)]
+    names = ["rep", "digest", "component", "members", "task", "code", "d"]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int, " + ", ".join(f"{n} string" for n in names))
+    got = {r["vec_id"]: r for r in near_vectors(frame).collect()}
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    found, real = sum(r["n_links"] for r in got.values()), int(linked.sum())
+    assert real > 100_000 and 0.999 * real <= found <= real and len(got) == 2000
+
+
+def test_stored_codes_survive_their_bytes():
+    import numpy as np
+
+    from framescope.llm import embedding_dedup as ED
+
+    for d in (1, 5, 63, 64, 65, 200):
+        unit = np.random.default_rng(d).normal(size=(20, d))
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        codes = ED.encode(unit)
+        again = ED.Codes.of_blobs(codes.blobs(), d)
+        for a, b in zip(ED.estimate_codes(codes, codes, 0.98), ED.estimate_codes(again, again, 0.98), strict=True):
+            assert np.array_equal(a, b)
+        value, half = ED.estimate_codes(codes, codes, 0.98)
+        assert (np.abs(value - 1)[np.eye(20, dtype=bool)] <= half[np.eye(20, dtype=bool)] + 1e-9).all()
