@@ -25,6 +25,7 @@ from framescope.sources import history as SH
 from framescope.sources import ratings as SR
 from framescope.sources import rollups as RO
 from framescope.sources.articles import read_articles, read_pages
+from framescope.sources.paths import data_version
 
 KNOWN = sorted({r[0] for r in C.GLOBAL_RATINGS} | {r[0] for r in C.REGIONAL_RATINGS})
 DOMAINS = [*KNOWN, "unknown-one.test", "unknown-two.test"]
@@ -226,8 +227,8 @@ HISTORY_CTES = (
     *REPORT_CTES, B.GAZETTEER_TABLE, _BODY_MENTIONS, B.FRAMING, FRAMED, NER, HISTORY
 )
 
-_STORED: dict[tuple[str, str], tuple[str, str]] = {}
-_REPORTS: dict[tuple[str, str], DataFrame] = {}
+_STORED: dict[tuple, tuple[str, str]] = {}
+_REPORTS: dict[tuple, DataFrame] = {}
 
 
 def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,7 +273,7 @@ def _top_words():
 
 def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full report, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = data_version(spark, sf_dir)
     if key not in _REPORTS:
         _REPORTS[key] = materialize(full_report(spark, sf_dir), "report")
     return _REPORTS[key]
@@ -280,7 +281,7 @@ def stored_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Paths of the stored analyses and of the history log, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = data_version(spark, sf_dir)
     if key not in _STORED:
         report = stored_report(spark, sf_dir)
         analyses, log = scratch_path(spark, "analyses"), scratch_path(spark, "log")

@@ -18,6 +18,7 @@ from framescope.operators.linear_model import LinearTextModel
 from framescope.operators.shaping import shape_text_articles
 from framescope.operators.tfidf import TfidfModel, coefficients_by_index
 from framescope.sources.articles import read_documents
+from framescope.sources.paths import data_version
 
 PHRASES = C.EPISTEMIC_PHRASES + C.CERTAINTY_PHRASES
 GAZETTEER: list[tuple[str, str]] = [
@@ -33,7 +34,7 @@ PLACES = [name for name, kind in GAZETTEER if kind == "GPE"]
 WEIGHTS = {word: -10.0 * valence for word, (valence, _) in C.SENTIMENT_WORDS.items()}
 BIAS = -0.5
 
-_FITTED: dict[tuple[str, str], TfidfModel] = {}
+_FITTED: dict[tuple, TfidfModel] = {}
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -83,7 +84,7 @@ def gazetteer(spark: SparkSession) -> DataFrame:
 
 def fitted_tfidf(spark: SparkSession, sf_dir: str) -> TfidfModel:
     """Vocabulary of the planted documents, fitted once per application and data set."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = data_version(spark, sf_dir)
     if key not in _FITTED:
         documents = planted_documents(spark, sf_dir).select("doc_id", "text")
         _FITTED[key] = TfidfModel.fit(documents)

@@ -24,3 +24,14 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not system.exists(folder):
         return []
     return [status.getPath().getName() for status in system.listStatus(folder)]
+
+
+def data_version(spark: SparkSession, folder: str) -> tuple[str, str, tuple]:
+    """A key for what was derived from a folder of tables: application, folder, time and size of each table."""
+    parent = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = parent.getFileSystem(spark._jsc.hadoopConfiguration())
+    tables = sorted(
+        (s.getPath().getName(), s.getModificationTime(), system.getContentSummary(s.getPath()).getLength())
+        for s in system.listStatus(parent)
+    )
+    return spark.sparkContext.applicationId, folder, tuple(tables)

@@ -79,3 +79,13 @@ def test_stream_state_reads_a_bounded_number_of_folders(spark):
     spark.range(1).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{path}/generation=99")
     assert incremental.state_folders(spark, path)[0] == newest
     assert incremental.state_folders(spark, path, upto=newest)[0] != newest
+
+
+def test_a_changed_table_has_another_version(spark, tmp_path):
+    from framescope.sources.paths import data_version
+
+    spark.range(3).write.parquet(f"{tmp_path}/documents.parquet")
+    first = data_version(spark, str(tmp_path))
+    assert first == data_version(spark, str(tmp_path))
+    spark.range(4).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert data_version(spark, str(tmp_path)) != first
