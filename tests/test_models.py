@@ -60,7 +60,11 @@ def test_boosted_margins_equal_the_trees_on_values(spark, sides, monkeypatch):
     whole = boosting.fit_boosted(train, tfidf, rounds=12, depth=4, renew=5, bins=8)
     monkeypatch.setattr(boosting, "BLOCK_ENTRIES", 900)
     monkeypatch.setattr(boosting, "DENSE_CELLS", 10)
+    monkeypatch.setattr(boosting, "SMALL_ROWS", 60)  # large nodes level by level, small ones by one task
     parts = boosting.fit_boosted(train, tfidf, rounds=12, depth=4, renew=3, bins=8)
+    monkeypatch.setattr(boosting, "SMALL_ROWS", 0)
+    levels = boosting.fit_boosted(train, tfidf, rounds=4, depth=4, renew=3, bins=8)
+    assert [len(t[0]) for t in levels.trees] == [len(t[0]) for t in whole.trees[:4]]
     a = {r["doc_id"]: r["probability"] for r in whole.score(train).collect()}
     b = {r["doc_id"]: r["probability"] for r in parts.score(train).collect()}
     assert a.keys() == b.keys() and max(abs(a[k] - b[k]) for k in a) < 1e-9
