@@ -20,14 +20,18 @@ def extract_paragraph_article(
     pages: DataFrame, html: str = "html", min_words: int = 20
 ) -> DataFrame:
     """Add headline, paragraphs, body and word count; ``body_ok`` marks bodies above the gate."""
+    cleaned = pages.withColumn("_clean", H.strip_boilerplate(F.col(html)))
+    return _paragraph_article(cleaned, min_words).drop("_clean")
+
+
+def _paragraph_article(cleaned: DataFrame, min_words: int = 20) -> DataFrame:
+    """The same for pages whose boilerplate is gone (``_clean``)."""
     return (
-        pages.withColumn("_clean", H.strip_boilerplate(F.col(html)))
-        .withColumn("headline", H.extract_headline(F.col("_clean")))
+        cleaned.withColumn("headline", H.extract_headline(F.col("_clean")))
         .withColumn("body_paras", H.extract_paragraphs(F.col("_clean")))
         .withColumn("body_text", F.array_join("body_paras", " "))
         .withColumn("word_count", X.word_count("body_text").cast("bigint"))
         .withColumn("body_ok", F.col("word_count") > min_words)
-        .drop("_clean")
     )
 
 
@@ -36,7 +40,11 @@ def page_text(html: Column) -> Column:
 
     The title is not part of the text.
     """
-    body = F.regexp_replace(H.strip_boilerplate(html), r"(?is)<title\b.*?</title\s*>", "")
+    return _clean_text(H.strip_boilerplate(html))
+
+
+def _clean_text(cleaned: Column) -> Column:
+    body = F.regexp_replace(cleaned, r"(?is)<title\b.*?</title\s*>", "")
     lines = F.regexp_replace(body, _LINE_TAGS, "\n")
     return H.decode_entities(F.regexp_replace(lines, r"(?s)<!--.*?-->|<[^>]*>", " "))
 
@@ -64,7 +72,8 @@ def extract_fallback(
 
     Failed pages keep their row, with empty fields and an error text.
     """
-    tried = extract_paragraph_article(pages, html).withColumn("_page", page_text(F.col(html)))
+    cleaned = pages.withColumn("_clean", H.strip_boilerplate(F.col(html)))
+    tried = _paragraph_article(cleaned).withColumn("_page", _clean_text(F.col("_clean"))).drop("_clean")
     tried = extract_line_article(tried, "_page").withColumn(
         "title",
         H.inner_text(F.regexp_extract(F.col(html), r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)),
