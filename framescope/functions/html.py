@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framescope.constants import BOILERPLATE_TAGS, SKIP_PHRASES
 from framescope.functions.binding import let
 from framescope.functions.lookup import literal_lookup
-from framescope.functions.text import WS, strip, word_count
+from framescope.functions.text import SPACE, strip, word_count
 
 # A closing block tag ends an unclosed paragraph.
 _BLOCK_END = r"(?i)</(?:p|article|div|body|html|section)\s*>"
@@ -136,7 +136,7 @@ def decode_entities(text: Column) -> Column:
 def inner_text(fragment: Column) -> Column:
     """Tags become blanks, entities are decoded, whitespace is collapsed."""
     plain = F.regexp_replace(fragment, r"(?s)<!--.*?-->|<[^>]*>", " ")
-    return strip(F.regexp_replace(decode_entities(plain), f"[{WS}]+", " "))
+    return strip(F.regexp_replace(decode_entities(plain), f"[{SPACE}]+", " "))
 
 
 def extract_headline(cleaned: Column) -> Column:
