@@ -85,3 +85,11 @@ def test_whitespace_and_sentences(spark):
         X.split_sentences_abbrev("text").alias("g"), X.non_empty(F.split(trim, abbrev)).alias("h"),
     ).collect():
         assert (row["a"], row["c"], row["e"], row["g"]) == (row["b"], row["d"], row["f"], row["h"])
+
+
+@pytest.mark.parametrize("limit", [6, 100_000])
+def test_vocabularies_of_folds_are_those_of_the_other_rows(spark, limit):
+    rows = _rows(spark).withColumn("fold", (F.col("doc_id") % 4).cast("int"))
+    split = rows.select("fold", X.vector_tokens("text").alias("tokens"))
+    for k, found in enumerate(T.outside_vocabularies(split, 4, 1, 2, 2, limit)):
+        assert found == T.TfidfModel.fit(rows.filter(F.col("fold") != k), "text", "doc_id", 1, 2, 2, limit)
