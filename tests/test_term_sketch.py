@@ -93,3 +93,15 @@ def test_vocabularies_of_folds_are_those_of_the_other_rows(spark, limit):
     split = rows.select("fold", X.vector_tokens("text").alias("tokens"))
     for k, found in enumerate(T.outside_vocabularies(split, 4, 1, 2, 2, limit)):
         assert found == T.TfidfModel.fit(rows.filter(F.col("fold") != k), "text", "doc_id", 1, 2, 2, limit)
+
+
+def test_linear_score_does_not_shuffle_weighted_terms(spark, monkeypatch):
+    """A small weight table is broadcast; a larger one is joined and gives the same scores."""
+    weighted = spark.createDataFrame([(i, f"t{j}", 0.5 / (j + 1)) for i in range(6) for j in range(4)], "doc_id long, term string, weight double")
+    weights = spark.createDataFrame([("t1", 2.0), ("t3", -1.0)], "term string, coefficient double")
+    small = T.linear_score(weighted, weights, -0.5)
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "hashpartitioning(term" not in plan
+    monkeypatch.setattr(T, "MAX_BROADCAST_WEIGHTS", 1)
+    large = T.linear_score(weighted, weights, -0.5)
+    assert {r[0]: r[1] for r in small.collect()} == pytest.approx({r[0]: r[1] for r in large.collect()})
