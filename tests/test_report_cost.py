@@ -87,3 +87,11 @@ def test_characters_are_counted_by_bytes(spark):
     df = spark.createDataFrame([("é!ü!!",), ("",), ("€?",)], "text string")
     assert [r[0] for r in df.select(count_char(F.col("text"), "!")).collect()] == [3, 0, 0]
     assert "octet_length" in plan(df.select(count_char(F.col("text"), "!")))
+
+
+def test_a_filter_on_counts_does_not_count_again(spark):
+    df = spark.createDataFrame([(1, "ab cd ab"), (2, None)], "doc_id long, text string")
+    counted = count_known_terms(df, vector_tokens("text"), ["ab", "cd"], 1, 1, "found").withColumn("n", F.size("found"))
+    filtered = counted.filter("n > 0")
+    assert plan(filtered).count("ArrowEvalPython") == plan(counted).count("ArrowEvalPython") == 1
+    assert [(r["doc_id"], r["n"]) for r in filtered.collect()] == [(1, 2)]
