@@ -2,8 +2,9 @@
 
 The problems differ in row weights (a weight of 0 leaves a row out), in penalty, or in the feature vectors
 they use. Rows are packed once into blocks of sparse matrices. A pass evaluates loss and gradient of every
-unfinished problem at its own point; sums are reduced in a tree, and the driver holds coefficients only,
-which are bounded by columns times problems. Each problem has its own limited-memory quasi-Newton search.
+unfinished problem at its own point. Partial sums are cut into slices that meet in as many tasks, so the driver
+gets one sum a pass, bounded by columns times problems, however many tasks there are. Each problem has its own
+limited-memory quasi-Newton search.
 """
 
 from __future__ import annotations
@@ -20,6 +21,9 @@ from pyspark.sql import functions as F
 
 BLOCK_ENTRIES = 1_000_000
 MEMORY = 10
+#: Partial sums that one task adds up, as long as there are no more than ``MAX_SLICES`` such tasks.
+PARTS_A_SLICE = 16
+MAX_SLICES = 16
 
 
 @dataclass
@@ -121,6 +125,20 @@ def _packed(frame: DataFrame, features: Sequence[str], label: str, weights: str)
     return chosen.mapInArrow(pack, "block binary").rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def sum_of_arrays(parts: RDD) -> np.ndarray:
+    """The sum of an RDD of arrays of one length: added within a task, then slice by slice, each by one task."""
+    slices = max(1, min(MAX_SLICES, parts.getNumPartitions() // PARTS_A_SLICE))
+
+    def cut(arrays: Iterator[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        whole: np.ndarray | None = None
+        for array in arrays:
+            whole = array.copy() if whole is None else np.add(whole, array, out=whole)
+        return enumerate([] if whole is None else np.array_split(whole, slices))
+
+    summed = parts.mapPartitions(cut).reduceByKey(np.add, slices, lambda k: k).collect()
+    return np.concatenate([part for _, part in sorted(summed, key=lambda s: s[0])])
+
+
 def fit_stacked(
     frame: DataFrame,
     features: Sequence[str],
@@ -139,10 +157,10 @@ def fit_stacked(
     """
     blocks = _packed(frame, features, label, weights)
 
-    def evaluate(points: dict[int, np.ndarray]):  # noqa: ANN202
-        def at_block(block: tuple) -> dict[int, tuple[float, np.ndarray, float]]:
+    def evaluate(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, float]]:
+        def at_block(block: tuple) -> np.ndarray:
             labels, weight, matrices = block
-            out = {}
+            out = []
             for p, x in points.items():
                 matrix = matrices[features[p]]
                 margin = matrix.times(x[:-1], len(labels)) + x[-1]
@@ -150,15 +168,13 @@ def fit_stacked(
                 # log(1 + e^m) - y m, without overflow
                 loss = np.maximum(margin, 0) + np.log1p(np.exp(-np.abs(margin))) - labels * margin
                 residual = w * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - labels)
-                gradient = np.append(matrix.transposed_times(residual, len(x) - 1), residual.sum())
-                out[p] = float(w @ loss), gradient, float(w.sum())
-            return out
-
-        def merge(a: dict, b: dict) -> dict:
-            return {p: tuple(x + y for x, y in zip(a[p], b[p], strict=True)) for p in a}
+                gradient = matrix.transposed_times(residual, len(x) - 1)
+                out += [gradient, [residual.sum(), w @ loss, w.sum()]]
+            return np.concatenate(out)
 
-        summed = blocks.map(at_block)
-        return summed.treeReduce(merge) if blocks.getNumPartitions() > 16 else summed.reduce(merge)
+        ends = np.cumsum([len(x) + 2 for x in points.values()])
+        parts = np.split(sum_of_arrays(blocks.map(at_block)), ends[:-1])
+        return {p: (float(s[-2]), s[:-2], float(s[-1])) for p, s in zip(points, parts, strict=True)}
 
     searches = {p: search(np.zeros(columns[p] + 1), max_iter, tolerance) for p in range(len(penalties))}
     points = {p: next(s) for p, s in searches.items()}

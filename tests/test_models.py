@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -123,6 +124,25 @@ def frames(sides):
     return models.training_frame(train, tfidf), models.training_frame(test, tfidf), tfidf.size
 
 
+def test_driver_gets_one_sum_whatever_the_tasks(spark):
+    """Partial sums of all tasks are added by tasks; only the slices of their sum reach the driver."""
+    parts = spark.sparkContext.parallelize(range(200), 50).map(lambda i: np.arange(1003.0) + i)
+    empty = parts.filter(lambda a: a[0] >= 150)
+    collected = []
+    collect = RDD.collect
+
+    def spy(rdd):
+        collected.append(collect(rdd))
+        return collected[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(RDD, "collect", spy)
+        total, rest = stacked.sum_of_arrays(parts), stacked.sum_of_arrays(empty)
+    assert np.array_equal(total, 200 * np.arange(1003.0) + 19_900)
+    assert np.array_equal(rest, 50 * np.arange(1003.0) + sum(range(150, 200)))
+    assert [sum(len(part) for _, part in c) for c in collected] == [1003, 1003]
+
+
 def test_stacked_regressions_equal_single_ones(frames):
     train, _, size = frames
     rows = train.count()
