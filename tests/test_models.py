@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from framescope.operators import boosting, entities, metrics, models, stacked
 from framescope.operators.corpus import stratified_folds, stratified_split
 from framescope.operators.tfidf import TfidfModel, counted_terms, fold_vocabularies
-from framescope.session import materialize, scratch_path
+from framescope.session import materialize, scratch_path, spread
 
 
 def noisy_rows(n=600, seed=3):
@@ -124,6 +124,32 @@ def frames(sides):
     return models.training_frame(train, tfidf), models.training_frame(test, tfidf), tfidf.size
 
 
+def test_forest_partitions_are_bounded(spark, monkeypatch):
+    """A forest keeps four bytes a column and row, and a task reads a partition of that whole."""
+    monkeypatch.setattr(models, "FOREST_PARTITION", 4 * 1000 * 10)
+    rows = [(float(i % 2), Vectors.sparse(1000, [i % 1000], [1.0])) for i in range(95)]
+    train = spark.createDataFrame(rows, ["label", "features"]).coalesce(1)
+    dealt = models.forest_rows(train, 95)
+    sizes = [n for n in dealt.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert len(sizes) == 10 and max(sizes) <= 12 and sum(sizes) == 95
+    assert models.forest_rows(train, 9).rdd.getNumPartitions() == 1
+
+
+def test_few_uneven_scan_tasks_become_even(spark, tmp_path):
+    """A file of one row group is read by one task, however many splits it has."""
+    spark.range(4000).selectExpr("id AS doc_id", "repeat(md5(CAST(id AS STRING)), 200) AS text").coalesce(1).write.option("compression", "none").parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    conf = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2m")
+    try:
+        table = spark.read.parquet(str(tmp_path / "t"))
+        assert spark.sparkContext.defaultParallelism <= table.rdd.getNumPartitions() < 24
+        sizes = spread(table, "doc_id").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", conf)
+    assert sum(sizes) == 4000 and max(sizes) < 1000
+
+
 def test_driver_gets_one_sum_whatever_the_tasks(spark):
     """Partial sums of all tasks are added by tasks; only the slices of their sum reach the driver."""
     parts = spark.sparkContext.parallelize(range(200), 50).map(lambda i: np.arange(1003.0) + i)
