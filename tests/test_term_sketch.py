@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,28 @@ def test_bound_is_lowered_until_no_other_term_can_be_kept(spark):
     assert T.TfidfModel.fit(rows, "text", "doc_id", 1, 1, 2, 2).terms == ("ab", "cd")
 
 
+def test_second_bound_is_the_last_and_counts_few_buckets(spark, monkeypatch):
+    """Where other terms in their buckets make a first guess too high, the counts it gave are a bound that holds."""
+    seen = []
+
+    def crowded(tokens, low, high):
+        rows, sums = S.term_sketch(tokens, low, high)
+        return rows, np.where(sums == 20, 1000, sums)
+
+    def spy(tokens, wanted, low, high):
+        seen.append(int(wanted.sum()))
+        return S.count_terms_in(tokens, wanted, low, high)
+
+    monkeypatch.setattr(T, "term_sketch", crowded)
+    monkeypatch.setattr(T, "count_terms_in", spy)
+    kept = ["ab cd " * 20] * 3
+    middle = [f"middle{i} " * 10 for i in range(10) for _ in range(2)]
+    rare = [f"rare{i} " * 2 for i in range(100) for _ in range(2)]
+    rows = spark.createDataFrame(list(enumerate(kept + middle + rare)), "doc_id long, text string")
+    assert T.TfidfModel.fit(rows, "text", "doc_id", 1, 1, 2, 2).terms == ("ab", "cd")
+    assert seen == [10, 12]
+
+
 def test_rare_terms_are_not_shuffled(spark, monkeypatch):
     """Only what may be kept is counted by term, and so shuffled."""
     seen = []
