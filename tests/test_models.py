@@ -286,3 +286,30 @@ def test_large_tables_give_the_scores_of_small_ones(spark, monkeypatch):
     monkeypatch.setattr(lookup, "MAX_SHARED_ENTRIES", 10)
     with pytest.raises(lookup.TooManyEntries):
         sentiment.auxiliary_scores(frame, "text", padded)
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_splits_by_slabs_are_those_of_all_sums(monkeypatch, dense):
+    """Sums of several tasks, cut by ranges of columns, give the splits of their total; ties go to the first column."""
+    if not dense:
+        monkeypatch.setattr(boosting, "DENSE_CELLS", 1)
+    rng = np.random.default_rng(5)
+    bins = boosting.Bins(np.arange(6), np.array([0, 3, 4, 9, 9, 14, 17]), np.full(17, np.inf))
+    nodes, parts = 3, []
+    for _ in range(4):
+        cells = np.sort(rng.choice(nodes * 17, 30, replace=False))
+        # Multiples of 1/8 add up exactly in any order.
+        gradient, curvature, rows = (rng.integers(a, b, 30) / 8 for a, b in ((-40, 40), (1, 16), (8, 80)))
+        parts.append((np.full((3, nodes), [[1.0], [30.0], [500.0]]), cells, gradient, curvature, rows))
+    whole = boosting._added(parts, nodes * 17)
+    expected = [b and b[1] for b in boosting._best_splits(whole, bins, 17, 1.0, 1.0)]
+    assert sum(b is not None for b in expected) > 1
+    for count in (1, 2, 4, 9):
+        slabs = boosting.Slabs.of(bins, count)
+        shares = [list(slabs.cut(p)) for p in parts]
+        bests = []
+        for s in range(len(slabs.border) - 1):
+            met = boosting._added([share[s][1] for share in shares], slabs.size(s, nodes))
+            assert (met[0] == whole[0]).all()
+            bests.append(boosting._best_splits(slabs.joined(s, met), bins, 17, 1.0, 1.0))
+        assert boosting._chosen(bests) == expected
