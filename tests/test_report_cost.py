@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from framescope.functions.text import count_char, mark_phrase, mark_words, vector_tokens
-from framescope.operators import hedging, sentiment
+from framescope.operators import composite, hedging, sentiment, shaping
+from framescope.operators.linear_model import LinearTextModel
 from framescope.operators.term_sketch import count_known_terms
+from framescope.operators.tfidf import TfidfModel
 
 _TEXTS = [
     "It is clearly so. Of course it is clear, as everyone knows.", "Of  course not; unclearly, clearly-wrong it_is clear",
@@ -95,3 +97,30 @@ def test_a_filter_on_counts_does_not_count_again(spark):
     filtered = counted.filter("n > 0")
     assert plan(filtered).count("ArrowEvalPython") == plan(counted).count("ArrowEvalPython") == 1
     assert [(r["doc_id"], r["n"]) for r in filtered.collect()] == [(1, 2)]
+
+
+_ARTICLES = ["One. It was clearly said.", " Two\nlines of vile words", "a b.\n\nc was lost!\nd heroic\ne", "", None, "same\n", "x.\nx.\nx."]
+
+
+def test_sections_of_the_same_text_are_scored_once(spark):
+    """Articles of fewer than three paragraphs have their text scored once, with the scores of all five sections."""
+    articles = shaping.shape_text_articles(spark.createDataFrame(list(enumerate(_ARTICLES)), "doc_id long, text string"))
+    texts = shaping.section_texts(articles)
+    held = [(r["doc_id"], r["section_text"]) for r in texts.collect()]
+    assert len(held) == len(set(held)) and len(held) < 5 * len(_ARTICLES)
+    alone = [r for r in texts.collect() if r["doc_id"] == 0]
+    assert {tuple(r["sections"]) for r in alone} == {("Full Body", "Beginning", "Middle", "End"), ("Headline",)}
+    model = LinearTextModel(TfidfModel(("clearly", "vile words"), (1.0, 1.5), 1, 3), (2.0, -1.0), 0.1)
+    columns = ["doc_id", "section", "section_text", *composite.SECTION_COLUMNS]
+    plain = composite.score_text(shaping.explode_sections(articles), "section_text", model).select(*columns)
+
+    def ordered(df):
+        return sorted((str(r.asDict()) for r in df.collect()))
+
+    assert ordered(composite.score_sections(articles, model).select(*columns)) == ordered(plain)
+
+
+def test_sentences_of_a_text_are_split_once_for_both_engines(spark):
+    scored = composite.score_text(spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, ml_probability double"), "text")
+    # Tokens, words of the valence rules, sentences.
+    assert plan(scored).count("split(") == 3
