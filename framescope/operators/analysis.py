@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framescope.functions.binding import settle
 from framescope.operators.composite import article_report, engine_scores
 from framescope.operators.entities import gazetteer_summary
 from framescope.operators.linear_model import LinearTextModel
@@ -14,9 +15,13 @@ from framescope.operators.shaping import extract_fallback
 RATING_FIELDS = ["leaning", "factual", "country"]
 
 
+#: What extraction adds to a page.
+_EXTRACTED = ["headline", "body_paras", "body_text", "word_count", "success", "error", "engine", "domain"]
+
+
 def accepted_pages(extracted: DataFrame) -> DataFrame:
-    """Extracted pages that have an article."""
-    return extracted.filter("success")
+    """Extracted pages that have an article. The filter reads the settled extraction and does not extract again."""
+    return settle(extracted, *[c for c in extracted.columns if c in _EXTRACTED]).filter("success")
 
 
 def rejected_pages(extracted: DataFrame, key: str = "page_id") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framescope.functions.text import count_char, mark_phrase, mark_words, vector_tokens
-from framescope.operators import composite, hedging, sentiment, shaping
+from framescope.operators import analysis, composite, hedging, sentiment, shaping
 from framescope.operators.linear_model import LinearTextModel
 from framescope.operators.term_sketch import count_known_terms
 from framescope.operators.tfidf import TfidfModel
@@ -124,3 +124,10 @@ def test_sentences_of_a_text_are_split_once_for_both_engines(spark):
     scored = composite.score_text(spark.createDataFrame([(1, "a", 0.5)], "doc_id long, text string, ml_probability double"), "text")
     # Tokens, words of the valence rules, sentences.
     assert plan(scored).count("split(") == 3
+
+
+def test_accepted_pages_are_extracted_once(spark):
+    """The filter on success is not pushed below the exchange of the pages, which would extract there as well."""
+    pages = spark.createDataFrame([(1, "http://a.b/c", "<p>x</p>")], "page_id long, url string, html string").repartition(3, "page_id")
+    text = plan(analysis.accepted_pages(shaping.extract_fallback(pages)))
+    assert "regexp_replace" in text and "regexp_replace" not in text[text.index("Exchange"):]

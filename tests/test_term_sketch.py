@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,13 @@ def test_linear_score_does_not_shuffle_weighted_terms(spark, monkeypatch):
     monkeypatch.setattr(T, "MAX_BROADCAST_WEIGHTS", 1)
     large = T.linear_score(weighted, weights, -0.5)
     assert {r[0]: r[1] for r in small.collect()} == pytest.approx({r[0]: r[1] for r in large.collect()})
+
+
+def test_large_batches_are_worked_on_in_slices(spark, monkeypatch):
+    """Runs of rows hold at most so many tokens, and together are the batch; counts do not depend on them."""
+    column = pa.array([["a"] * 3, [], ["b"] * 9, ["c"], ["d"] * 2, []], pa.list_(pa.string())).slice(1)
+    monkeypatch.setattr(S, "SLICE_TOKENS", 4)
+    parts = list(S._slices(column))
+    assert [len(p.flatten()) for p in parts] == [0, 9, 3]
+    assert sum((p.to_pylist() for p in parts), []) == column.to_pylist()
+    assert [p.to_pylist() for p in S._slices(column.slice(0, 0))] == [[]]
