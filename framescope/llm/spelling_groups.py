@@ -193,12 +193,14 @@ def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
 
     ``vocabulary`` is (word, n) with distinct words and is read several times. The neighbourhoods are
     shuffled once, the reduced vocabulary once; reduced words that many words share are split by adaptive
-    execution. Nothing is capped. Two reduced words with the same hash only add candidates.
+    execution. Nothing is broadcast: Spark sizes neighbourhoods by the words they come from, of which they are
+    many times as many, and stored words by their compressed files. Nothing is capped. Two reduced words with
+    the same hash only add candidates.
     """
     words = materialize(reduce_words(vocabulary, symbols), "reduced-words")
     others = words.select("code", F.col("word").alias("near"), F.col("n").alias("near_n"))
-    reached = neighbourhoods(words, symbols).join(others, "code").select(F.col("own").alias("code"), "near", "near_n")
-    candidates = reached.join(words.select("code", "word", "n"), "code")
+    reached = neighbourhoods(words, symbols).hint("merge").join(others, "code").select(F.col("own").alias("code"), "near", "near_n")
+    candidates = reached.hint("merge").join(words.select("code", "word", "n"), "code")
     return candidates.filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
@@ -227,15 +229,15 @@ def spelling_groups(vocabulary: DataFrame, symbols: int = SYMBOLS, factor: int =
 
 
 def _with_roots(formed: DataFrame) -> DataFrame:
-    """Follow forms by pointer doubling over the words that have one."""
+    """Follow forms by pointer doubling over the words that have one; joins are shuffled, whatever size Spark sees."""
     steps = materialize(formed.filter("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = steps.select(F.col("word").alias("root"), F.col("root").alias("next"))
         longer = materialize(
-            steps.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")),
+            steps.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")),
             "roots",
         )
         steps = longer.select("word", "root")
         if longer.filter("moved").isEmpty():
             break
-    return formed.join(steps, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return formed.join(steps.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

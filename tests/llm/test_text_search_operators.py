@@ -230,6 +230,14 @@ def test_dense_vocabulary_and_long_chains(spark):
     assert got == groups_of(SG.spelling_groups(vocabulary, symbols=2))
 
 
+def test_spelling_joins_broadcast_nothing(spark):
+    """Neighbourhoods are many times as large as Spark takes them for, so no join may choose by that size."""
+    words = spark.createDataFrame([("hello", 9), ("hellq", 3), ("other", 3)], "word string, n bigint")
+    for frame in (SG.near_words(words), SG.spelling_groups(words)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_words_of_unusual_rows(edge, empty):
     rows = [(r[0], r[1]) for r in EDGE]
     for every in (0, 97, 2):
