@@ -10,7 +10,8 @@ from framescope.operators.composite import score_text
 from framescope.operators.features import linguistic_features
 from framescope.operators.linear_model import LinearTextModel
 from framescope.operators.tfidf import TfidfModel, term_counts
-from framescope.plans.history_queries import analyses
+from framescope.plans.history_queries import analyses, history_row
+from framescope.sources.history import HISTORY_SCHEMA
 
 
 def plan(df) -> str:
@@ -54,6 +55,13 @@ def test_scan_reads_only_needed_columns(spark):
     assert "doc_id" in schema and "text" in schema and "lang" not in schema
 
 
+def test_history_row_leaves_no_column_out(spark):
+    """All columns of the log, so entities and attribution are worked out as well."""
+    rows = history_row(spark, SMALL)
+    assert [f"`{n}` {t}" for n, t in rows.dtypes] == HISTORY_SCHEMA.split(", ")
+    assert rows.filter("ner_entity_count > 0 AND attribution_ratio > 0").count() > 0
+
+
 def test_history_filters_are_pushed_down(spark):
     page = history.history_page(analyses(spark, SMALL), 1, 20, domain="cnn.com")
     text = plan(page)
