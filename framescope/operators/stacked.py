@@ -38,7 +38,7 @@ class Sparse:
     def of(vectors: pa.StructArray) -> Sparse:
         indices, values = vectors.field("indices"), vectors.field("values")
         counts = np.diff(indices.offsets.to_numpy())
-        row = np.repeat(np.arange(len(counts)), counts)
+        row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         return Sparse(row, indices.flatten().to_numpy(), values.flatten().to_numpy())
 
     def times(self, coefficients: np.ndarray, rows: int) -> np.ndarray:
@@ -48,6 +48,14 @@ class Sparse:
         return np.bincount(self.column, self.value * residual[self.row], columns)
 
 
+@dataclass(frozen=True)
+class View:
+    """The columns of a shared matrix that a problem uses, in its order, and what each is multiplied by."""
+
+    place: np.ndarray
+    scale: np.ndarray
+
+
 @dataclass(frozen=True)
 class LinearFit:
     """Coefficients, intercept and the number of passes it took."""
@@ -99,9 +107,19 @@ def search(start: np.ndarray, max_iter: int, tolerance: float) -> Generator[np.n
     return x
 
 
-def _packed(frame: DataFrame, features: Sequence[str], label: str, weights: str) -> RDD:
-    """Blocks (labels, weights by problem, matrices by feature column) in memory or on the executors' disks."""
+def _margin(matrix: Sparse, x: np.ndarray, rows: int, view: View | None, shares: np.ndarray | None, width: int) -> np.ndarray:
+    """What a point (coefficients and intercept) gives each row; ``width`` is the number of columns of a shared matrix."""
+    if view is None:
+        return matrix.times(x[:-1], rows) + x[-1]
+    spread = np.zeros(width)
+    spread[view.place] = x[:-1] * view.scale
+    return matrix.times(spread, rows) * shares + x[-1]
+
+
+def _packed(frame: DataFrame, features: Sequence[str], label: str, weights: str, shares: str | None) -> RDD:
+    """Blocks (labels, weights and shares by problem, matrices by feature column) in memory or on the executors' disks."""
     names = sorted(set(features))
+    arrays = ["_weights"] if shares is None else ["_weights", "_shares"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,12 +134,13 @@ def _packed(frame: DataFrame, features: Sequence[str], label: str, weights: str)
                 yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
                 start += rows
 
-    def unpack(row) -> tuple[np.ndarray, np.ndarray, dict[str, Sparse]]:  # noqa: ANN001
+    def unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, dict[str, Sparse]]:  # noqa: ANN001
         batch = pa.ipc.open_stream(row["block"]).read_next_batch()
-        flat = batch.column("_weights").flatten().to_numpy().reshape(batch.num_rows, -1)
-        return batch.column("_label").to_numpy(), flat, {c: Sparse.of(batch.column(c)) for c in names}
+        flat = [batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in arrays]
+        return batch.column("_label").to_numpy(), flat[0], flat[1] if flat[1:] else None, {c: Sparse.of(batch.column(c)) for c in names}
 
-    chosen = frame.select(F.col(label).cast("double").alias("_label"), F.col(weights).alias("_weights"), *names)
+    given = [F.col(c).alias(a) for c, a in zip((weights, shares), arrays)]
+    chosen = frame.select(F.col(label).cast("double").alias("_label"), *given, *names)
     return chosen.mapInArrow(pack, "block binary").rdd.map(unpack).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -148,27 +167,38 @@ def fit_stacked(
     weights: str = "weights",
     max_iter: int = 100,
     tolerance: float = 1e-6,
+    views: Sequence[View] | None = None,
+    width: int = 0,
+    shares: str | None = None,
 ) -> list[LinearFit]:
     """One fit per problem: mean weighted log loss plus half the penalty times the squared coefficients.
 
     ``features[p]`` names the sparse vector column (of ``columns[p]`` columns) of problem p, and the array
     column ``weights`` holds a row's weight in every problem. The intercept is not penalised. ``frame``
     should be stored; rows need a label of 0 or 1.
+
+    With ``views`` the problems share a vector column of ``width`` columns, which is stored once: problem p uses the
+    columns of ``views[p]``, and its rows are multiplied by their numbers in the array column ``shares``.
     """
-    blocks = _packed(frame, features, label, weights)
+    blocks = _packed(frame, features, label, weights, shares)
+    seen = frame.sparkSession.sparkContext.broadcast(views)
 
     def evaluate(points: dict[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, float]]:
         def at_block(block: tuple) -> np.ndarray:
-            labels, weight, matrices = block
+            labels, weight, share, matrices = block
             out = []
             for p, x in points.items():
                 matrix = matrices[features[p]]
-                margin = matrix.times(x[:-1], len(labels)) + x[-1]
+                view, of_rows = (None, None) if share is None else (seen.value[p], share[:, p])
+                margin = _margin(matrix, x, len(labels), view, of_rows, width)
                 w = weight[:, p]
                 # log(1 + e^m) - y m, without overflow
                 loss = np.maximum(margin, 0) + np.log1p(np.exp(-np.abs(margin))) - labels * margin
                 residual = w * (1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500))) - labels)
-                gradient = matrix.transposed_times(residual, len(x) - 1)
+                if view is None:
+                    gradient = matrix.transposed_times(residual, len(x) - 1)
+                else:
+                    gradient = matrix.transposed_times(residual * of_rows, width)[view.place] * view.scale
                 out += [gradient, [residual.sum(), w @ loss, w.sum()]]
             return np.concatenate(out)
 
@@ -196,24 +226,40 @@ def fit_stacked(
 
 
 def predict_stacked(
-    frame: DataFrame, features: Sequence[str], fits: Sequence[LinearFit], label: str = "label", held: str | None = None
+    frame: DataFrame,
+    features: Sequence[str],
+    fits: Sequence[LinearFit],
+    label: str = "label",
+    held: str | None = None,
+    views: Sequence[View] | None = None,
+    width: int = 0,
+    shares: str | None = None,
 ) -> DataFrame:
-    """(problem, label, probability) of every row and problem; with ``held`` only where that array column is true."""
+    """(problem, label, probability) of every row and problem; with ``held`` only where that array column is true.
+
+    ``views``, ``width`` and ``shares`` are those of ``fit_stacked``.
+    """
     names = sorted(set(features))
-    models = [(f.coefficients, f.intercept) for f in fits]
+    models = [np.append(f.coefficients, f.intercept) for f in fits]
+    scaled = shares is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matrices = {c: Sparse.of(batch.column(c)) for c in names}
             labels = batch.column("_label").to_numpy()
             wanted = batch.column("_held").flatten().to_numpy(zero_copy_only=False).reshape(len(labels), -1)
-            for p, (coefficients, intercept) in enumerate(models):
+            share = batch.column("_shares").flatten().to_numpy().reshape(len(labels), -1) if scaled else None
+            for p, x in enumerate(models):
                 rows = np.flatnonzero(wanted[:, p])
-                margin = matrices[features[p]].times(coefficients, len(labels))[rows] + intercept
+                view, of_rows = (None, None) if share is None else (views[p], share[:, p])
+                margin = _margin(matrices[features[p]], x, len(labels), view, of_rows, width)[rows]
                 probability = 1.0 / (1.0 + np.exp(-np.clip(margin, -500, 500)))
                 columns = [np.full(len(rows), p, np.int32), labels[rows], probability]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["problem", "label", "probability"])
 
     every = F.array(*[F.lit(True)] * len(models))
-    chosen = frame.select(F.col(label).cast("bigint").alias("_label"), (every if held is None else F.col(held)).alias("_held"), *names)
+    more = [F.col(shares).alias("_shares")] if scaled else []
+    chosen = frame.select(
+        F.col(label).cast("bigint").alias("_label"), (every if held is None else F.col(held)).alias("_held"), *more, *names
+    )
     return chosen.mapInArrow(run, "problem int, label bigint, probability double")

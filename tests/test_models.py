@@ -192,6 +192,27 @@ def test_left_out_rows_and_other_features_do_not_count(spark):
     assert len(got) == 120 and {r["problem"] for r in got} == {0, 1, 2}
 
 
+def test_problems_that_share_a_matrix_equal_those_with_their_own(spark):
+    """Each problem sees its columns of the one stored vector, scaled by column and row."""
+    rng = np.random.default_rng(3)
+    shared, views = rng.random((60, 5)), [stacked.View(np.array([0, 3]), np.array([2.0, 0.5])), stacked.View(np.array([4, 1, 2]), np.ones(3))]
+    shares = rng.random((60, 2))
+    rows = []
+    for i, (row, share) in enumerate(zip(shared, shares, strict=True)):
+        own = [Vectors.sparse(len(v.place), range(len(v.place)), row[v.place] * v.scale * s) for v, s in zip(views, share, strict=True)]
+        rows.append((int(row[0] + row[1] > 1), Vectors.sparse(5, range(5), row), share.tolist(), [1.0, 2.0], [i % 2 == 0, True], *own))
+    frame = spark.createDataFrame(rows, ["label", "t", "shares", "weights", "held", "a", "b"])
+    own = stacked.fit_stacked(frame, ["a", "b"], [2, 3], [0.01] * 2)
+    given = {"views": views, "width": 5, "shares": "shares"}
+    fits = stacked.fit_stacked(frame, ["t", "t"], [2, 3], [0.01] * 2, **given)
+    for one, other in zip(own, fits, strict=True):
+        assert one.coefficients == pytest.approx(other.coefficients) and one.intercept == pytest.approx(other.intercept)
+    want = sorted(map(tuple, stacked.predict_stacked(frame, ["a", "b"], own, held="held").collect()))
+    got = sorted(map(tuple, stacked.predict_stacked(frame, ["t", "t"], fits, held="held", **given).collect()))
+    assert len(got) == 90 and [r[:2] for r in got] == [r[:2] for r in want]
+    assert [r[2] for r in got] == pytest.approx([r[2] for r in want])
+
+
 def test_sweeps_report_every_model(frames):
     train, test, _ = frames
     sweep = models.regularization_sweep(train, test, (0.01, 1.0)).collect()

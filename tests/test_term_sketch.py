@@ -86,6 +86,26 @@ def test_large_and_small_vocabularies_weigh_alike(spark, monkeypatch, low, high)
     assert large == small and any(small.values())
 
 
+@pytest.mark.parametrize("limit", [6, 100_000])
+def test_vocabularies_are_weighed_side_by_side(spark, monkeypatch, limit):
+    """One Python pass, some rows at a time, gives the vectors that each vocabulary gives on its own."""
+    monkeypatch.setattr(T, "WEIGHED_TOKENS", 7)
+    split = _rows(spark).withColumn("fold", (F.col("doc_id") % 4).cast("int")).select("doc_id", "fold", X.vector_tokens("text").alias("tokens"))
+    split = split.unionByName(spark.createDataFrame([(-1, 0, None), (-2, 1, [])], "doc_id long, fold int, tokens array<string>"))
+    models = [*T.outside_vocabularies(split.select("fold", "tokens").filter("tokens IS NOT NULL"), 4, 1, 2, 2, limit), T.TfidfModel((), (), 1, 2)]
+    together, width, views = T.weigh_side_by_side(split, "tokens", models)
+    assert together._jdf.queryExecution().executedPlan().toString().count("InArrow") == 1
+    found = {r["doc_id"]: r for r in together.collect()}
+    assert len(found) == split.count() and all(len(r["terms"]["indices"]) <= width for r in found.values())
+    for k, (model, (places, idf)) in enumerate(zip(models, views)):
+        column = {int(place): i for i, place in enumerate(places)}
+        for row in model.weigh_tokens(split, "tokens", "w").select("doc_id", "w").collect():
+            _, _, indices, values = found[row["doc_id"]]["terms"]
+            share = found[row["doc_id"]]["shares"][k]
+            got = {column[i]: v * idf[column[i]] * share for i, v in zip(indices, values) if i in column}
+            assert got == pytest.approx({w["index"]: w["weight"] for w in row["w"]}, rel=1e-12)
+
+
 def test_lookup_has_empty_buckets(spark):
     words = {f"w{i}": i for i in range(50)}
     frame = spark.createDataFrame([(w,) for w in [*words, "absent", "", None]], "w string")
