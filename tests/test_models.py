@@ -107,6 +107,31 @@ def test_first_split_is_the_best_one_by_hand(spark):
     assert leaf[1] == pytest.approx(-0.1 * g[~best[3]].sum() / (h[~best[3]].sum() + 1))
 
 
+def test_small_tables_are_boosted_by_one_task(spark, sides, monkeypatch):
+    """Many trees a job, the same ones as level by level over all tasks."""
+    train, _ = sides
+    tfidf = TfidfModel.fit(train, "text", "doc_id", 1, 2, 2, 500)
+    jobs = []
+    collect = RDD.collect
+
+    def spy(rdd):
+        jobs.append(1)
+        return collect(rdd)
+
+    monkeypatch.setattr(RDD, "collect", spy)
+    monkeypatch.setattr(boosting, "TREES_A_JOB", 7)
+    whole = boosting.fit_boosted(train, tfidf, rounds=12, depth=4, bins=8)
+    assert len(jobs) == 2
+    monkeypatch.setattr(boosting, "WHOLE_BLOCKS", 0)
+    monkeypatch.setattr(boosting, "BLOCK_ENTRIES", 900)
+    monkeypatch.setattr(boosting, "SMALL_ROWS", 0)
+    levels = boosting.fit_boosted(train, tfidf, rounds=12, depth=4, bins=8)
+    assert len(jobs) > 14
+    for one, other in zip(whole.trees, levels.trees, strict=True):
+        assert all(np.array_equal(a, b) for a, b in zip(one[:3], other[:3], strict=True))
+        assert one[3] == pytest.approx(other[3], rel=1e-9, abs=1e-12)
+
+
 def test_boosted_on_unusual_tables(spark):
     tfidf = TfidfModel(("aa", "bb"), (1.0, 1.0), 1, 1)
     empty = spark.createDataFrame([], "doc_id bigint, text string, label int")
